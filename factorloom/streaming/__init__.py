@@ -1,0 +1,5 @@
+"""No streaming operators: every input is a finite table.
+
+The row-wise column functions in :mod:`factorloom.functions` hold no state and
+can be applied to a streaming DataFrame unchanged.
+"""
