@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factorloom.functions.text import WHITESPACE, col, strip
 
-NUMERIC_TEXT = r"(?i)\A[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf(?:inity)?)\z"
+_NUMBER = r"[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf(?:inity)?)"
+NUMERIC_TEXT = rf"(?i)\A[{WHITESPACE}]*({_NUMBER})[{WHITESPACE}]*\z"
 
 
 def null_nan(c: Column | str) -> Column:
     """NaN counts as missing everywhere; Spark aggregates would propagate it."""
-    return F.when(~F.isnan(col(c)), col(c))
+    return F.nanvl(col(c), F.lit(None).cast("double"))
 
 
 def coerce_numeric(c: Column | str) -> Column:
     """Text to double, anything unparsable to null.
 
-    The pattern guard keeps Java-only spellings such as ``2d`` or ``1f`` out.
+    The pattern keeps Java-only spellings such as ``2d`` or ``1f`` out. It is
+    the only use of the input, so a long expression is not evaluated twice.
     """
-    text = F.regexp_replace(col(c).cast("string"), f"[{WHITESPACE}]+\\z|\\A[{WHITESPACE}]+", "")
-    return null_nan(F.when(text.rlike(NUMERIC_TEXT), text.try_cast("double")))
+    return F.regexp_extract(col(c).cast("string"), NUMERIC_TEXT, 1).try_cast("double")
+
+
+def number_column(df: DataFrame, name: str) -> Column:
+    """A column as double: parsed when it is text, only freed of NaN when numeric."""
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        return null_nan(F.col(f"`{name}`").cast("double"))
+    return coerce_numeric(F.col(f"`{name}`"))
 
 
 def double_text(c: Column | str) -> Column:

@@ -20,9 +20,13 @@ from factorloom.constants import (
 from factorloom.functions.text import col, first_match, strip
 
 
+def text_literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_map(entries: dict[str, str]) -> Column:
     """A fixed dictionary as a map literal: looked up in place, no join."""
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(entries.items())])
+    return F.expr("map(" + ", ".join(f"{text_literal(x)}" for x in chain.from_iterable(entries.items())) + ")")
 
 
 def lookup(c: Column | str, entries: dict[str, str], default: Column | str | None = None) -> Column:

@@ -25,7 +25,7 @@ def strip(c: Column | str) -> Column:
 
 def squeeze(c: Column | str) -> Column:
     """Collapse each run of white space to one blank and strip the ends."""
-    return strip(F.regexp_replace(col(c), f"[{WHITESPACE}]+", " "))
+    return F.trim(F.regexp_replace(col(c), f"[{WHITESPACE}]+", " "))
 
 
 def simplify_name(c: Column | str) -> Column:
@@ -34,14 +34,13 @@ def simplify_name(c: Column | str) -> Column:
     Inner runs of blanks are kept, so names that differ in punctuation count
     stay apart.
     """
-    return strip(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]", " "))
+    return F.trim(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]", " "))
 
 
 def clean_name(c: Column | str, keep: str = "plain") -> Column:
-    """Replace punctuation by blanks (bar the ``keep`` set) and squeeze blanks."""
+    """Punctuation (bar the ``keep`` set) and white space to single blanks, ends stripped."""
     kept = "".join("\\" + ch for ch in NAME_KEEP[keep])
-    pattern = rf"[^\p{{L}}\p{{N}}_{WHITESPACE}{kept}]"
-    return squeeze(F.regexp_replace(col(c), pattern, " "))
+    return F.trim(F.regexp_replace(col(c), rf"[^\p{{L}}\p{{N}}_{kept}]+", " "))
 
 
 def clean_scalar(c: Column | str) -> Column:

@@ -18,7 +18,7 @@ from factorloom.constants import (
     REQUIRED_COLUMNS,
     STRING_COLUMNS,
 )
-from factorloom.functions.numbers import coerce_numeric, is_numeric_text, null_nan
+from factorloom.functions.numbers import is_numeric_text, number_column
 from factorloom.functions.tags import empty_tags, parse_strict
 from factorloom.functions.text import part_before
 from factorloom.operators.ordering import dense_index, keep_first
@@ -58,10 +58,7 @@ def coerce_types(df: DataFrame) -> DataFrame:
         if field.name in STRING_COLUMNS:
             typed[field.name] = F.col(field.name).cast("string")
         elif field.name in NUMERIC_COLUMNS:
-            already = isinstance(field.dataType, T.NumericType)
-            typed[field.name] = (
-                null_nan(F.col(field.name).cast("double")) if already else coerce_numeric(field.name)
-            )
+            typed[field.name] = number_column(df, field.name)
         elif field.name == "tags":
             is_text = isinstance(field.dataType, T.StringType)
             typed["tags"] = parse_strict("tags") if is_text else F.coalesce("tags", empty_tags())

@@ -12,7 +12,7 @@ from factorloom.constants import (
     RATIONALE_MIN_CHARS,
     SOURCE_LABELS,
 )
-from factorloom.functions.numbers import coerce_numeric
+from factorloom.functions.numbers import number_column
 from factorloom.functions.tags import sectors, sectors_or_type, tag, with_prefix
 from factorloom.operators.ordering import keep_first
 from factorloom.operators.sizing import BROADCAST_ROWS, sized_broadcast
@@ -32,7 +32,7 @@ def clean(df: DataFrame, as_of: Column, order: str = "_ord") -> DataFrame:
     rated = (
         df.withColumn("region", F.upper("region"))
         .withColumn("sector", F.translate(F.lower("sector"), " ", "_"))
-        .withColumn("multiplier_factor", coerce_numeric("multiplier_factor"))
+        .withColumn("multiplier_factor", number_column(df, "multiplier_factor"))
         .dropna(subset=["region", "sector", "multiplier_factor"])
         .where(F.col("multiplier_factor").between(*MULTIPLIER_RANGE))
     )

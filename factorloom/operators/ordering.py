@@ -19,17 +19,17 @@ def dense_index(df: DataFrame, order: list[str], name: str = "_n", start: int =
     """
     ranged = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order))
     place = F.monotonically_increasing_id()
-    placed = ranged.withColumn("_part", F.shiftright(place, _ROW_BITS)).withColumn(
-        "_place", place.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    placed = ranged.withColumn("_slot", F.shiftright(place, _ROW_BITS)).withColumn(
+        "_offset", place.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     )
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = placed.groupBy("_slot").agg(F.count(F.lit(1)).alias("_rows"))
     # at most one row per partition
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_slot", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_before") + F.col("_place") + F.lit(start))
-        .drop("_part", "_place", "_before")
+        placed.join(F.broadcast(offsets), "_slot")
+        .withColumn(name, F.col("_before") + F.col("_offset") + F.lit(start))
+        .drop("_slot", "_offset", "_before")
     )
 
 

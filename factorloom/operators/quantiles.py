@@ -46,7 +46,9 @@ def exact_statistics(
     Quantiles interpolate linearly between neighbouring ranks.
     """
     keys = list(by or [])
-    rows = df.select(*keys, null_nan(F.col(value).cast("double")).alias("_v")).dropna(subset=["_v", *keys])
+    rows = df.select(*keys, null_nan(F.col(value).cast("double")).alias("_v"))
+    if keys:
+        rows = rows.dropna(subset=keys)
     if not keys:
         keys = ["_all"]
         rows = rows.withColumn("_all", F.lit(0))
@@ -62,6 +64,7 @@ def exact_statistics(
             F.avg("_v").alias("_avg"),
             F.var_pop("_v").alias("_var"),
         )
+        .where("_c > 0")
         .withColumn("n", F.sum("_c").over(group))
         .withColumn("mean", F.sum(F.col("_c") * F.col("_avg")).over(group) / F.col("n"))
         .withColumn(

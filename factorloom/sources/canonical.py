@@ -25,7 +25,7 @@ from factorloom.constants import (
     PRODUCT_REGION_TAG_PREFIX,
     SOURCE_LABELS,
 )
-from factorloom.functions.numbers import coerce_numeric, null_nan
+from factorloom.functions.numbers import null_nan, number_column
 from factorloom.functions.regions import factor_region, multiplier_region_code, standardize_country
 from factorloom.functions.tags import category_tags, metadata_json, naics_tag, tag, tag_array
 from factorloom.functions.text import clean_name, first_match, part_before, strip, title_case, underscored
@@ -57,13 +57,13 @@ def product(
         found["id"] = "product_id"
     category = column_or(raw, found["category"], F.lit("Unknown"))
     quality = (
-        coerce_numeric(found["quality"]) if found["quality"] else F.lit(DEFAULT_CONFIDENCE["product"])
+        number_column(raw, found["quality"]) if found["quality"] else F.lit(DEFAULT_CONFIDENCE["product"])
     )
     return raw.select(
         _text(F.col(found["id"])).alias("entity_id"),
         clean_name(_text(F.col(found["name"]))).alias("entity_name"),
         F.lit("product").alias("entity_type"),
-        coerce_numeric(found["value"]).alias("ef_value"),
+        number_column(raw, found["value"]).alias("ef_value"),
         F.lit(BASE_UNIT_PER_KG).alias("ef_unit"),
         F.lit("FR").alias("region"),
         F.lit(SOURCE_LABELS["product"]).alias("source_dataset"),
@@ -113,11 +113,10 @@ def product_region(
     """Product-by-country table: standard country codes, first row per product and country."""
     found = product_region_roles(raw.drop(order).schema, roles)
     shaped = (
-        raw.withColumn("_value", F.col(found["value"]))
-        .dropna(subset=["_value"])
+        raw.dropna(subset=[found["value"]])
         .select(
             strip(_text(column_or(raw, found["product"], F.lit("Unknown product")))).alias("entity_id"),
-            coerce_numeric("_value").alias("ef_value"),
+            number_column(raw, found["value"]).alias("ef_value"),
             standardize_country(_text(column_or(raw, found["region"], F.lit("Unknown region"))), region_mode).alias(
                 "region"
             ),
@@ -178,7 +177,7 @@ def _import_flows(raw: DataFrame, order: str) -> DataFrame:
         _text(F.col("Sector")).alias("entity_id"),
         F.concat(_text(F.col("Sector")), F.lit(" - "), F.col("Flowable")).alias("entity_name"),
         F.col("Flowable").alias("_flow"),
-        coerce_numeric("FlowAmount").alias("ef_value"),
+        number_column(raw, "FlowAmount").alias("ef_value"),
         unit.alias("ef_unit"),
         _text(column_or(raw, "Context", F.lit("Unknown"))).alias("_context"),
         _text(column_or(raw, "BaseIOLevel", F.lit("Unknown"))).alias("_level"),
@@ -193,7 +192,7 @@ def _legacy_flows(raw: DataFrame, roles: dict[str, str] | None, order: str) -> D
     if found["id"] is None:
         raw = dense_index(raw, [order], "_place")
         found["id"] = "_place"
-    value = coerce_numeric(found["value"]) if found["value"] else F.lit(None).cast("double")
+    value = number_column(raw, found["value"]) if found["value"] else F.lit(None).cast("double")
     shaped = raw.select(
         _text(F.col(found["id"])).alias("entity_id"),
         _text(column_or(raw, found["name"], F.lit("Unknown sector"))).alias("entity_name"),
@@ -254,7 +253,7 @@ def _typed_metadata(label: str) -> Column:
 
 def factor(raw: DataFrame, as_of: str | None = None, order: str = ORDER) -> DataFrame:
     """Factor database rows: type from the sector text, region name to a group code."""
-    shaped = raw.withColumn("_value", coerce_numeric("ef_value")).dropna(subset=["_value", "sector", "gas"]).select(
+    shaped = raw.withColumn("_value", number_column(raw, "ef_value")).dropna(subset=["_value", "sector", "gas"]).select(
         _text(F.col("ef_id")).alias("entity_id"),
         clean_name(F.concat("sector", F.lit(" - "), "subsector"), "hyphen").alias("entity_name"),
         first_match("sector", FACTOR_TYPE_LADDER, FACTOR_TYPE_DEFAULT).alias("entity_type"),
@@ -262,7 +261,7 @@ def factor(raw: DataFrame, as_of: str | None = None, order: str = ORDER) -> Data
         F.col("unit").alias("ef_unit"),
         factor_region("region").alias("region"),
         F.lit(SOURCE_LABELS["factor"]).alias("source_dataset"),
-        coerce_numeric("confidence").alias("confidence"),
+        number_column(raw, "confidence").alias("confidence"),
         as_of_date(as_of).alias("timestamp"),
         F.array(
             tag("sector", underscored(F.lower("sector"))), tag("gas", "gas"), tag("year", "reference_year")
@@ -276,7 +275,7 @@ def pathway(raw: DataFrame, as_of: str | None = None, order: str = ORDER) -> Dat
     """Fuel pathway rows of one country."""
     parts = ["fuel_pathway", "emission_type", "vehicle_technology"]
     shaped = (
-        raw.withColumn("_value", coerce_numeric("ghg_emissions"))
+        raw.withColumn("_value", number_column(raw, "ghg_emissions"))
         .dropna(subset=["_value", "fuel_pathway"])
         .select(
             F.concat(F.lit(PATHWAY_ID_PREFIX), F.concat_ws("_", *[underscored(c) for c in parts])).alias("entity_id"),
@@ -286,7 +285,7 @@ def pathway(raw: DataFrame, as_of: str | None = None, order: str = ORDER) -> Dat
             F.col("unit").alias("ef_unit"),
             F.lit("US").alias("region"),
             F.lit(SOURCE_LABELS["pathway"]).alias("source_dataset"),
-            coerce_numeric("confidence").alias("confidence"),
+            number_column(raw, "confidence").alias("confidence"),
             as_of_date(as_of).alias("timestamp"),
             F.array(
                 tag("fuel", underscored(F.lower("fuel_pathway"))),
@@ -310,7 +309,7 @@ def process(raw: DataFrame, as_of: str | None = None, order: str = ORDER) -> Dat
             underscored(F.concat(F.lit(PROCESS_ID_PREFIX), identity)).alias("entity_id"),
             clean_name("process_name", "hyphen").alias("entity_name"),
             F.lit("process").alias("entity_type"),
-            coerce_numeric("amount").alias("ef_value"),
+            number_column(raw, "amount").alias("ef_value"),
             F.lit(BASE_UNIT).alias("ef_unit"),
             F.lit("GLB").alias("region"),
             F.lit(SOURCE_LABELS["process"]).alias("source_dataset"),
