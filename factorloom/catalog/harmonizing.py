@@ -500,14 +500,14 @@ def repair_stats(spark, sf):
 
 @query(
     "conflict_resolve",
-    """SELECT entity_id, region, round(value, 6) AS ef_value, confidence, timestamp, merged_rows FROM (
+    """SELECT entity_id, region, round(value, 9) AS ef_value, confidence, timestamp, merged_rows FROM (
   SELECT entity_id, region, round(confidence, 2) AS confidence, timestamp, avg(ef_value) AS value, count(*) AS merged_rows
   FROM facts WHERE ef_value IS NOT NULL GROUP BY 1, 2, 3, 4)
 QUALIFY row_number() OVER (PARTITION BY entity_id, region ORDER BY confidence DESC NULLS LAST, timestamp DESC NULLS LAST) = 1""",
 )
 def conflict_resolve(spark, sf):
     resolved = merge.resolve_conflicts(I.facts(spark, sf), ["entity_id", "region"])
-    return resolved.withColumn("ef_value", F.round("ef_value", 6))
+    return resolved.withColumn("ef_value", F.round("ef_value", 9))
 
 
 @query(
