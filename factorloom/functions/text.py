@@ -80,16 +80,14 @@ def first_match(c: Column | str, ladder: list[tuple[list[str], str]], default) -
 
 
 def replace_first(c: Column | str, target: str, replacement: Column) -> Column:
-    """Replace only the first occurrence of a literal; unchanged when absent."""
-    at = F.instr(col(c), target)
-    return F.when(
-        at > 0,
-        F.concat(
-            F.substring(col(c), F.lit(1), at - 1),
-            replacement,
-            F.substring(col(c), at + len(target), F.length(col(c))),
-        ),
-    ).otherwise(col(c))
+    """Replace only the first occurrence of a literal; unchanged when absent.
+
+    One anchored pattern, so chained calls do not multiply their input.
+    ``replacement`` must not hold ``$`` or a backslash.
+    """
+    return F.regexp_replace(
+        col(c), F.lit(rf"(?s)\A(.*?)\Q{target}\E"), F.concat(F.lit("$1"), replacement)
+    )
 
 
 def part_before(c: Column | str, separator: str) -> Column:

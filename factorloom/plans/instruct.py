@@ -19,6 +19,7 @@ from factorloom.functions.numbers import double_text
 from factorloom.functions.text import hash_key, hash_pick, replace_first
 from factorloom.operators.ordering import top_per_group
 from factorloom.operators.sampling import mark_share, sample_flagged, sample_rows, split_share
+from factorloom.session import cut_lineage
 
 
 def fill(template: str, **values: Column | str) -> Column:
@@ -268,7 +269,11 @@ def quotas(total: int = C.INSTRUCTION_TOTAL) -> dict[str, int]:
 
 
 def mix(rows: DataFrame, total: int = C.INSTRUCTION_TOTAL, variants: int = 3) -> DataFrame:
-    """All six families by quota, with paraphrases, in hash order of ``shuffle``."""
+    """All six families by quota, with paraphrases, in hash order of ``shuffle``.
+
+    At most ``total`` records leave the fact rows; they are written once, so
+    that splits and samples do not draw them again.
+    """
     wanted = quotas(total)
     families = [
         basic_lookup(rows, wanted["basic_lookup"]),
@@ -278,7 +283,7 @@ def mix(rows: DataFrame, total: int = C.INSTRUCTION_TOTAL, variants: int = 3) ->
         edge_cases(rows, wanted["edge_cases"]),
         verification(rows, wanted["verification"]),
     ]
-    together = reduce(DataFrame.unionByName, families)
+    together = cut_lineage(reduce(DataFrame.unionByName, families))
     return augment(together, variants).withColumn("shuffle", hash_key(F.col("key"), seed="shuffle"))
 
 

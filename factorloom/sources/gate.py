@@ -38,7 +38,7 @@ def check_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_name").alias("file_name"), *verdict("value"))
 
 
-def is_relevant_table(header_cells: Column | str) -> Column:
+def is_relevant_table(header_cells: Column | str, prefixes: list[str] | None = None) -> Column:
     """True when a header cell starts with an emission word."""
-    words = "|".join(TABLE_HEADER_PREFIXES)
+    words = "|".join(prefixes or TABLE_HEADER_PREFIXES)
     return F.exists(header_cells, lambda cell: F.lower(strip(cell)).rlike(rf"\A({words})"))

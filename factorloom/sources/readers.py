@@ -233,14 +233,18 @@ INSTRUCTION_SCHEMA = (
 )
 
 
-def read_json_or_lines(spark: SparkSession, path: str, schema: str = INSTRUCTION_SCHEMA) -> DataFrame:
+def read_json_or_lines(
+    spark: SparkSession, path: str, schema: str = INSTRUCTION_SCHEMA, whole_file: bool = True
+) -> DataFrame:
     """A JSON array of records, or one record per line.
 
-    The first non-blank character of the file decides: an array opens with ``[``.
+    The first non-blank character decides: an array opens with ``[``. An array
+    may span a whole file; with ``whole_file=False`` it must fit on its line,
+    which keeps large files splittable.
     """
     first = spark.read.text(path).where(F.trim("value") != "").limit(1).head()
     is_array = first is not None and first[0].lstrip().startswith("[")
-    return spark.read.schema(schema).option("multiLine", is_array).json(path)
+    return spark.read.schema(schema).option("multiLine", is_array and whole_file).json(path)
 
 
 def load_train_and_validation(spark: SparkSession, train: str, validation: str) -> tuple[DataFrame, DataFrame]:
