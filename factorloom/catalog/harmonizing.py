@@ -205,18 +205,10 @@ def multiplier_table(spark, sf):
     return multipliers.multiplier_table(I.canonical_multiplier(spark, sf))
 
 
-def _adjusted(spark, sf) -> DataFrame:
-    rows = plan.canonical_union(I.datasets(spark, sf), REFERENCE)
-    rows = plan.apply_units(rows, "reference")
-    is_multiplier = F.col("_dataset") == "multiplier"
-    keys = multipliers.multiplier_table(rows.where(is_multiplier))
-    return multipliers.apply_regional(rows, keys, where=~is_multiplier)
-
-
 @query(
     "multiplier_v2",
     """SELECT u._ord AS row_key, u.region, u.entity_type,
-  round(CASE WHEN m.multiplier IS NOT NULL THEN u.value * m.multiplier ELSE u.value END, 3) AS ef_value,
+  CASE WHEN m.multiplier IS NOT NULL THEN u.value * m.multiplier ELSE u.value END AS ef_value,
   m.multiplier IS NOT NULL AS multiplier_applied
 FROM (SELECT _ord, region, entity_type, ef_value AS value FROM unit_rows WHERE dataset IN ('flow', 'product', 'process', 'factor')) u
 LEFT JOIN chosen_multiplier m ON m._ord = u._ord""",
@@ -230,7 +222,7 @@ def multiplier_v2(spark, sf):
         F.col("_ord").alias("row_key"),
         "region",
         "entity_type",
-        F.round("ef_value", 3).alias("ef_value"),
+        "ef_value",
         "multiplier_applied",
     )
 

@@ -698,7 +698,7 @@ def outlier_sql(source: str, by: str | None, z: float, value: str = "ef_value")
     join = f"s.g = t.{by}" if by else "true"
     where = f"AND {by} IS NOT NULL" if by else ""
     return f"""SELECT t.*, coalesce(s.n >= 10 AND (
-    (s.sd > 0 AND abs(t.{value} - s.mean) > {z} * s.sd)
+    (s.sd > 0 AND abs((t.{value} - s.mean) / nullif(s.sd, 0)) > {z})
     OR (s.q3 - s.q1 > 0 AND (t.{value} < s.q1 - 1.5 * (s.q3 - s.q1) OR t.{value} > s.q3 + 1.5 * (s.q3 - s.q1)))), false) AS flagged
 FROM {source} t LEFT JOIN (
   SELECT {group} count({value}) AS n, avg({value}) AS mean, stddev_pop({value}) AS sd,

@@ -184,13 +184,12 @@ def unmatched(facts: DataFrame, table: DataFrame) -> DataFrame:
 
     Pairs are counted first, so the anti join sees pairs and not facts.
     """
-    pairs = (
+    pairs = cut_lineage(
         facts.groupBy(
             F.coalesce(lookup_region(), F.lit("")).alias("region"),
             "entity_type",
             sectors_or_type("tags", "entity_type").alias("_sectors"),
-        )
-        .agg(F.count(F.lit(1)).alias("rows"))
+        ).agg(F.count(F.lit(1)).alias("rows"))
     )
     exploded = pairs.select("region", "entity_type", "_sectors", F.explode("_sectors").alias("sector"))
     regional = exploded.join(table, ["region", "sector"]).select("region", "entity_type", "_sectors")

@@ -15,7 +15,8 @@ _STATS = ["n", "mean", "std", "q"]
 
 def _flag(value: Column, n: Column, mean: Column, std: Column, q1: Column, q3: Column, z: float) -> Column:
     spread = q3 - q1
-    far = (std > 0) & (F.abs(value - mean) > F.lit(z) * std)
+    # no spread gives a null score, which never flags
+    far = F.coalesce(F.abs(F.try_divide(value - mean, std)) > z, F.lit(False))
     outside = (spread > 0) & (
         (value < q1 - OUTLIER_IQR_FACTOR * spread) | (value > q3 + OUTLIER_IQR_FACTOR * spread)
     )

@@ -45,13 +45,10 @@ def exact_statistics(
     Null and NaN values are skipped, as are rows with a null group key.
     Quantiles interpolate linearly between neighbouring ranks.
     """
-    keys = list(by or [])
-    rows = df.select(*keys, null_nan(F.col(value).cast("double")).alias("_v"))
-    if keys:
-        rows = rows.dropna(subset=keys)
-    if not keys:
-        keys = ["_all"]
-        rows = rows.withColumn("_all", F.lit(0))
+    groups = list(by or [])
+    keys = [f"_g{i}" for i in range(len(groups))] or ["_g0"]
+    grouping = [F.col(g).alias(k) for g, k in zip(groups, keys)] or [F.lit(0).alias("_g0")]
+    rows = df.select(*grouping, null_nan(F.col(value).cast("double")).alias("_v")).dropna(subset=keys)
     rows = rows.withColumn("_b", _magnitude_bucket(F.col("_v")))
 
     group = Window.partitionBy(*keys)
@@ -79,12 +76,12 @@ def exact_statistics(
     wanted = []
     for i, p in enumerate(probabilities):
         position = F.lit(float(p)) * (F.col("n") - 1)
-        wanted.append(F.struct(F.lit(2 * i).alias("t"), F.floor(position).alias("r")))
-        wanted.append(F.struct(F.lit(2 * i + 1).alias("t"), F.ceil(position).alias("r")))
+        wanted.append(F.struct(F.lit(2 * i).alias("_t"), F.floor(position).alias("_r")))
+        wanted.append(F.struct(F.lit(2 * i + 1).alias("_t"), F.ceil(position).alias("_r")))
     state = ["_b", "_lo", "_hi", "_c", "_before"]
     targets = (
         histogram.select(*keys, "n", "mean", "std", *state, F.inline(F.array(*wanted)))
-        .where((F.col("r") >= F.col("_before")) & (F.col("r") < F.col("_before") + F.col("_c")))
+        .where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c")))
     )
     targets = cut_lineage(targets)
 
@@ -101,14 +98,14 @@ def exact_statistics(
 
     picks = []
     for i, p in enumerate(probabilities):
-        low = F.max(F.when(F.col("t") == 2 * i, F.col("_x")))
-        high = F.max(F.when(F.col("t") == 2 * i + 1, F.col("_x")))
+        low = F.max(F.when(F.col("_t") == 2 * i, F.col("_x")))
+        high = F.max(F.when(F.col("_t") == 2 * i + 1, F.col("_x")))
         position = F.lit(float(p)) * (F.max("n") - 1)
         picks.append(low + (high - low) * (position - F.floor(position)))
     result = found.groupBy(*keys).agg(
         F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("std").alias("std"), F.array(*picks).alias("q")
     )
-    return result if by else result.drop("_all")
+    return result.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], "n", "mean", "std", "q")
 
 
 def _in_slices(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
@@ -126,7 +123,7 @@ def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
         .agg(F.count("_v").alias("_c2"), F.min("_v").alias("_lo2"), F.max("_v").alias("_hi2"))
         .withColumn("_before2", _running("_c2", slice_keys, "_s") - F.col("_c2"))
     )
-    rank = F.col("r") - F.col("_before")
+    rank = F.col("_r") - F.col("_before")
     narrowed = (
         targets.where("_lo < _hi")
         .join(counts, slice_keys)
@@ -134,7 +131,7 @@ def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
         .select(
             *keys, "n", "mean", "std", "_b",
             F.col("_lo2").alias("_lo"), F.col("_hi2").alias("_hi"), F.col("_c2").alias("_c"),
-            (F.col("_before") + F.col("_before2")).alias("_before"), "t", "r",
+            (F.col("_before") + F.col("_before2")).alias("_before"), "_t", "_r",
         )
     )
     return targets.where("_lo = _hi").unionByName(narrowed)
@@ -150,7 +147,7 @@ def _resolve(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
         .drop("_lo", "_hi")
         .withColumnRenamed("_v", "_x")
     )
-    rank = F.col("r") - F.col("_before")
+    rank = F.col("_r") - F.col("_before")
     matched = targets.join(counts, [*keys, "_b"])
     return matched.where(
         F.col("_x").between(F.col("_lo"), F.col("_hi"))
