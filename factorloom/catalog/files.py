@@ -52,7 +52,7 @@ def src_encoding_probe(spark, sf):
     lines.write.option("encoding", "UTF-8").csv(f"{path}/utf8")
     lines.write.option("encoding", "ISO-8859-1").csv(f"{path}/latin1")
     probed = readers.probe_encodings(spark, path, "part-*")
-    return probed.groupBy("encoding").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    return probed.groupBy("encoding").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"))
 
 
 @query("src_delimiter_probe")

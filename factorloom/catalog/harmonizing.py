@@ -11,6 +11,7 @@ from factorloom.catalog.base import query, table, view
 from factorloom.functions import units
 from factorloom.operators import crosswalk, merge, multipliers, ordering, outliers, profile
 from factorloom.plans import harmonize as plan
+from factorloom.session import stage
 from factorloom.sources import canonical
 
 REFERENCE = plan.Options(unit_mode="reference")
@@ -25,7 +26,7 @@ def _shape(df: DataFrame) -> DataFrame:
 
 
 def _with_flag(df: DataFrame) -> DataFrame:
-    return outliers.flag_outliers(df).select(*C.CANONICAL_COLUMNS[:9], _tags(), "is_outlier")
+    return outliers.flag_outliers(stage(df, "canonical")).select(*C.CANONICAL_COLUMNS[:9], _tags(), "is_outlier")
 
 
 _SHAPE_SQL = """SELECT entity_id, entity_name, entity_type, ef_value, ef_unit, region, source_dataset, confidence,

@@ -72,3 +72,10 @@ def percent_error(predicted: Column, actual: Column) -> Column:
 def parse_flag(c: Column | str) -> Column:
     """Text or boolean to boolean: true only for ``true`` in any case."""
     return F.coalesce(F.lower(strip(col(c).cast("string"))) == "true", F.lit(False))
+
+
+def flag_column(df: DataFrame, name: str) -> Column:
+    """A column as a boolean without nulls: read as text only when it is text."""
+    if isinstance(df.schema[name].dataType, T.BooleanType):
+        return F.coalesce(F.col(name), F.lit(False))
+    return parse_flag(name)

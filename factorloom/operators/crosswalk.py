@@ -9,6 +9,7 @@ from factorloom.constants import CROSSWALK_CONFIDENCE
 from factorloom.functions.text import simplify_name
 from factorloom.operators.ordering import dense_index
 from factorloom.operators.sizing import HOT_ROWS, join_by_weight
+from factorloom.session import stage
 
 
 def stack_entities(datasets: dict[str, DataFrame], order: str = "_ord") -> DataFrame:
@@ -28,9 +29,10 @@ def crosswalk_pairs(entities: DataFrame, order: str = "_ord", hot_rows: int = HO
 
     The first row per name is a partial aggregate, not a window over the whole
     group, and names too heavy for one task are joined by broadcast. Rows
-    without a name are dropped; repeats inside one dataset count.
+    without a name are dropped; repeats inside one dataset count. The narrow
+    name table is staged, so the datasets behind it are shaped once.
     """
-    named = entities.withColumn("_name", simplify_name("entity_name")).where("_name is not null")
+    named = stage(entities.withColumn("_name", simplify_name("entity_name")).where("_name is not null"), "names")
     primary = (
         named.groupBy("_name")
         .agg(

@@ -23,6 +23,7 @@ from factorloom.functions.tags import empty_tags, parse_strict
 from factorloom.functions.text import part_before
 from factorloom.operators.ordering import dense_index, keep_first
 from factorloom.operators.outliers import flag_outliers
+from factorloom.session import stage
 
 log = logging.getLogger(__name__)
 
@@ -65,12 +66,16 @@ def coerce_types(df: DataFrame) -> DataFrame:
     return df.withColumns(typed)
 
 
+def number(df: DataFrame, order: str = "_ord") -> DataFrame:
+    """Ids ``EF00000001`` onward in input order."""
+    return dense_index(df, [order], "_n", start=1).withColumn("id", padded_id("EF", "_n")).drop("_n")
+
+
 def merge(datasets: dict[str, DataFrame], order: str = "_ord") -> DataFrame:
-    """One table with ids ``EF00000001`` onward in input order."""
-    typed = coerce_types(stack(datasets))
-    numbered = dense_index(typed, [order], "_n", start=1).withColumn("id", padded_id("EF", "_n"))
-    extra = [c for c in numbered.columns if c not in MERGED_COLUMNS and c not in (order, "_n")]
-    return numbered.select(*[c for c in MERGED_COLUMNS if c in numbered.columns], *extra)
+    """One typed table of all complete datasets, with ids."""
+    numbered = number(coerce_types(stack(datasets)), order).drop(order)
+    known = [c for c in MERGED_COLUMNS if c in numbered.columns]
+    return numbered.select(*known, *[c for c in numbered.columns if c not in known])
 
 
 def merge_fixed(datasets: dict[str, DataFrame], order: str = "_ord") -> DataFrame:
@@ -102,14 +107,15 @@ def repair(df: DataFrame, order: str = "id", method: str = "exact") -> DataFrame
     first `` - `` and lower-cased, and outliers inside each entity type are
     added to the flags already set.
     """
-    fixed = (
+    fixed = stage(
         keep_first(
             df.withColumn("ef_unit", F.when(is_numeric_text("ef_unit"), F.lit(BASE_UNIT)).otherwise(F.col("ef_unit"))),
             DUPLICATE_KEYS,
             [order],
         )
         .withColumn("region", F.when(F.col("region") == "US", F.lit("USA")).otherwise(F.col("region")))
-        .withColumn("entity_type", F.lower(part_before("entity_type", " - ")))
+        .withColumn("entity_type", F.lower(part_before("entity_type", " - "))),
+        "repaired",
     )
     return flag_outliers(fixed, by=["entity_type"], z=OUTLIER_Z_GROUPED, keep_true=True, method=method)
 

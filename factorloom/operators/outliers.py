@@ -39,6 +39,7 @@ def flag_outliers(
     out: str = "is_outlier",
     method: str = "exact",
     keep_true: bool = False,
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
     """Flag values far from the mean or outside the quartile fences.
 
@@ -46,8 +47,12 @@ def flag_outliers(
     literals. With ``by`` the statistics table is joined on, broadcast only
     after it has been counted. Groups with fewer than ten values, null values
     and null groups are never flagged. ``keep_true`` leaves flags already set.
+
+    ``df`` is read for the statistics and again for the flags: stage it first
+    when it is costly, or pass ``statistics`` of a cheaper table with the same
+    values.
     """
-    stats = group_statistics(df, value, by, method)
+    stats = statistics if statistics is not None else group_statistics(df, value, by, method)
     v = null_nan(F.col(value).cast("double"))
     if not by:
         row = stats.head()

@@ -66,11 +66,17 @@ def mark_share(
         .where((F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_before") + F.col("_c")))
         .select(*strata, F.col("_prefix").alias("_cut"), (F.col("_want") - F.col("_before")).alias("_left"))
     )
-    placed = rows.join(sized_broadcast(cut), strata, "left")
-    on_cut = F.coalesce(F.col("_prefix") == F.col("_cut"), F.lit(False))
-    decided = placed.where(~on_cut).withColumn(out, F.coalesce(F.col("_prefix") < F.col("_cut"), F.lit(False)))
+    if groups:
+        placed = rows.join(sized_broadcast(cut), strata, "left")
+        at, left = F.col("_cut"), F.col("_left")
+    else:
+        row = cut.head()
+        placed = rows
+        at, left = F.lit(row["_cut"] if row else None), F.lit(row["_left"] if row else 0)
+    on_cut = F.coalesce(F.col("_prefix") == at, F.lit(False))
+    decided = placed.where(~on_cut).withColumn(out, F.coalesce(F.col("_prefix") < at, F.lit(False)))
     rank = F.row_number().over(stratum.orderBy("_hash", *key))
-    ranked = placed.where(on_cut).withColumn(out, rank <= F.col("_left"))
+    ranked = placed.where(on_cut).withColumn(out, rank <= left)
     return decided.unionByName(ranked).select(*df.columns, out)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.constants import BASE_UNIT, GRAPH_SOURCE_URL_PREFIX, REGION_HIERARCHY
-from factorloom.functions.numbers import coerce_numeric, parse_flag
+from factorloom.functions.numbers import coerce_numeric, flag_column
 from factorloom.functions.regions import graph_region_continent, graph_region_name
 from factorloom.functions.text import slug, source_version
 from factorloom.operators.ordering import first_seen_ordinals
@@ -35,8 +35,8 @@ def fact_nodes(df: DataFrame, key: str = "id", as_of: str | None = None) -> Data
         F.coalesce("ef_value", F.lit(0.0)).alias("ef_value"),
         F.coalesce("ef_unit", F.lit(BASE_UNIT)).alias("ef_unit"),
         F.coalesce("confidence", F.lit(0.5)).alias("confidence"),
-        parse_flag("is_outlier").alias("is_outlier"),
-        parse_flag("multiplier_applied").alias("multiplier_applied"),
+        flag_column(df, "is_outlier").alias("is_outlier"),
+        flag_column(df, "multiplier_applied").alias("multiplier_applied"),
         F.coalesce("timestamp", as_of_date(as_of)).alias("timestamp"),
         "region",
         "entity_type",

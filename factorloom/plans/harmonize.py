@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factorloom.constants import MERGED_COLUMNS
 from factorloom.functions.units import standardize_unit, standardize_unit_per_kg
 from factorloom.operators import crosswalk, merge, multipliers
-from factorloom.operators.outliers import flag_outliers
+from factorloom.operators.outliers import flag_outliers, group_statistics
 from factorloom.session import stage
 from factorloom.sources.registry import WITHOUT_OUTLIER_FLAG
 
@@ -28,22 +28,23 @@ class Options:
     quantiles: str = "exact"
 
 
-def canonical_union(
-    datasets: dict[str, DataFrame], options: Options = Options(), without_flag: set[str] = WITHOUT_OUTLIER_FLAG
+def canonical_union(datasets: dict[str, DataFrame]) -> DataFrame:
+    """All canonical rows, labelled by dataset and staged once as parquet."""
+    labelled = {name: df.withColumn("_dataset", F.lit(name)) for name, df in datasets.items()}
+    return stage(merge.coerce_types(merge.stack(labelled)), "canonical")
+
+
+def flag_datasets(
+    df: DataFrame, staged: DataFrame, method: str = "exact", without_flag: set[str] = WITHOUT_OUTLIER_FLAG
 ) -> DataFrame:
-    """All canonical rows, staged once as parquet, with outliers flagged per dataset.
+    """Outlier flags per dataset in one grouped pass over the staged table.
 
-    The flag of every dataset comes from one grouped pass over the staged table.
+    Datasets in ``without_flag`` keep an empty flag.
     """
-    labelled = {name: df.withColumn("_dataset", F.lit(name)) for name, df in datasets.items()}
-    staged = stage(merge.coerce_types(merge.stack(labelled)), "canonical")
-    if "is_outlier" in staged.columns:
-        return staged
-    flagged = flag_outliers(staged, by=["_dataset"], method=options.quantiles)
-    if without_flag:
-        hidden = F.col("_dataset").isin(sorted(without_flag))
-        flagged = flagged.withColumn("is_outlier", F.when(~hidden, F.col("is_outlier")))
-    return flagged
+    statistics = group_statistics(staged, "ef_value", ["_dataset"], method)
+    flagged = flag_outliers(df, by=["_dataset"], statistics=statistics)
+    hidden = F.col("_dataset").isin(sorted(without_flag)) if without_flag else F.lit(False)
+    return flagged.withColumn("is_outlier", F.when(~hidden, F.col("is_outlier")))
 
 
 def apply_units(df: DataFrame, mode: str) -> DataFrame:
@@ -52,16 +53,23 @@ def apply_units(df: DataFrame, mode: str) -> DataFrame:
 
 
 def harmonize(datasets: dict[str, DataFrame], options: Options = Options()) -> DataFrame:
-    """Canonical datasets to the merged table: outliers, units, multipliers, ids.
+    """Canonical datasets to the merged table: ids, outliers, units, multipliers.
 
-    Facts are shuffled once, by the range sort that numbers them.
+    No step adds or drops rows, so the rows are numbered first. Facts are
+    shuffled once, by the range sort of that numbering; everything after it is
+    one narrow pass with broadcast statistics and multipliers.
     """
-    union = apply_units(canonical_union(datasets, options), options.unit_mode)
-    is_multiplier = F.col("_dataset") == options.multiplier_dataset
+    staged = canonical_union(datasets)
+    merged = merge.number(staged, options.order)
+    if "is_outlier" not in staged.columns:
+        merged = flag_datasets(merged, staged, options.quantiles)
+    merged = apply_units(merged, options.unit_mode)
     if options.multiplier_dataset in datasets:
-        table = multipliers.multiplier_table(union.where(is_multiplier), options.order, options.region_key)
-        union = multipliers.apply_regional(union, table, options.order, where=~is_multiplier)
-    merged = merge.merge({"all": union.drop("_dataset")}, options.order)
+        rows = apply_units(staged, options.unit_mode).where(F.col("_dataset") == options.multiplier_dataset)
+        table = multipliers.multiplier_table(rows, options.order, options.region_key)
+        merged = multipliers.apply_regional(
+            merged, table, options.order, where=F.col("_dataset") != options.multiplier_dataset
+        )
     return merged.select(*[c for c in MERGED_COLUMNS if c in merged.columns])
 
 

@@ -12,16 +12,11 @@ from factorloom.constants import (
     TABLE_HEADER_PREFIXES,
 )
 from factorloom.functions.text import col, strip
+from factorloom.operators.ordering import top_per_group
 
 
-def verdict(text: Column | str, min_columns: int = SANITY_MIN_COLUMNS, min_lines: int = SANITY_MIN_LINES) -> list[Column]:
-    """Check columns for one file text: web page, delimited, wide and long enough."""
-    head = F.lower(F.substring(col(text), 1, SANITY_PREFIX_CHARS))
+def _checks(head: Column, columns: Column, lines: Column, min_columns: int, min_lines: int) -> list[Column]:
     html = head.contains("<html") | head.contains("<!doctype html")
-    header = F.substring_index(col(text), "\n", 1)
-    columns = F.size(F.split(header, ","))
-    breaks = F.length(col(text)) - F.length(F.replace(col(text), F.lit("\n"), F.lit("")))
-    lines = breaks + F.when((col(text) != "") & ~col(text).endswith("\n"), F.lit(1)).otherwise(F.lit(0))
     comma = head.contains(",")
     return [
         html.alias("is_html"),
@@ -32,10 +27,47 @@ def verdict(text: Column | str, min_columns: int = SANITY_MIN_COLUMNS, min_lines
     ]
 
 
-def check_files(spark: SparkSession, path: str) -> DataFrame:
-    """One verdict row per file. A file is one task's work, as in any whole-file check."""
-    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
-    return files.select(F.col("_metadata.file_name").alias("file_name"), *verdict("value"))
+def verdict(
+    text: Column | str, min_columns: int = SANITY_MIN_COLUMNS, min_lines: int = SANITY_MIN_LINES
+) -> list[Column]:
+    """Check columns for a file held in one text: web page, delimited, wide and long enough."""
+    head = F.lower(F.substring(col(text), 1, SANITY_PREFIX_CHARS))
+    columns = F.size(F.split(F.substring_index(col(text), "\n", 1), ","))
+    breaks = F.length(col(text)) - F.length(F.replace(col(text), F.lit("\n"), F.lit("")))
+    lines = breaks + F.when((col(text) != "") & ~col(text).endswith("\n"), F.lit(1)).otherwise(F.lit(0))
+    return _checks(head, columns, lines, min_columns, min_lines)
+
+
+def check_files(
+    spark: SparkSession, path: str, min_columns: int = SANITY_MIN_COLUMNS, min_lines: int = SANITY_MIN_LINES
+) -> DataFrame:
+    """One verdict row per file, from its lines: no file has to fit in one task.
+
+    The first characters lie within as many first lines, which are taken from
+    the file's first block.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .text(path)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            (F.col("_metadata.file_block_start") == 0).alias("_first_block"),
+            F.monotonically_increasing_id().alias("_line"),
+            "value",
+        )
+    )
+    counts = lines.groupBy("path").agg(F.count(F.lit(1)).alias("_lines"))
+    opening = top_per_group(lines.where("_first_block"), ["path"], ["_line"], SANITY_PREFIX_CHARS, "_place")
+    heads = opening.groupBy("path").agg(
+        F.sort_array(F.collect_list(F.struct("_place", F.substring("value", 1, SANITY_PREFIX_CHARS).alias("t")))).alias("_top"),
+        F.max(F.when(F.col("_place") == 1, F.size(F.split("value", ",")))).alias("_columns"),
+    )
+    text = F.array_join(F.transform("_top", lambda line: line["t"]), "\n")
+    head = F.lower(F.substring(text, 1, SANITY_PREFIX_CHARS))
+    return counts.join(heads, "path").select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"),
+        *_checks(head, F.col("_columns"), F.col("_lines"), min_columns, min_lines),
+    )
 
 
 def is_relevant_table(header_cells: Column | str, prefixes: list[str] | None = None) -> Column:

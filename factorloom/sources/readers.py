@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from factorloom.constants import (
     DELIMITERS,
+    ENCODINGS,
     EXCHANGE_FLOW_KEYWORDS,
     FLOW_FILE_KEYWORDS,
     JSON_FILE_KEYWORDS,
@@ -83,20 +84,22 @@ def load_datasets(
     return loaded
 
 
-def encoding_of(content: Column) -> Column:
-    """First listed encoding that can decode the bytes: UTF-8, else Latin-1, which always can."""
-    return F.when(F.is_valid_utf8(content.cast("string")), F.lit("utf-8")).otherwise(F.lit("latin1"))
-
-
 def probe_encodings(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """One row per file: name, length and encoding."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
+    """One row per file: name, lines and the first listed encoding that decodes it.
+
+    The text reader keeps raw bytes and UTF-8 never splits a character at a
+    line end, so lines are tested apart and large files stay splittable.
+    Latin-1, the next in the list, decodes anything.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
-        .load(path)
+        .text(path)
+        .select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("valid"))
     )
-    return files.select(file_name("path").alias("file_name"), "length", encoding_of(F.col("content")).alias("encoding"))
+    encoding = F.when(F.min("valid"), F.lit(ENCODINGS[0])).otherwise(F.lit(ENCODINGS[1]))
+    per_file = lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), encoding.alias("encoding"))
+    return per_file.select(file_name("path").alias("file_name"), "path", "lines", "encoding")
 
 
 def file_name(path: Column | str) -> Column:
