@@ -41,7 +41,10 @@ def src_csv_roundtrip(spark, sf):
     )
 
 
-@query("src_encoding_probe")
+@query(
+    "src_encoding_probe",
+    "SELECT v.encoding, count(*) AS lines FROM documents, (VALUES ('utf-8'), ('latin1')) v(encoding) GROUP BY 1",
+)
 def src_encoding_probe(spark, sf):
     """Two copies of the texts, one in Latin-1, told apart by their bytes.
 
@@ -52,10 +55,15 @@ def src_encoding_probe(spark, sf):
     lines.write.option("encoding", "UTF-8").csv(f"{path}/utf8")
     lines.write.option("encoding", "ISO-8859-1").csv(f"{path}/latin1")
     probed = readers.probe_encodings(spark, path, "part-*")
-    return probed.groupBy("encoding").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"))
+    return probed.groupBy("encoding").agg(F.sum("lines").alias("lines"))
 
 
-@query("src_delimiter_probe")
+@query(
+    "src_delimiter_probe",
+    """SELECT v.file, v.separator, n_name, c.customers FROM nation
+JOIN (SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey,
+  (VALUES ('comma', ','), ('semicolon', ';'), ('tab', chr(9))) v(file, separator)""",
+)
 def src_delimiter_probe(spark, sf):
     """The same rows with three separators; each file's own is found from its header."""
     path = scratch_path(spark, "delimiters")
@@ -75,7 +83,10 @@ def src_delimiter_probe(spark, sf):
     return result
 
 
-@query("src_file_discovery")
+@query(
+    "src_file_discovery",
+    "SELECT 'ghg_emission.csv' AS file_name, count(*) AS rows FROM part WHERE p_size > 25",
+)
 def src_file_discovery(spark, sf):
     """Files found by keyword, with the rows each one holds."""
     path = scratch_path(spark, "discovery")

@@ -293,11 +293,34 @@ def src_sanity_gate(spark, sf):
     return pages.unionByName(texts).select("page_id", *gate.verdict("html", min_lines=2))
 
 
-@query("schema_role_detect")
+_ROLES = [
+    ("product", "name", "Product_Name", "raw_product", "name"),
+    ("product", "id", "LCI_Code", "raw_product", "code"),
+    ("product", "category", "Category", "raw_product", "category"),
+    ("product", "quality", "DQR", "raw_product", "quality"),
+    ("product", "unit", "Unit", "raw_product", "*"),
+    ("product", "value", "Climate_change_total", "raw_product", "value"),
+    ("product_region", "region", "Country", "raw_product_region", "country"),
+    ("product_region", "product", "Product", "raw_product_region", "product"),
+    ("product_region", "value", "CO2_Emissions", "raw_product_region", "value"),
+    ("flow", "id", "Sector", "raw_flow", "sector"),
+    ("flow", "value", "FlowAmount", "raw_flow", "amount"),
+    ("fallback", "name", "s_name", "supplier", "s_name"),
+    ("fallback", "value", "s_suppkey", "supplier", "s_suppkey"),
+]
+
+
+@query(
+    "schema_role_detect",
+    "\nUNION ALL\n".join(
+        f'SELECT \'{shape}\' AS shape, \'{role}\' AS role, \'{header}\' AS header, count({c}) AS "values" FROM {source}'
+        for shape, role, header, source, c in _ROLES
+    ),
+)
 def schema_role_detect(spark, sf):
-    """Column roles of four tables. A matter of headers, which SQL cannot read.
+    """Column roles of four tables, each with the non-null values of its column.
 
-    Each row also counts the non-null values of its column.
+    Roles come from headers, which SQL cannot read: its text states them.
     """
     from factorloom.sources.resolve import flow_roles, product_region_roles, product_roles
 
