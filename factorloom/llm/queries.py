@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import chat, exact, lines, mixing, secrets
+from factorloom.llm import chat, exact, licences, lines, mixing, packing, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,22 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(source.unionByName(probe)))
 
 
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), packing.vocabulary())
+
+
 LINES_SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -90,6 +106,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.deduplicate_lines(table(spark, sf_dir, "documents")))
 
 
+@query("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of all documents; cutoffs come from the labelled ones."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality.digest(quality.judge(table(spark, sf_dir, "documents"), labels))
+
+
 EXACT_SQL = r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents
@@ -147,6 +170,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.plan_mix(table(spark, sf_dir, "documents")))
 
 
+@query("op9_licence_scan")
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and template spans of all documents."""
+    return licences.digest(licences.scan(table(spark, sf_dir, "documents")))
+
+
 def _spans_sql(kind: str, rank: int, pattern: str, least: int, tested_group: int) -> str:
     quoted = pattern.replace("'", "''")
     return f"""
