@@ -51,17 +51,17 @@ def parse(rendered: Column) -> Column:
     second; nothing may stand behind the third and the fourth.
     """
     pieces = F.split(rendered, CONTROL, -1)
-    count = F.floor(F.size(pieces) / 4).cast("int")
     controls = F.regexp_extract_all(rendered, F.lit(f"({CONTROL})"), 1)
+    count = F.floor(F.size(controls) / 4).cast("int")
     wanted = F.flatten(F.array_repeat(F.array(*(F.lit(x) for x in CONTROLS)), count))
-    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    # pieces are picked by their place, so that each array is walked once
+    roles = F.filter(pieces, lambda _, k: k % 4 == 1)
+    texts = F.filter(pieces, lambda _, k: k % 4 == 2)
+    between = F.exists(F.filter(pieces, lambda _, k: k % 4 % 3 == 0), lambda x: x != "")
     turns = F.transform(
-        places,
-        lambda k: F.struct(
-            unescape(F.get(pieces, 4 * k + 1)).alias("role"), unescape(F.get(pieces, 4 * k + 2)).alias("text")
-        ),
+        F.arrays_zip(roles.alias("role"), texts.alias("text")),
+        lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text")),
     )
-    between = F.exists(places, lambda k: (F.get(pieces, 4 * k) != "") | (F.get(pieces, 4 * k + 3) != ""))
     return F.when((controls == wanted) & ~between, turns)
 
 

@@ -17,6 +17,7 @@ through; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +32,11 @@ WINDOW = 4096
 CLOSING_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 
-#: Known words of a worker; beyond, the table of known words starts anew.
-KNOWN_WORDS = 400_000
+#: Letters of Latin-1 with stops behind: the vocabulary lower-cases them and cuts ahead of the stops.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+
+#: Words that a worker remembers.
+KNOWN_WORDS = 1_200_000
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -83,29 +87,81 @@ class Levels:
         return self.made - 1
 
 
-class Words(dict):
-    """Ids of white-space separated words as bytes; unknown ones are looked up together."""
+class Words:
+    """Ids of white-space separated words as bytes; unknown ones are looked up together.
+
+    Known words stand in two tables; a word met again moves to the newer one, and
+    when that is full it becomes the older one, so frequent words stay known.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > KNOWN_WORDS:
-            self.clear()
-        new = sorted(words)
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[word] = np.asarray(found.ids, "<u4").tobytes()
+        # the same model without the steps that plain words don't need
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _look_up(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            yield word, np.asarray(found.ids, "<u4").tobytes()
+
+    def _look_up_plain(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Lower-case letters only: each word ends with its only id that closes a word."""
+        groups = [words[k : k + 500] for k in range(0, len(words), 500)]
+        joined = [" ".join(group) for group in groups]
+        for group, found in zip(groups, self.plain.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.asarray(found.ids, "<u4")
+            packed, start = ids.tobytes(), 0
+            for word, end in zip(group, (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()):
+                yield word, packed[start:end]
+                start = end
+
+    def of(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of the given words."""
+        new, old = self.new, self.old
+        have = {word: new[word] for word in words if word in new}
+        met = {word: old[word] for word in words if word in old and word not in have}
+        parts: dict[str, tuple[str, str]] = {}
+        plain, other = set(), set()
+        for word in words:
+            if word in have or word in met:
+                continue
+            found = PLAIN.fullmatch(word)
+            if found is None:
+                other.add(word)
+                continue
+            core, tail = found[1].lower(), found[2]
+            parts[word] = core, tail
+            if core not in new and core not in old:
+                plain.add(core)
+            if tail and tail not in new:
+                other.add(tail)
+        met.update(self._look_up_plain(sorted(plain)))
+        met.update(self._look_up(sorted(other)))
+        for word, (core, tail) in parts.items():
+            ids = met.get(core) or new.get(core) or old[core]
+            met[word] = ids + (met.get(tail) or new[tail]) if tail else ids
+        if len(new) + len(met) > KNOWN_WORDS // 2:
+            self.old, self.new = new, met
+        else:
+            new.update(met)
+        return have | met
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; spaces separate words for this vocabulary and have no ids themselves."""
-        split = [text.split(" ") for text in texts]
-        unknown = {word for words in split for word in words if word not in self}
-        self.learn(unknown)
         end = np.asarray([CLOSING_ID], "<u4").tobytes()
+        split = [text.split(" ") for text in texts]
+        known = self.of({word for words in split for word in words})
         for words in split:
-            yield b"".join(map(self.__getitem__, words)) + end
+            yield b"".join(map(known.__getitem__, words)) + end
 
 
 _KNOWN: dict[str, Words] = {}
