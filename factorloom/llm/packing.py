@@ -124,15 +124,17 @@ class Words:
                 yield word, packed[start:end]
                 start = end
 
-    def of(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of the given words."""
+    def learn(self, words: set[str]) -> None:
+        """Have the ids of all given words in the newer table."""
         new, old = self.new, self.old
-        have = {word: new[word] for word in words if word in new}
-        met = {word: old[word] for word in words if word in old and word not in have}
+        met: dict[str, bytes] = {}
         parts: dict[str, tuple[str, str]] = {}
         plain, other = set(), set()
         for word in words:
-            if word in have or word in met:
+            if word in new:
+                continue
+            if word in old:
+                met[word] = old[word]
                 continue
             found = PLAIN.fullmatch(word)
             if found is None:
@@ -150,18 +152,17 @@ class Words:
             ids = met.get(core) or new.get(core) or old[core]
             met[word] = ids + (met.get(tail) or new[tail]) if tail else ids
         if len(new) + len(met) > KNOWN_WORDS // 2:
-            self.old, self.new = new, met
-        else:
-            new.update(met)
-        return have | met
+            self.old, self.new = new, {word: new[word] for word in words if word in new}
+        self.new.update(met)
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; spaces separate words for this vocabulary and have no ids themselves."""
         end = np.asarray([CLOSING_ID], "<u4").tobytes()
         split = [text.split(" ") for text in texts]
-        known = self.of({word for words in split for word in words})
+        self.learn({word for words in split for word in words})
+        known = self.new.__getitem__
         for words in split:
-            yield b"".join(map(known.__getitem__, words)) + end
+            yield b"".join(map(known, words)) + end
 
 
 _KNOWN: dict[str, Words] = {}
