@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import chat, exact, licences, lines, mixing, packing, quality, secrets, toxicity
+from factorloom.llm import chat, exact, jaccard, licences, lines, mixing, packing, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,6 +113,38 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judge(table(spark, sf_dir, "documents"), labels))
 
 
+SIMILAR_SQL = rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(
+    CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [len(w) || ' ' || array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+  FROM worded
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT u, v FROM common c JOIN sizes x ON c.u = x.doc_id JOIN sizes y ON c.v = y.doc_id WHERE 100 * k >= 75 * (x.n + y.n - k)
+), both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reached AS (
+  SELECT u AS doc_id, v AS other FROM both_ways
+  UNION SELECT r.doc_id, b.v FROM reached r JOIN both_ways b ON r.other = b.u
+), least AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(l.other, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN least l ON d.doc_id = l.doc_id
+"""
+
+
+@query("op6_ngram_jaccard", SIMILAR_SQL)
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of shingles and its class of near copies."""
+    classes, _ = jaccard.join_similar(table(spark, sf_dir, "documents"))
+    return classes
+
+
 EXACT_SQL = r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents
