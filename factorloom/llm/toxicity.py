@@ -178,12 +178,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from the rows of ``docs`` that ``labels`` (``id_col, toxic``) marks."""
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull())
     marked = marked.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    known = docs.select(id_col, F.substring(whole(F.col(text_col)), 1, FIT_CHARS).alias("text")).join(marked, id_col)
     counts = dict(marked.groupBy("toxic").count().collect())
-    texts = {}
-    for toxic in (0, 1):
-        order = [F.xxhash64(F.col(id_col), F.lit(7)), F.col(id_col), F.col("text")]
-        texts[toxic] = [r["text"] for r in known.where(F.col("toxic") == toxic).orderBy(*order).limit(FIT_ROWS).collect()]
+    order = [F.xxhash64(F.col(id_col), F.lit(7)), F.col(id_col)]
+    chosen = [marked.where(F.col("toxic") == toxic).orderBy(*order).limit(FIT_ROWS) for toxic in (0, 1)]
+    # at most 2 * FIT_ROWS ids meet the documents, and as many texts come back
+    known = (
+        docs.select(id_col, F.substring(whole(F.col(text_col)), 1, FIT_CHARS).alias("text"))
+        .join(F.broadcast(chosen[0].unionByName(chosen[1])), id_col)
+        .groupBy(id_col, "toxic")
+        .agg(F.max("text").alias("text"))
+        .collect()
+    )
+    known.sort(key=lambda r: r[id_col])
+    texts = {toxic: [r["text"] for r in known if r["toxic"] == toxic] for toxic in (0, 1)}
     total = sum(counts.values())
     return train(texts[1], texts[0], counts.get(1, 0) / total if total else 0.0)
 
