@@ -13,11 +13,12 @@ sets have (a passage shared by many, a group of near copies) is left out by
 each set that has enough other segments; sets that haven't keep it, and only they
 meet there. No candidate is lost by this, whatever the counts.
 
-Sets that meet are tied to the smallest of them, and these pairs are verified by
-their exact sets. Where a verified pair fails and both ends are still in different
-components, all pairs of different components that meet there are verified as well.
-So every link between documents is inside a component, and pairs whose ends are
-joined already are not compared again.
+Sets that meet are tied to the smallest of them. A pair is ruled out where the parity
+sketches of its sets differ in more bits than similar sets can differ in shingles (a
+shingle changes one bit at most), and verified by the exact sets otherwise. Where the
+ends of such a pair end up in different components, all pairs of different components
+that meet there are verified as well. So every link between documents is inside a
+component, and pairs whose ends are joined already are not compared again.
 
 Rows move as packed numbers: an index entry takes nine bytes. Segment contents
 that are frequent within one task are dealt out apart from the others, so a group of
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import in_batches, whole
@@ -51,7 +52,7 @@ SHINGLE = 5
 #: Similarity as a fraction of whole numbers.
 SIMILAR = (75, 100)
 #: A segment content that more sets than this have is frequent.
-FREQUENT = 48
+FREQUENT = 12
 #: Index entries a task gathers before it hands them on.
 HELD = 3_000_000
 
@@ -158,11 +159,38 @@ def _unpack_ids(base: int, packed: bytes, count: int) -> np.ndarray:
 
 _PACKED = "bucket int, part int, base long, keys binary, ids binary, frequent binary"
 #: kind 0: a document with set size and digest; 1: documents that share a key; 2: some of those that share a frequent key.
-_MET = "kind byte, key long, docs array<long>, size long, d1 long, d2 long"
+_MET = "kind byte, key long, docs array<long>, size long, d1 long, d2 long, spare array<int>, sketch binary"
 
 _DOCUMENTS = -1
 
 
+#: Behind a document's id: set size, digest and spare segments.
+_FACTS = np.dtype([("size", "<i8"), ("d1", "<i8"), ("d2", "<i8"), ("spare", "<i4", 2 * _LEVELS)])
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity of the number of tokens at each bit; the number of bits is a power of two of at least 4/3 of the tokens."""
+    bits = max(64, 1 << max(0, tokens.size * 4 // 3).bit_length())
+    place = ((tokens * _SEG) >> np.uint64(20)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(x: bytes, size: int) -> np.ndarray:
+    """A sketch of ``size`` bytes from a longer one: places are counted modulo the number of bits."""
+    parts = np.frombuffer(x, np.uint8).reshape(-1, size)
+    return np.bitwise_xor.reduce(parts, axis=0)
+
+
+def sketches_allow(x: bytes, y: bytes, a: int, b: int, similar: tuple[int, int] = SIMILAR) -> bool:
+    """Whether sets of ``a`` and ``b`` tokens with these sketches can be similar."""
+    num, den = similar
+    if min(a, b) * den < max(a, b) * num:
+        return False
+    size = min(len(x), len(y))
+    apart = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
+    return apart <= (a + b) * (den - num) // (den + num)
+
+
 class _Held:
     """Documents and index entries that a task gathers."""
 
@@ -179,21 +207,21 @@ class _Held:
 
     def add(self, doc: int, tokens: np.ndarray) -> None:
         digest = xxhash.xxh3_128_digest(tokens.tobytes())
+        keys, spare = index_entries(tokens) if tokens.size else (tokens, [0] * (2 * _LEVELS))
         d1, d2 = np.frombuffer(digest, "<i8")
-        self.rows.append((doc, tokens.size, d1, d2))
+        facts = np.array([(tokens.size, d1, d2, spare)], _FACTS).tobytes()
+        self.rows.append((_DOCUMENTS, self.part, doc, facts, sketch(tokens), b""))
         self.count += 1
         if not tokens.size or (tokens.size, digest) in self.known:
             return  # equal sets are joined by their digest
         self.known.add((tokens.size, digest))
-        keys, _ = index_entries(tokens)
         self.keys.append(keys)
         self.ids.append(doc)
         self.count += keys.size
 
     def packed(self) -> Iterator[tuple]:
         """Rows to deal out by bucket and part."""
-        table = np.array(self.rows, np.int64)
-        yield _DOCUMENTS, self.part, 0, b"", table.astype("<i8").tobytes(), b""
+        yield from self.rows
         if not self.keys:
             return
         keys = np.concatenate(self.keys)
@@ -243,9 +271,18 @@ def _meet(blobs: pd.DataFrame) -> pd.DataFrame:
     """Documents that share a key, of one bucket and part."""
     bucket, part = int(blobs["bucket"].iloc[0]), int(blobs["part"].iloc[0])
     if bucket == _DOCUMENTS:
-        table = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 4) for x in blobs["ids"]])
+        facts = np.frombuffer(b"".join(blobs["keys"]), _FACTS)
         return pd.DataFrame(
-            {"kind": 0, "key": 0, "docs": [[x] for x in table[:, 0]], "size": table[:, 1], "d1": table[:, 2], "d2": table[:, 3]}
+            {
+                "kind": 0,
+                "key": 0,
+                "docs": [[x] for x in blobs["base"]],
+                "size": facts["size"],
+                "d1": facts["d1"],
+                "d2": facts["d2"],
+                "spare": list(facts["spare"]),
+                "sketch": blobs["ids"],
+            }
         )
     keys = [_unpack_keys(x) for x in blobs["keys"]]
     ids = [_unpack_ids(b, x, k.size) for b, x, k in zip(blobs["base"], blobs["ids"], keys)]
@@ -268,6 +305,8 @@ def _meet(blobs: pd.DataFrame) -> pd.DataFrame:
             "size": 0,
             "d1": 0,
             "d2": 0,
+            "spare": None,
+            "sketch": None,
         }
     )
 
@@ -278,35 +317,43 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """Set, size and spare segments of every row."""
+    """Set and size of every row."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = shingle_sets(list(batch["text"]), shingle)
             yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "size": [s.size for s in sets],
-                    "tokens": [s.astype("<u8").tobytes() for s in sets],
-                    "spare": [index_entries(s)[1] if s.size else [] for s in sets],
-                }
+                {"doc_id": batch["doc_id"], "size": [s.size for s in sets], "tokens": [s.astype("<u8").tobytes() for s in sets]}
             )
 
-    return docs.mapInPandas(build, "doc_id long, size long, tokens binary, spare array<int>")
+    return docs.mapInPandas(build, "doc_id long, size long, tokens binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """The pairs (``u, v``) whose exact sets are similar enough."""
-    num, den = similar
-    a = sets.select(F.col("doc_id").alias("u"), F.col("size").alias("a_size"), F.col("tokens").alias("a"))
-    b = sets.select(F.col("doc_id").alias("v"), F.col("size").alias("b_size"), F.col("tokens").alias("b"))
-    # sizes alone rule out many pairs ahead of the sets
-    small = sets.select("doc_id", "size")
-    sized = pairs.join(small.select(F.col("doc_id").alias("u"), F.col("size").alias("_u")), "u").join(
-        small.select(F.col("doc_id").alias("v"), F.col("size").alias("_v")), "v"
-    )
-    near = (F.least("_u", "_v") * den >= F.greatest("_u", "_v") * num) & (F.least("_u", "_v") > 0)
-    fit = sized.where(near).select("u", "v").distinct()
+def _both_ends(pairs: DataFrame, facts: DataFrame, value: str) -> DataFrame:
+    """Pairs (``u, v``) with ``a`` and ``b``, a value of either end."""
+    of_u = facts.select(F.col("doc_id").alias("u"), F.col("size").alias("a_size"), F.col(value).alias("a"))
+    of_v = facts.select(F.col("doc_id").alias("v"), F.col("size").alias("b_size"), F.col(value).alias("b"))
+    return pairs.join(of_u, "u").join(of_v, "v").select("u", "v", "a_size", "b_size", "a", "b")
+
+
+def _possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (``u, v``) that sizes and sketches do not rule out, written out."""
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            may = [
+                sketches_allow(x, y, a, b)
+                for x, y, a, b in zip(batch["a"], batch["b"], batch["a_size"].tolist(), batch["b_size"].tolist())
+            ]
+            yield batch.loc[may, ["u", "v"]]
+
+    sized = rows.where("size > 0").select("doc_id", "size", "sketch")
+    return stage(_both_ends(pairs, sized, "sketch").mapInPandas(test, "u long, v long").distinct(), "jaccard-possible")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (``u, v``) whose exact sets are similar enough, written out."""
+    num, den = SIMILAR
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -318,16 +365,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Data
                 same.append(den * common >= num * (p.size + q.size - common))
             yield batch.loc[same, ["u", "v"]]
 
-    joined = fit.join(a, "u").join(b, "v").select("u", "v", "a", "b")
-    return joined.mapInPandas(verify, "u long, v long").distinct()
+    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    sets = stage(_sets(_texts_of(docs, ids), shingle), "jaccard-sets")
+    return stage(_both_ends(pairs, sets, "tokens").mapInPandas(verify, "u long, v long").distinct(), "jaccard-links")
 
 
 def join_similar(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = SHINGLE,
-    similar: tuple[int, int] = SIMILAR,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
 ) -> tuple[DataFrame, DataFrame]:
     """``(classes, links)``.
 
@@ -335,20 +379,14 @@ def join_similar(
     ``links``: verified pairs (``u, v``) that hold all components of different sets
     together; documents with equal sets are joined by their digest instead.
     """
-    if similar != SIMILAR:
-        raise ValueError("segments are laid out for SIMILAR; change it there")
     spark = docs.sparkSession
     in_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
     named = source.where("doc_id is not null")
     bits = max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    met = stage(
-        _parted(named, bits, shingle).groupBy("bucket", "part").applyInPandas(_meet, _MET), "jaccard-met"
-    )
-    rows = met.where("kind = 0").select(F.get("docs", F.lit(0)).alias("doc_id"), "size", "d1", "d2")
-    equal = _equal_sets(rows)
-    links = stage(_links(spark, named, met, equal, shingle, similar), "jaccard-links")
-    labels = components(links.unionByName(equal))
+    met = stage(_parted(named, bits, shingle).groupBy("bucket", "part").applyInPandas(_meet, _MET), "jaccard-met")
+    rows = met.where("kind = 0").select(F.get("docs", F.lit(0)).alias("doc_id"), "size", "d1", "d2", "spare", "sketch")
+    links, labels = _links(named, met, rows, shingle)
     classes = rows.join(labels, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id")
     )
@@ -370,73 +408,71 @@ def _equal_sets(rows: DataFrame) -> DataFrame:
     return rows.join(groups, ["d1", "d2", "size"]).select(F.col("doc_id").alias("u"), "v").where("u <> v")
 
 
-def _links(
-    spark: SparkSession, docs: DataFrame, met: DataFrame, equal: DataFrame, shingle: int, similar: tuple[int, int]
-) -> DataFrame:
-    """Verified pairs that hold the components together."""
-    groups = met.where("kind = 1").select("key", F.get("docs", F.lit(0)).alias("first"), "docs")
-    often = met.where("kind = 2").select("key", F.explode("docs").alias("doc_id"))
-    stars = groups.select(F.col("first").alias("u"), F.explode(F.slice("docs", F.lit(2), F.size("docs"))).alias("v"))
-    stars = stage(stars.distinct(), "jaccard-stars")
-    ids = stars.select(F.col("u").alias("doc_id")).unionByName(stars.select(F.col("v").alias("doc_id")))
-    sets = stage(_sets(_texts_of(docs, ids.unionByName(often.select("doc_id")).distinct()), shingle), "jaccard-sets")
-
-    # a frequent key concerns the sets that have too few other segments at its level
-    slot = F.col("key").bitwiseAND(7).cast("int")
-    counts = often.groupBy("doc_id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    spare = sets.groupBy("doc_id").agg(F.first("spare").alias("spare"))
-    bound = counts.join(spare, "doc_id").where(F.col("n") > F.get("spare", F.col("slot"))).select("doc_id", "slot")
-    kept = stage(
-        often.withColumn("slot", slot).join(bound, ["doc_id", "slot"]).select("key", "doc_id"), "jaccard-frequent"
+def _frequent(met: DataFrame, rows: DataFrame) -> DataFrame:
+    """``key, doc_id`` at frequent keys, of the documents that have too few other segments at the key's level."""
+    often = met.where("kind = 2").select(
+        "key", F.explode("docs").alias("doc_id"), F.col("key").bitwiseAND(7).cast("int").alias("slot")
     )
+    counts = often.groupBy("doc_id", "slot").agg(F.count(F.lit(1)).alias("n"))
+    spare = rows.groupBy("doc_id").agg(F.min("spare").alias("spare"))
+    bound = counts.join(spare, "doc_id").where(F.col("n") > F.get("spare", F.col("slot"))).select("doc_id", "slot")
+    return stage(often.join(bound, ["doc_id", "slot"]).select("key", "doc_id"), "jaccard-frequent")
+
+
+def _links(docs: DataFrame, met: DataFrame, rows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs that hold the components together, and the components' labels."""
+    groups = met.where("kind = 1").select("key", F.get("docs", F.lit(0)).alias("first"), "docs")
+    behind = F.explode(F.slice("docs", F.lit(2), F.size("docs"))).alias("v")
+    kept = _frequent(met, rows)
     firsts = kept.groupBy("key").agg(F.min("doc_id").alias("first"))
     far = kept.join(firsts, "key").where("doc_id <> first").select(F.col("first").alias("u"), F.col("doc_id").alias("v"))
-    tried = stage(stars.unionByName(far).distinct(), "jaccard-tried")
-    links = stage(_linked(tried, sets, similar), "jaccard-first-links")
+    tried = stage(groups.select(F.col("first").alias("u"), behind).unionByName(far).distinct(), "jaccard-tried")
+    possible = _possible(tried, rows)
+    equal = _equal_sets(rows)
 
+    # a document's smallest partner is tried first; most others are then in its component already
+    nearest = possible.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    links = _linked(nearest, docs, shingle)
     labels = stage(components(links.unionByName(equal)), "jaccard-labels")
-    apart = _labelled(tried, labels).where("u_label <> v_label").select("u", "v")
-    apart = sized_broadcast(apart)
+    others = possible.join(nearest, ["u", "v"], "left_anti")
+    links = links.unionByName(_linked(_apart(others, labels), docs, shingle))
+    labels = stage(components(links.unionByName(equal)), "jaccard-labels")
+
     # keys at which a first pair lies in two components: all pairs of different components there
+    apart = sized_broadcast(_apart(tried, labels))
     loose = (
         groups.where(F.size("docs") > 2)
-        .select("key", F.col("first").alias("u"), "docs", F.explode(F.slice("docs", F.lit(2), F.size("docs"))).alias("v"))
+        .select("key", F.col("first").alias("u"), "docs", behind)
         .join(apart, ["u", "v"], "left_semi")
-        .select("key", "docs")
-        .dropDuplicates(["key"])
+        .select("key", F.explode("docs").alias("doc_id"))
     )
-    small = loose.select("key", F.explode("docs").alias("doc_id"))
     mixed = (
-        kept.join(labels, F.col("doc_id") == F.col("node"), "left")
-        .withColumn("label", F.coalesce("label", "doc_id"))
+        _label(kept, labels, "doc_id", "label")
         .groupBy("key")
         .agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         .where("lo <> hi")
         .select("key")
     )
-    members = small.unionByName(kept.join(mixed, "key", "left_semi")).distinct()
-    members = stage(
-        members.join(labels, F.col("doc_id") == F.col("node"), "left").select(
-            "key", "doc_id", F.coalesce("label", "doc_id").alias("label")
-        ),
-        "jaccard-members",
-    )
+    members = loose.unionByName(kept.join(mixed, "key", "left_semi")).distinct()
+    members = stage(_label(members, labels, "doc_id", "label"), "jaccard-members")
     left = members.select("key", F.col("doc_id").alias("u"), F.col("label").alias("u_label"))
     right = members.select("key", F.col("doc_id").alias("v"), F.col("label").alias("v_label"))
     more = left.join(right, "key").where("u < v and u_label <> v_label").select("u", "v").distinct()
-    more = more.join(tried, ["u", "v"], "left_anti")
-    return links.unionByName(_linked(more, sets, similar))
-
-
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Both ends' labels; an end without an edge is its own label."""
-    of_u = labels.select(F.col("node").alias("u"), F.col("label").alias("u_label"))
-    of_v = labels.select(F.col("node").alias("v"), F.col("label").alias("v_label"))
-    return (
-        pairs.join(of_u, "u", "left")
-        .join(of_v, "v", "left")
-        .select("u", "v", F.coalesce("u_label", "u").alias("u_label"), F.coalesce("v_label", "v").alias("v_label"))
-    )
+    more = _possible(more.join(tried, ["u", "v"], "left_anti"), rows)
+    links = links.unionByName(_linked(more, docs, shingle))
+    return links, components(links.unionByName(equal))
+
+
+def _label(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """Add the label of a node; one without an edge is its own label."""
+    named = labels.select(F.col("node").alias(node), F.col("label").alias("_label"))
+    return df.join(named, node, "left").withColumn(name, F.coalesce("_label", node)).drop("_label")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends have different labels."""
+    both = _label(_label(pairs, labels, "u", "u_label"), labels, "v", "v_label")
+    return both.where("u_label <> v_label").select("u", "v")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
