@@ -17,9 +17,11 @@ through; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,8 +34,8 @@ WINDOW = 4096
 CLOSING_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 
-#: Letters of Latin-1 with stops behind: the vocabulary lower-cases them and cuts ahead of the stops.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+#: Letters of Latin-1 with signs behind: the vocabulary lower-cases the letters and cuts ahead of the signs.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 #: Words that a worker remembers.
 KNOWN_WORDS = 1_200_000
@@ -95,6 +97,7 @@ class Words:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are parallel already
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -127,12 +130,11 @@ class Words:
     def learn(self, words: set[str]) -> None:
         """Have the ids of all given words in the newer table."""
         new, old = self.new, self.old
+        missing = words.difference(new)
         met: dict[str, bytes] = {}
-        parts: dict[str, tuple[str, str]] = {}
+        parts: list[tuple[str, str, str]] = []
         plain, other = set(), set()
-        for word in words:
-            if word in new:
-                continue
+        for word in missing:
             if word in old:
                 met[word] = old[word]
                 continue
@@ -140,15 +142,16 @@ class Words:
             if found is None:
                 other.add(word)
                 continue
-            core, tail = found[1].lower(), found[2]
-            parts[word] = core, tail
+            core, tail = found.groups()
+            core = core.lower()
+            parts.append((word, core, tail))
             if core not in new and core not in old:
                 plain.add(core)
             if tail and tail not in new:
                 other.add(tail)
         met.update(self._look_up_plain(sorted(plain)))
         met.update(self._look_up(sorted(other)))
-        for word, (core, tail) in parts.items():
+        for word, core, tail in parts:
             ids = met.get(core) or new.get(core) or old[core]
             met[word] = ids + (met.get(tail) or new[tail]) if tail else ids
         if len(new) + len(met) > KNOWN_WORDS // 2:
@@ -156,10 +159,10 @@ class Words:
         self.new.update(met)
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text; spaces separate words for this vocabulary and have no ids themselves."""
+        """The ids of each text; spaces and line ends separate words for this vocabulary and have no ids."""
         end = np.asarray([CLOSING_ID], "<u4").tobytes()
-        split = [text.split(" ") for text in texts]
-        self.learn({word for words in split for word in words})
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        self.learn(set(chain.from_iterable(split)))
         known = self.new.__getitem__
         for words in split:
             yield b"".join(map(known, words)) + end
