@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on ordinary text, and one on toxic
-text, from the words that recur in toxic rows and hardly occur in ordinary ones.
+text, from the words and word openings that recur in toxic rows and hardly occur in
+ordinary ones.
 The second one continues the first, so both know ordinary text equally well. A
 text is cut into windows of whole words; every window is compressed with both
 dictionaries, and the bytes that the toxic one saves are its distance. Windows of
@@ -39,13 +40,18 @@ WINDOW = 64
 #: Bytes of the ordinary dictionary and of what the toxic one adds.
 ORDINARY_BYTES = 4096
 TOXIC_BYTES = 512
-#: A word teaches toxicity if this part of the toxic rows has it, so many times the part of ordinary rows.
-LEAST_PART = 0.02
-TIMES = 20
+#: A word, or the opening of words, teaches toxicity if this part of the toxic rows has it, so many times the part of
+#: ordinary rows.
+LEAST_PART = 0.015
+TIMES = 8
+LEAST_OPENING = 4
+MOST_OPENING = 9
+#: Least bytes of a match and bytes of telling words that are tried; held-out rows decide.
+MATCHES = ((5, 512), (6, 512), (6, 256), (7, 256))
 #: Distances beyond count as this.
 MOST = 24
 
-_MATCH = 5
+_OPENING = 48
 
 
 def windows(text: str, size: int = WINDOW) -> list[bytes]:
@@ -61,6 +67,15 @@ def windows(text: str, size: int = WINDOW) -> list[bytes]:
     return out
 
 
+def openings(text: str) -> set[bytes]:
+    """Lower-cased words of a text and their first letters."""
+    out = set()
+    for word in set(text.lower().encode("utf-8", "surrogatepass").split()):
+        out.add(word)
+        out.update(word[:k] for k in range(LEAST_OPENING, min(len(word), MOST_OPENING + 1)))
+    return out
+
+
 @dataclass
 class Model:
     """Dictionaries, log ratios by distance and the calibration."""
@@ -68,6 +83,7 @@ class Model:
     ordinary: bytes = b""
     toxic: bytes = b""
     full: bool = True
+    match: int = 5
     ratios: np.ndarray = field(default_factory=lambda: np.zeros(2 * MOST + 1))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
     constant: float | None = None
@@ -83,7 +99,7 @@ class Model:
 
         # the fast strategy with a step leaves literals as they are: a match saves its whole length
         settings = z.ZstdCompressionParameters(
-            window_log=16, hash_log=13, chain_log=13, search_log=4, min_match=_MATCH, target_length=1,
+            window_log=16, hash_log=16, chain_log=16, search_log=4, min_match=self.match, target_length=1,
             strategy=z.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         kind = z.DICT_TYPE_FULLDICT if self.full else z.DICT_TYPE_RAWCONTENT
@@ -94,13 +110,17 @@ class Model:
     def distances(self, text: str) -> np.ndarray:
         """Bytes that the toxic dictionary saves on each window."""
         if self._coders is None:
-            self._coders = (self._coder(self.ordinary), self._coder(self.ordinary + self.toxic))
+            # as much filling as the other one has toxic words keeps all distances to ordinary text the same
+            filling = b"\0" * len(self.toxic)
+            self._coders = (self._coder(self.ordinary + filling), self._coder(self.ordinary + self.toxic))
         plain, toxic = self._coders
-        found = [len(plain(w)) - len(toxic(w)) for w in windows(text)]
+        # an opening that both know makes every window worth compressing, however little else they know of it
+        opening = self.ordinary[-_OPENING:]
+        found = [len(plain(w)) - len(toxic(w)) for w in (opening + w for w in windows(text))]
         return np.clip(np.array(found), -MOST, MOST)
 
-    def features(self, text: str) -> np.ndarray:
-        found = self.distances(text)
+    def features(self, found: np.ndarray) -> np.ndarray:
+        """What the calibration sees of a text's distances."""
         ratios = self.ratios[found + MOST]
         total = ratios.sum()
         return np.array([1.0, total, total / np.sqrt(found.size), found.max() / 4.0])
@@ -108,7 +128,7 @@ class Model:
     def score(self, text: str) -> float:
         if self.constant is not None:
             return self.constant
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
+        return float(1.0 / (1.0 + np.exp(-np.clip(self.features(self.distances(text)) @ self.weights, -30, 30))))
 
 
 def _trained(size: int, samples: list[bytes], segment: int) -> bytes:
@@ -143,35 +163,48 @@ def train(toxic: list[str], ordinary: list[str], toxic_part: float) -> Model:
         return Model(constant=1.0 if toxic else 0.0)
     fit_t, fit_o = toxic[::2], ordinary[::2]
     held_t, held_o = toxic[1::2] or toxic, ordinary[1::2] or ordinary
-    split = lambda text: text.lower().encode("utf-8", "surrogatepass").split()
-    in_t = Counter(w for t in fit_t for w in set(split(t)))
-    in_o = Counter(w for t in fit_o for w in set(split(t)))
+    in_t = Counter(w for t in fit_t for w in openings(t))
+    in_o = Counter(w for t in fit_o for w in openings(t))
     telling = {
         w
         for w, n in in_t.items()
         if n >= max(2, LEAST_PART * len(fit_t)) and n / len(fit_t) > TIMES * in_o[w] / len(fit_o)
     }
-    lines = [[w for w in split(t) if w in telling] for t in fit_t]
-    samples = [b" " + b" ".join(x) + b" " for x in lines if x]
+    # an opening is left to the word or longer opening that stands for nearly all of its rows
+    longest: dict[bytes, int] = {}
+    for w in telling:
+        for k in range(LEAST_OPENING, len(w)):
+            longest[w[:k]] = max(longest.get(w[:k], 0), in_t[w])
+    telling = {w for w in telling if longest.get(w, 0) < 0.8 * in_t[w]}
+    samples = [x for x in (b" " + b" ".join(w for w in openings(t) if w in telling) + b" " for t in fit_t) if len(x) > 2]
     base = _trained(ORDINARY_BYTES, [w for t in fit_o for w in windows(t)], 32)
-    # the most frequent telling words stand last, where they are nearest
+    # the most frequent ones stand last, where they are nearest
     ranked = b" " + b" ".join(sorted(telling, key=lambda w: (in_t[w], w))) + b" "
     learnt = _trained(TOXIC_BYTES + 512, samples, 16) if sum(map(len, samples)) > 8 * TOXIC_BYTES else b""
-    model = Model(
-        base or b" ".join(w for t in fit_o[:50] for w in windows(t))[-ORDINARY_BYTES:] or b" " * 8,
-        (learnt[-TOXIC_BYTES:] + ranked[-TOXIC_BYTES:]) if learnt else ranked[-TOXIC_BYTES:],
-        full=bool(base),
-    )
+    ordinary_bytes = base or b" ".join(w for t in fit_o[:50] for w in windows(t))[-ORDINARY_BYTES:] or b" " * 8
+    best, least = Model(), np.inf
+    for match, content in MATCHES:
+        words = ranked[-content:]
+        model = Model(ordinary_bytes, (learnt[-TOXIC_BYTES:] if match == 5 else b"") + words, bool(base), match)
+        loss = _calibrated(model, held_t, held_o, toxic_part)
+        if loss < least:
+            best, least = model, loss
+    return best
+
+
+def _calibrated(model: Model, toxic: list[str], ordinary: list[str], toxic_part: float) -> float:
+    """Set ratios and weights from texts that had no part in training; the mean log loss there."""
     grid = np.arange(2 * MOST + 1)
-    found_t = [model.distances(t) + MOST for t in held_t]
-    found_o = [model.distances(t) + MOST for t in held_o]
+    found_t = [model.distances(t) + MOST for t in toxic]
+    found_o = [model.distances(t) + MOST for t in ordinary]
     p_t, p_o = (np.bincount(np.concatenate(x), minlength=grid.size) + 0.5 for x in (found_t, found_o))
     model.ratios = np.clip(np.log(p_t / p_t.sum()) - np.log(p_o / p_o.sum()), -4, 4)
-    x = np.array([model.features(t) for t in [*held_t, *held_o]])
-    y = np.array([1.0] * len(held_t) + [0.0] * len(held_o))
-    weight = np.where(y == 1, toxic_part / len(held_t), (1 - toxic_part) / len(held_o)) * len(y)
+    x = np.array([model.features(found - MOST) for found in [*found_t, *found_o]])
+    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
+    weight = np.where(y == 1, toxic_part / len(toxic), (1 - toxic_part) / len(ordinary)) * len(y)
     model.weights = _logistic(x, y, weight)
-    return model
+    p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
+    return float(-(weight * np.log(np.where(y == 1, p, 1 - p) + 1e-12)).sum() / weight.sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
