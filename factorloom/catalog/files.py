@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from factorloom.catalog import inputs as I
 from factorloom.catalog.base import query, table
+from factorloom.plans import publish
+from factorloom.plans.harmonize import Options
 from factorloom.session import scratch_path
 from factorloom.sources import readers, sinks
 
@@ -43,19 +45,30 @@ def src_csv_roundtrip(spark, sf):
 
 @query(
     "src_encoding_probe",
-    "SELECT v.encoding, count(*) AS lines FROM documents, (VALUES ('utf-8'), ('latin1')) v(encoding) GROUP BY 1",
+    r"""SELECT v.encoding, doc_id, md5(text) AS digest FROM (
+  SELECT doc_id, regexp_replace(text, '[\r\n]', ' ', 'g') AS text, regexp_matches(text, '[^\x{00}-\x{ff}]') AS wide FROM documents
+) d, (VALUES ('utf-8'), ('latin1')) v(encoding) WHERE NOT (wide AND v.encoding = 'latin1')""",
 )
 def src_encoding_probe(spark, sf):
-    """Two copies of the texts, one in Latin-1, told apart by their bytes.
-
-    One row per encoding with the rows read back through it.
-    """
+    """Every text in UTF-8 and, where that can hold it, in Latin-1, read back with the encoding found for its file."""
     path = scratch_path(spark, "encodings")
-    lines = table(spark, sf, "documents").select(F.regexp_replace("text", r"[^\x{20}-\x{ff}]", " ").alias("value"))
-    lines.write.option("encoding", "UTF-8").csv(f"{path}/utf8")
-    lines.write.option("encoding", "ISO-8859-1").csv(f"{path}/latin1")
-    probed = readers.probe_encodings(spark, path, "part-*")
-    return probed.groupBy("encoding").agg(F.sum("lines").alias("lines"))
+    # a header with a letter that the two encodings write differently
+    flat = table(spark, sf, "documents").select(
+        "doc_id",
+        F.regexp_replace("text", r"[\r\n]", " ").alias("caf\u00e9"),
+        F.col("text").rlike(r"[^\x{00}-\x{ff}]").alias("wide"),
+    )
+    rows = flat.select("doc_id", "caf\u00e9")
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(**options).csv(f"{path}/utf8")
+    rows.where(~flat["wide"]).write.options(**options, encoding="ISO-8859-1").csv(f"{path}/latin1")
+    found = readers.probe_files(spark, path, "part-*").groupBy("encoding").agg(F.collect_list("path").alias("paths"))
+    result = None
+    for group in found.collect():
+        back = readers.read_csv(spark, group["paths"], "doc_id bigint, value string", encoding=group["encoding"], keep={"value": readers.NULL_TOKENS})
+        part = back.select(F.lit(group["encoding"]).alias("encoding"), "doc_id", F.md5(F.coalesce("value", F.lit(""))).alias("digest"))
+        result = part if result is None else result.unionByName(part)
+    return result
 
 
 @query(
@@ -71,16 +84,14 @@ def src_delimiter_probe(spark, sf):
         table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers")),
         F.col("c_nationkey") == F.col("n_nationkey"),
     )
-    result = None
-    for name, mark in (("comma", ","), ("semicolon", ";"), ("tab", "\t")):
-        rows.select("n_nationkey", "n_name", "customers").coalesce(1).write.option("header", True).option("sep", mark).csv(
-            f"{path}/{name}"
-        )
-        found = readers.probe_delimiter(spark, f"{path}/{name}")
-        back = readers.read_csv(spark, f"{path}/{name}", "n_nationkey int, n_name string, customers bigint", found)
-        part = back.select(F.lit(name).alias("file"), F.lit(found).alias("separator"), "n_name", "customers")
-        result = part if result is None else result.unionByName(part)
-    return result
+    marks = {"comma": ",", "semicolon": ";", "tab": "\t"}
+    for name, mark in marks.items():
+        # the last column's name tells the copies apart
+        named = rows.select("n_nationkey", "n_name", F.col("customers").alias(f"customers_{name}"))
+        named.write.mode("append").option("header", True).option("sep", mark).csv(path)
+    back = readers.read_probed(spark, path, glob="part-*")
+    counts = [F.struct(F.lit(name).alias("file"), F.lit(mark).alias("separator"), F.col(f"customers_{name}").cast("bigint").alias("customers")) for name, mark in marks.items()]
+    return back.select("n_name", F.inline(F.array(*counts))).where("customers is not null")
 
 
 @query(
@@ -137,10 +148,12 @@ def src_union_files(spark, sf):
 def src_json_exchanges(spark, sf):
     """Nested process documents written as JSON, read back and exploded."""
     path = scratch_path(spark, "process-json")
-    I.process_documents(spark, sf).drop("event_id", "source_file").write.json(path)
-    # Spark writes one document per line; whole-file documents take the same schema
-    documents = spark.read.schema(readers.EXCHANGE_SCHEMA).json(path).select("*", F.col("_metadata.file_name").alias("source_file"))
-    exchanges = readers.explode_exchanges(documents)
+    documents = I.process_documents(spark, sf).drop("event_id", "source_file")
+    # every file holds one array of documents, a document on each of its lines
+    packed = documents.select((F.hash(F.to_json(F.struct("*"))) % 64).alias("g"), F.to_json(F.struct("*")).alias("d"))
+    files = packed.groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list("d"), ",\n"), F.lit("]")).alias("value"))
+    files.select("value", "g").write.partitionBy("g").text(path)
+    exchanges = readers.read_exchanges(spark, path)
     return exchanges.groupBy("process_name", "category", "flow_name", "unit").agg(
         F.count(F.lit(1)).alias("rows"), F.round(F.sum("amount"), 4).alias("amount")
     )
@@ -151,13 +164,12 @@ def src_json_exchanges(spark, sf):
     """SELECT region, sector, gas_type, time_period, count(*) AS rows, round(sum(multiplier), 6) AS multiplier FROM raw_multiplier GROUP BY 1, 2, 3, 4""",
 )
 def src_json_inline(spark, sf):
-    """JSON objects that hold an array of records: one object per customer nation."""
+    """JSON objects that hold an array of records: one object, in a file of its own, per region."""
     path = scratch_path(spark, "records-json")
     record = F.struct("region", "sector", "gas_type", "time_period", "multiplier", "confidence")
-    rows = I.raw_multiplier(spark, sf).select(F.array(record).alias("sector_multipliers"))
-    rows.write.json(path)
-    schema = f"sector_multipliers array<struct<{readers._nested(readers.MULTIPLIER_RECORD)}>>"
-    back = spark.read.schema(schema).json(path).select(F.inline("sector_multipliers"))
+    rows = I.raw_multiplier(spark, sf).groupBy(F.hash("region").alias("g")).agg(F.collect_list(record).alias("sector_multipliers"))
+    rows.write.partitionBy("g").json(path)
+    back = readers.read_record_array(spark, path, "sector_multipliers")
     return back.groupBy("region", "sector", "gas_type", "time_period").agg(
         F.count(F.lit(1)).alias("rows"), F.round(F.sum("multiplier"), 6).alias("multiplier")
     )
@@ -165,21 +177,18 @@ def src_json_inline(spark, sf):
 
 @query(
     "src_json_or_jsonl",
-    """SELECT form, conv_id, turn, md5(text) AS digest FROM conversations, (VALUES ('array'), ('lines')) v(form) WHERE role = 'user'""",
+    """SELECT form, conv_id, turn, md5(text) AS digest FROM conversations, (VALUES ('array'), ('lines')) v(form)""",
 )
 def src_json_or_jsonl(spark, sf):
-    """The same records as JSON lines and as JSON arrays, told apart by their first character."""
+    """The same records as JSON lines and as JSON arrays, side by side in one folder."""
     path = scratch_path(spark, "instructions")
-    turns = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
-    turns.write.json(f"{path}/lines")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    turns.withColumn("form", F.lit("lines")).write.json(path)
+    record = F.struct("conv_id", "turn", "text", F.lit("array").alias("form"))
     # every line becomes an array of its own
-    turns.select(F.to_json(F.array(F.struct("conv_id", "turn", "text"))).alias("value")).write.text(f"{path}/array")
-    result = None
-    for form in ("lines", "array"):
-        back = readers.read_json_or_lines(spark, f"{path}/{form}", "conv_id bigint, turn bigint, text string", whole_file=False)
-        part = back.select(F.lit(form).alias("form"), "conv_id", "turn", F.md5("text").alias("digest"))
-        result = part if result is None else result.unionByName(part)
-    return result
+    turns.select(F.to_json(F.array(record)).alias("value")).write.mode("append").text(path)
+    back = readers.read_json_or_lines(spark, path, "conv_id bigint, turn bigint, text string, form string", whole_file=False)
+    return back.select("form", "conv_id", "turn", F.md5("text").alias("digest"))
 
 
 @query(
@@ -192,3 +201,29 @@ def sink_parquet_by_source(spark, sf):
     sinks.write_parquet(I.facts(spark, sf), path)
     kept = spark.read.parquet(path).where("source_dataset = 'Trace'")
     return kept.groupBy("source_dataset", "region").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "pipeline_outputs",
+    """SELECT 'data' AS name, count(*) AS rows FROM harmonized
+UNION ALL SELECT 'crosswalk', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM harmonized WHERE entity_name IS NOT NULL
+  GROUP BY trim(regexp_replace(lower(entity_name), '[^a-z0-9]', ' ', 'g')))
+UNION ALL SELECT 'metadata/about', count(*) FROM harmonized
+UNION ALL SELECT 'graph/regions', count(DISTINCT region) FROM harmonized
+UNION ALL SELECT 'graph/entity_types', count(DISTINCT entity_type) FROM harmonized
+UNION ALL SELECT 'graph/sources', count(DISTINCT source_dataset) FROM harmonized
+UNION ALL SELECT t, (SELECT count(*) FROM harmonized) FROM (VALUES ('graph/emission_factors'), ('graph/ef_to_region'),
+  ('graph/ef_to_entity_type'), ('graph/ef_to_source')) v(t)
+UNION ALL SELECT 'graph/region_hierarchy', 8""",
+)
+def pipeline_outputs(spark, sf):
+    """Rows of everything that one run writes, read back; for the description, the records it states."""
+    path = scratch_path(spark, "outputs")
+    publish.publish(I.datasets(spark, sf), path, Options(unit_mode="reference"), I.AS_OF)
+    about = spark.read.schema("record_count bigint").json(f"{path}/metadata/about")
+    result = about.select(F.lit("metadata/about").alias("name"), F.col("record_count").alias("rows"))
+    tables = ["regions", "entity_types", "sources", "emission_factors", "ef_to_region", "ef_to_entity_type", "ef_to_source", "region_hierarchy"]
+    for name in ["data", "crosswalk", *(f"graph/{t}" for t in tables)]:
+        back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{path}/{name}")
+        result = result.unionByName(back.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows"))
+    return result

@@ -154,7 +154,7 @@ def graph_edge_integrity(spark, sf):
 ORDER BY md5(ef_id || '|star'), ef_id LIMIT 25000""",
 )
 def graph_star_extract(spark, sf):
-    return P.star_rows(I.graph(spark, sf)).drop("region_code", "_ord")
+    return P.star_rows(I.graph(spark, sf), limit=25_000).drop("region_code", "_ord")
 
 
 @query(
@@ -176,7 +176,7 @@ JOIN (SELECT entity_type, avg(ef_value) AS v, count(*) AS n FROM g_facts WHERE r
 ORDER BY abs(a.v / nullif(b.v, 0) - 1) DESC LIMIT 10""",
 )
 def graph_region_vs_global(spark, sf):
-    compared = P.region_against(I.graph(spark, sf), "USA", "GLB")
+    compared = P.region_against(I.graph(spark, sf), "USA", "GLB", limit=10)
     return compared.withColumns(
         {
             "region_avg": F.round("region_avg", 6),
@@ -237,7 +237,7 @@ def graph_mult_by_source(spark, sf):
 FROM g_facts f JOIN g_regions r ON r.region_code = f.region WHERE entity_type = 'energy' ORDER BY ef_id LIMIT 10""",
 )
 def graph_paths(spark, sf):
-    return P.paths(I.graph(spark, sf), "energy").select("path.*")
+    return P.paths(I.graph(spark, sf), "energy", limit=10).select("path.*")
 
 
 @query(
@@ -246,7 +246,7 @@ def graph_paths(spark, sf):
 WHERE region IN (SELECT child_region_code FROM g_hierarchy WHERE parent_region_code = 'EUR') ORDER BY ef_id LIMIT 20""",
 )
 def graph_part_of(spark, sf):
-    return P.part_of(I.graph(spark, sf), "EUR")
+    return P.part_of(I.graph(spark, sf), "EUR", limit=20)
 
 
 @query(
@@ -255,7 +255,7 @@ def graph_part_of(spark, sf):
 WHERE region = 'USA' AND NOT is_outlier AND ef_value > 0 AND ef_value < 100 ORDER BY ef_value DESC, ef_id LIMIT 20""",
 )
 def graph_perf_query(spark, sf):
-    return P.regional_factors(I.graph(spark, sf), "USA")
+    return P.regional_factors(I.graph(spark, sf), "USA", limit=20)
 
 
 @query(
@@ -263,7 +263,7 @@ def graph_perf_query(spark, sf):
     "SELECT ef_id, ef_value, ef_unit, source_dataset FROM g_facts WHERE region = 'FR' ORDER BY ef_id LIMIT 10",
 )
 def graph_region_lookup(spark, sf):
-    return P.factors_of_region(I.graph(spark, sf), "FR")
+    return P.factors_of_region(I.graph(spark, sf), "FR", limit=10)
 
 
 @query(

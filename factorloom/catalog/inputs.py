@@ -23,9 +23,6 @@ from factorloom.sources.registry import predefined
 
 AS_OF = "2025-03-13"
 
-COUNTRIES = (
-    "USA CHN IND DEU FRA GBR BRA RUS JPN CAN AUS ZAF MEX IDN KOR SAU TUR ITA ESP NLD AUT BEL CHE SWE NOR".split()
-)
 PRODUCT_COUNTRIES = ["Austria", "DE", " fr ", "Germany", "Atlantis", "EUROPE", "United States", "South Asia"]
 UNITS = ["kg CO2e", "g CO2e", "12.5", "t CO2e", "kg", "Mt CO2e", "KG CO2E/t", "ratio"]
 FACTOR_SECTORS = [
@@ -121,9 +118,10 @@ def raw_period(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(
         "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate", "l_extendedprice", "l_discount"
     )
-    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    return lines.join(suppliers, "l_suppkey").select(
-        pick(COUNTRIES, F.col("s_nationkey")).alias("country_id"),
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
+    nations = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    return lines.join(suppliers.join(nations, "n_nationkey"), "l_suppkey").select(
+        F.upper(F.substring("n_name", 1, 3)).alias("country_id"),
         switch("l_returnflag", {"A": "electricity", "N": "transportation"}, "manufacturing").alias("sector"),
         switch("l_linestatus", {"O": "road_freight"}, "heat_supply").alias("subsector"),
         F.year("l_shipdate").alias("year"),
@@ -135,12 +133,12 @@ def raw_period(spark: SparkSession, sf: str) -> DataFrame:
 
 view(
     "raw_period",
-    f"""SELECT {pick_sql(COUNTRIES, "s_nationkey")} AS country_id,
+    f"""SELECT upper(n_name[1:3]) AS country_id,
   {switch_sql("l_returnflag", {"A": "electricity", "N": "transportation"}, "manufacturing")} AS sector,
   {switch_sql("l_linestatus", {"O": "road_freight"}, "heat_supply")} AS subsector,
   year(l_shipdate) AS year, month(l_shipdate) AS month,
   l_extendedprice AS value, 0.5::double + l_discount AS confidence
-FROM lineitem JOIN supplier ON s_suppkey = l_suppkey""",
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey""",
 )
 
 

@@ -83,11 +83,10 @@ def replace_first(c: Column | str, target: str, replacement: Column) -> Column:
     """Replace only the first occurrence of a literal; unchanged when absent.
 
     One anchored pattern, so chained calls do not multiply their input.
-    ``replacement`` must not hold ``$`` or a backslash.
     """
-    return F.regexp_replace(
-        col(c), F.lit(rf"(?s)\A(.*?)\Q{target}\E"), F.concat(F.lit("$1"), replacement)
-    )
+    # the regex engine reads backslash and dollar in a replacement
+    plain = F.replace(F.replace(replacement, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return F.regexp_replace(col(c), F.lit(rf"(?s)\A(.*?)\Q{target}\E"), F.concat(F.lit("$1"), plain))
 
 
 def part_before(c: Column | str, separator: str) -> Column:

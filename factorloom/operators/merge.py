@@ -23,6 +23,7 @@ from factorloom.functions.tags import empty_tags, parse_strict
 from factorloom.functions.text import part_before
 from factorloom.operators.ordering import dense_index, keep_first
 from factorloom.operators.outliers import flag_outliers
+from factorloom.schema import by_length
 from factorloom.session import stage
 
 log = logging.getLogger(__name__)
@@ -111,7 +112,7 @@ def repair(df: DataFrame, order: str = "id", method: str = "exact") -> DataFrame
         keep_first(
             df.withColumn("ef_unit", F.when(is_numeric_text("ef_unit"), F.lit(BASE_UNIT)).otherwise(F.col("ef_unit"))),
             DUPLICATE_KEYS,
-            [order],
+            [by_length(order) if dict(df.dtypes)[order] == "string" else F.col(order)],
         )
         .withColumn("region", F.when(F.col("region") == "US", F.lit("USA")).otherwise(F.col("region")))
         .withColumn("entity_type", F.lower(part_before("entity_type", " - "))),

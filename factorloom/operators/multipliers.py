@@ -99,7 +99,6 @@ def lookup_region(region: Column | str = "region") -> Column:
 def apply_regional(
     facts: DataFrame,
     table: DataFrame,
-    order: str = "_ord",
     where: Column | None = None,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
@@ -107,76 +106,39 @@ def apply_regional(
 
     Candidates are the sector tags, else the entity type. Only if no candidate
     has a regional entry are the ``Global`` ones tried, in the same order.
-    A table of bounded size is folded into one sector map per region, so facts
-    are neither exploded nor shuffled. A larger one is joined on
-    (region, sector), which needs ``order`` to be unique. Rows outside ``where``
-    pass through with a null flag.
+    The multiplier depends on region and candidates alone, so each distinct pair
+    of them is resolved once, whatever the size of ``table``, and joined back:
+    by broadcast when the pairs are counted few, else shuffled. Rows outside
+    ``where`` pass through with a null flag.
     """
     eligible = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    small = cut_lineage(table)
-    if small.count() <= max_rows:
-        chosen = _by_region_map(facts, small)
-    else:
-        chosen = _by_sector_join(facts, small, order)
-    hit = F.col("_hit")
+    keyed = facts.withColumn("_region", F.coalesce(lookup_region(), F.lit(""))).withColumn(
+        "_sectors", sectors_or_type("tags", "entity_type")
+    )
+    chosen = _resolved(keyed.select("_region", "_sectors").distinct(), cut_lineage(table))
+    joined = keyed.join(sized_broadcast(chosen, max_rows), ["_region", "_sectors"], "left")
+    hit = F.coalesce("_hit", F.lit(False))
     scaled = F.when(eligible & hit, F.col("ef_value") * F.col("_by")).otherwise(F.col("ef_value"))
     return (
-        chosen.withColumn("ef_value", scaled)
+        joined.withColumn("ef_value", scaled)
         .withColumn("multiplier_applied", F.when(eligible, hit))
         .select(*facts.columns, "multiplier_applied")
     )
 
 
-def _by_region_map(facts: DataFrame, table: DataFrame) -> DataFrame:
-    maps = table.groupBy("region").agg(
-        F.map_from_entries(F.collect_list(F.struct("sector", "multiplier"))).alias("_map")
-    )
-    none = F.from_json(F.lit("{}"), "map<string,double>")
-    everywhere = maps.where(F.col("region") == GLOBAL_REGION).select("_map").scalar()
-    joined = (
-        facts.withColumn("_region", lookup_region())
-        .join(F.broadcast(maps.withColumnRenamed("region", "_region")), "_region", "left")
-        .withColumn("_sectors", sectors_or_type("tags", "entity_type"))
-        .withColumn("_map", F.coalesce("_map", none))
-        .withColumn("_everywhere", F.coalesce(everywhere, none))
-    )
-    regional = F.get(F.filter("_sectors", lambda s: F.map_contains_key(F.col("_map"), s)), 0)
-    fallback = F.get(F.filter("_sectors", lambda s: F.map_contains_key(F.col("_everywhere"), s)), 0)
+def _resolved(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """``_region, _sectors, _by, _hit`` of the pairs that have an entry."""
+    candidates = pairs.select("_region", "_sectors", F.posexplode("_sectors").alias("_pos", "sector"))
+    regional = candidates.join(table.withColumnRenamed("region", "_region"), ["_region", "sector"])
+    overall = candidates.join(table.where(F.col("region") == GLOBAL_REGION).drop("region"), "sector")
+    columns = ["_region", "_sectors", "_pos", "multiplier"]
     return (
-        joined.withColumn("_s", regional)
-        .withColumn("_g", fallback)
-        .withColumn("_hit", F.col("_s").isNotNull() | F.col("_g").isNotNull())
-        .withColumn(
-            "_by",
-            F.when(F.col("_s").isNotNull(), F.try_element_at("_map", F.col("_s"))).otherwise(
-                F.try_element_at("_everywhere", F.col("_g"))
-            ),
-        )
-    )
-
-
-def _by_sector_join(facts: DataFrame, table: DataFrame, order: str) -> DataFrame:
-    candidates = facts.select(
-        F.col(order).alias("_o"),
-        lookup_region().alias("region"),
-        F.posexplode(sectors_or_type("tags", "entity_type")).alias("_pos", "sector"),
-    )
-    keyed = table.withColumn("_found", F.lit(True))
-    regional = candidates.join(keyed, ["region", "sector"]).withColumn("_level", F.lit(0))
-    overall = (
-        candidates.drop("region")
-        .join(keyed.where(F.col("region") == GLOBAL_REGION).drop("region"), "sector")
-        .withColumn("_level", F.lit(1))
-    )
-    columns = ["_o", "_level", "_pos", "multiplier"]
-    first = (
-        regional.select(*columns)
-        .unionByName(overall.select(*columns))
-        .groupBy("_o")
+        regional.select(*columns, F.lit(0).alias("_level"))
+        .unionByName(overall.select(*columns, F.lit(1).alias("_level")))
+        .groupBy("_region", "_sectors")
         .agg(F.min(F.struct("_level", "_pos", "multiplier")).alias("_first"))
-        .select(F.col("_o").alias(order), F.col("_first.multiplier").alias("_by"), F.lit(True).alias("_hit"))
+        .select("_region", "_sectors", F.col("_first.multiplier").alias("_by"), F.lit(True).alias("_hit"))
     )
-    return facts.join(first, order, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
 
 
 def unmatched(facts: DataFrame, table: DataFrame) -> DataFrame:

@@ -15,9 +15,11 @@ _STATS = ["n", "mean", "std", "q"]
 
 def _flag(value: Column, n: Column, mean: Column, std: Column, q1: Column, q3: Column, z: float) -> Column:
     spread = q3 - q1
-    # no spread gives a null score, which never flags
-    far = F.coalesce(F.abs(F.try_divide(value - mean, std)) > z, F.lit(False))
-    outside = (spread > 0) & (
+    # no spread gives a null score and an infinite value in the group gives NaN ones, which are above any
+    # number here; neither flags. The infinite value itself lies outside the quartile fences.
+    score = F.abs(F.try_divide(value - mean, std))
+    far = F.coalesce((score > z) & ~F.isnan(score), F.lit(False))
+    outside = (spread > 0) & ~F.isnan(spread) & (
         (value < q1 - OUTLIER_IQR_FACTOR * spread) | (value > q3 + OUTLIER_IQR_FACTOR * spread)
     )
     return F.coalesce((n >= OUTLIER_MIN_VALUES) & (far | outside), F.lit(False))

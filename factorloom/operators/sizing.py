@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from factorloom.session import cut_lineage
 
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 256 << 20
 HOT_ROWS = 1_000_000
 HOT_KEYS = 1024
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a dimension once, count it, and hint a broadcast only if it is small.
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, computed: bool = False) -> DataFrame:
+    """Compute a dimension once, measure it, and hint a broadcast only if it is small.
 
-    Beyond the bound the same rows come back without a hint, so the join is
-    shuffled and adaptive execution splits its hot partitions.
+    Both rows and bytes (as text) are bounded. Beyond either bound the same rows come
+    back without a hint, so the join is shuffled and adaptive execution splits its hot
+    partitions. ``computed`` tables are already written and are measured as they are.
     """
-    small = cut_lineage(df)
-    return F.broadcast(small) if small.count() <= max_rows else small
+    small = df if computed else cut_lineage(df)
+    text = F.to_json(F.struct(*(F.col(f"`{c}`") for c in small.columns)))
+    rows, size = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).head()
+    return F.broadcast(small) if rows <= max_rows and size <= BROADCAST_BYTES else small
 
 
 def join_by_weight(

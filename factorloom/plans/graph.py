@@ -18,7 +18,7 @@ from factorloom.functions.regions import graph_region_continent, graph_region_na
 from factorloom.functions.text import slug, source_version
 from factorloom.operators.ordering import first_seen_ordinals
 from factorloom.operators.sizing import sized_broadcast
-from factorloom.schema import as_of_date
+from factorloom.schema import as_of_date, by_length
 from factorloom.session import cut_lineage
 
 
@@ -41,7 +41,7 @@ def fact_nodes(df: DataFrame, key: str = "id", as_of: str | None = None) -> Data
         "region",
         "entity_type",
         "source_dataset",
-        F.col(key).cast("string").alias("_ord"),
+        by_length(key).alias("_ord"),
     )
 
 
@@ -159,13 +159,13 @@ class FactorGraph:
 
     def edges_to_type(self) -> DataFrame:
         names = self.types.select(F.col("type_name").alias("entity_type"), "type_id")
-        return self.facts.join(sized_broadcast(names), "entity_type", "left").select(
+        return self.facts.join(sized_broadcast(names, computed=True), "entity_type", "left").select(
             "ef_id", F.coalesce("type_id", F.lit("")).alias("type_id"), "confidence"
         )
 
     def edges_to_source(self) -> DataFrame:
         names = self.sources.select(F.col("name").alias("source_dataset"), "source_id")
-        return self.facts.join(sized_broadcast(names), "source_dataset", "left").select(
+        return self.facts.join(sized_broadcast(names, computed=True), "source_dataset", "left").select(
             "ef_id", F.coalesce("source_id", F.lit("")).alias("source_id"), "timestamp"
         )
 

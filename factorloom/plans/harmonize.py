@@ -67,9 +67,7 @@ def harmonize(datasets: dict[str, DataFrame], options: Options = Options()) -> D
     if options.multiplier_dataset in datasets:
         rows = apply_units(staged, options.unit_mode).where(F.col("_dataset") == options.multiplier_dataset)
         table = multipliers.multiplier_table(rows, options.order, options.region_key)
-        merged = multipliers.apply_regional(
-            merged, table, options.order, where=F.col("_dataset") != options.multiplier_dataset
-        )
+        merged = multipliers.apply_regional(merged, table, where=F.col("_dataset") != options.multiplier_dataset)
     return merged.select(*[c for c in MERGED_COLUMNS if c in merged.columns])
 
 

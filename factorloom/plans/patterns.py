@@ -7,7 +7,7 @@ as the graph query language does: first when descending.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.bands import value_band
@@ -62,7 +62,7 @@ def compare_regions(g: FactorGraph, entity_type: str, regions: list[str]) -> Dat
     )
 
 
-def region_against(g: FactorGraph, region: str, other: str, limit: int | None = 10) -> DataFrame:
+def region_against(g: FactorGraph, region: str, other: str, limit: int | None = None) -> DataFrame:
     """Averages of two regions per entity type, most different ratio first.
 
     Pairing all facts of both regions would make ``n1 * n2`` rows; each side is
@@ -137,53 +137,46 @@ def multiplier_counts(g: FactorGraph, by: str) -> DataFrame:
     )
 
 
-def paths(g: FactorGraph, entity_type: str, limit: int = 10) -> DataFrame:
+def _first(rows: DataFrame, order: list[Column | str], limit: int | None) -> DataFrame:
+    """The first ``limit`` rows, or all of them, unordered."""
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
+
+
+def paths(g: FactorGraph, entity_type: str, limit: int | None = None) -> DataFrame:
     """Fact, type and region of one entity type as a path, first ``limit`` by id."""
-    chosen = (
-        g.facts.where((F.col("entity_type") == entity_type) & existing("region")).orderBy("ef_id").limit(limit)
-    )
+    chosen = _first(g.facts.where((F.col("entity_type") == entity_type) & existing("region")), ["ef_id"], limit)
     named = chosen.join(_region_names(g), "region")
     path = F.struct("ef_id", "entity_name", "ef_value", "entity_type", F.col("region").alias("region_code"), "region_name")
     return named.select(path.alias("path"))
 
 
-def part_of(g: FactorGraph, parent: str, limit: int | None = 20) -> DataFrame:
+def part_of(g: FactorGraph, parent: str, limit: int | None = None) -> DataFrame:
     """Facts of the regions below ``parent``; the child codes are looked up first."""
     children = g.hierarchy.where(F.col("parent_region_code") == parent).select(
         F.col("child_region_code").alias("region")
     )
     rows = g.facts.join(children.distinct(), "region", "left_semi")
-    if limit:
-        rows = rows.orderBy("ef_id").limit(limit)
-    return rows.join(_region_names(g), "region").select(
+    return _first(rows, ["ef_id"], limit).join(_region_names(g), "region").select(
         "ef_id", "entity_name", "ef_value", "ef_unit", F.col("region_name").alias("country")
     )
 
 
-def regional_factors(g: FactorGraph, region: str, low: float = 0.0, high: float = 100.0, limit: int = 20) -> DataFrame:
+def regional_factors(g: FactorGraph, region: str, low: float = 0.0, high: float = 100.0, limit: int | None = None) -> DataFrame:
     """Largest non-outlier values of one region inside a range."""
-    return (
-        g.facts.where(
-            (F.col("region") == region)
-            & ~F.col("is_outlier")
-            & (F.col("ef_value") > low)
-            & (F.col("ef_value") < high)
-            & existing("entity_type")
-            & existing("source_dataset")
-        )
-        .select("ef_id", "entity_name", "ef_value", "ef_unit", "entity_type", "source_dataset", "confidence")
-        .orderBy(F.desc("ef_value"), "ef_id")
-        .limit(limit)
-    )
+    rows = g.facts.where(
+        (F.col("region") == region)
+        & ~F.col("is_outlier")
+        & (F.col("ef_value") > low)
+        & (F.col("ef_value") < high)
+        & existing("entity_type")
+        & existing("source_dataset")
+    ).select("ef_id", "entity_name", "ef_value", "ef_unit", "entity_type", "source_dataset", "confidence")
+    return _first(rows, [F.desc("ef_value"), "ef_id"], limit)
 
 
-def factors_of_region(g: FactorGraph, region: str, limit: int = 10) -> DataFrame:
-    return (
-        g.facts.where(F.col("region") == region)
-        .select("ef_id", "ef_value", "ef_unit", "source_dataset")
-        .orderBy("ef_id")
-        .limit(limit)
-    )
+def factors_of_region(g: FactorGraph, region: str, limit: int | None = None) -> DataFrame:
+    rows = g.facts.where(F.col("region") == region).select("ef_id", "ef_value", "ef_unit", "source_dataset")
+    return _first(rows, ["ef_id"], limit)
 
 
 def industry_reference(g: FactorGraph, entity_type: str, region: str) -> DataFrame:
@@ -192,7 +185,7 @@ def industry_reference(g: FactorGraph, entity_type: str, region: str) -> DataFra
     return rows.select("ef_id", "ef_value", F.col("region").alias("region_code"), "entity_type")
 
 
-def star_rows(g: FactorGraph, limit: int | None = 25_000) -> DataFrame:
+def star_rows(g: FactorGraph, limit: int | None = None) -> DataFrame:
     """Flat fact rows with all three ends present, the input of the instruction builder."""
     rows = g.facts.where(existing("region") & existing("entity_type") & existing("source_dataset"))
     if limit:

@@ -38,6 +38,12 @@ def sortable(number: Column | str) -> Column:
     return F.lpad(value.cast("string"), 19, "0")
 
 
+def by_length(text: Column | str) -> Column:
+    """A key that sorts shorter texts first: padded ids stay in number order when they outgrow their padding."""
+    value = F.col(text).cast("string") if isinstance(text, str) else text.cast("string")
+    return F.concat(F.lpad(F.length(value).cast("string"), 6, "0"), F.lit("/"), value)
+
+
 def as_of_date(as_of: Column | str | None = None) -> Column:
     """Processing date as ``YYYY-MM-DD`` text; today unless given."""
     if as_of is None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,12 @@ from factorloom.functions.text import contains_any
 
 log = logging.getLogger(__name__)
 
+#: Spark's name of a listed encoding, where it has another one.
+CHARSETS = {"latin1": "ISO-8859-1"}
+
+#: Of a header line this much is kept; it decides separator and JSON form only, and tells headers apart.
+HEADER_CHARS = 10_000
+
 
 def nullify_tokens(df: DataFrame, keep: dict[str, list[str]] | None = None) -> DataFrame:
     """Null-like words of delimited text to null, NaN to null.
@@ -53,7 +60,7 @@ def read_csv(
     reader = (
         spark.read.option("header", True)
         .option("sep", separator)
-        .option("encoding", encoding)
+        .option("encoding", CHARSETS.get(encoding, encoding))
         .option("multiLine", False)
         .option("escape", '"')
     )
@@ -62,9 +69,12 @@ def read_csv(
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there; any other trouble in reading it is an error."""
     try:
-        spark.read.format("binaryFile").load(path).select("path").isEmpty()
-    except Exception:  # noqa: BLE001 - any unreadable path counts as absent
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
     return True
 
@@ -84,22 +94,78 @@ def load_datasets(
     return loaded
 
 
-def probe_encodings(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """One row per file: name, lines and the first listed encoding that decodes it.
+def probe_files(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
+    """One row per file from one scan: lines, encoding, header, separator and JSON form.
 
-    The text reader keeps raw bytes and UTF-8 never splits a character at a
-    line end, so lines are tested apart and large files stay splittable.
-    Latin-1, the next in the list, decodes anything.
+    The text reader keeps raw bytes and UTF-8 never splits a character at a line
+    end, so lines are tested apart and large files stay splittable. Latin-1, the
+    next encoding in the list, decodes anything. The header is the first line that
+    is not blank; the separator is the first of comma, semicolon and tab that
+    splits it; a JSON file is an array if its header opens with ``[``.
     """
+    block = F.col("_metadata.file_block_start")
     lines = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .text(path)
-        .select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("valid"))
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.is_valid_utf8("value").alias("valid"),
+            F.when(F.trim("value") != "", F.struct(block.alias("block"), F.monotonically_increasing_id().alias("row"))).alias("at"),
+            F.substring(
+                F.coalesce(F.try_validate_utf8("value"), F.decode(F.col("value").cast("binary"), CHARSETS[ENCODINGS[1]])), 1, HEADER_CHARS
+            ).alias("line"),
+        )
     )
     encoding = F.when(F.min("valid"), F.lit(ENCODINGS[0])).otherwise(F.lit(ENCODINGS[1]))
-    per_file = lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), encoding.alias("encoding"))
-    return per_file.select(file_name("path").alias("file_name"), "path", "lines", "encoding")
+    per_file = lines.groupBy("path").agg(
+        F.count(F.lit(1)).alias("lines"), encoding.alias("encoding"), F.coalesce(F.min_by("line", "at"), F.lit("")).alias("header")
+    )
+    separator = F.lit(DELIMITERS[-1])
+    for mark in reversed(DELIMITERS):
+        separator = F.when(F.col("header").contains(mark), F.lit(mark)).otherwise(separator)
+    return per_file.select(
+        file_name("path").alias("file_name"),
+        "path",
+        "lines",
+        "encoding",
+        "header",
+        separator.alias("separator"),
+        F.ltrim("header").startswith("[").alias("is_array"),
+    )
+
+
+def probe_encodings(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """One row per file: name, lines and the first listed encoding that decodes it."""
+    return probe_files(spark, path, glob).select("file_name", "path", "lines", "encoding")
+
+
+def read_probed(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType | str | None = None,
+    glob: str = "*",
+    separators: bool = True,
+    keep: dict[str, list[str]] | None = None,
+) -> DataFrame:
+    """Delimited files, each read with its own separator and encoding, rows labelled with ``source_file``.
+
+    Files are grouped by header, separator and encoding, and each group is read
+    once. Without a schema each group's types are inferred; groups are stacked by
+    column name. The driver holds one row per file, as Spark's file index does.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for row in probe_files(spark, path, glob).where("header <> ''").collect():
+        mark = row["separator"] if separators else ","
+        groups.setdefault((row["header"], mark, row["encoding"]), []).append(row["path"])
+    stacked = None
+    for (_, mark, encoding), paths in sorted(groups.items()):
+        part = read_csv(spark, paths, schema, mark, encoding, keep)
+        part = part.select("*", F.col("_metadata.file_name").alias("source_file"))
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    if stacked is None:
+        raise ValueError("no file could be read")
+    return stacked
 
 
 def file_name(path: Column | str) -> Column:
@@ -107,13 +173,11 @@ def file_name(path: Column | str) -> Column:
 
 
 def probe_delimiter(spark: SparkSession, path: str) -> str:
-    """First of comma, semicolon and tab that splits the header into several columns."""
-    header = spark.read.text(path).limit(1).head()
-    line = header[0] if header else ""
-    for mark in DELIMITERS:
-        if len(line.split(mark)) > 1:
-            return mark
-    return DELIMITERS[-1]
+    """The separator that all files of ``path`` share; an error if they differ."""
+    found = [r[0] for r in probe_files(spark, path).where("header <> ''").select("separator").distinct().collect()]
+    if len(found) > 1:
+        raise ValueError(f"files of {path} have different separators: read them with read_probed")
+    return found[0] if found else DELIMITERS[-1]
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -151,22 +215,29 @@ def discover_json(files: DataFrame) -> DataFrame:
     return files.where(F.col("file_name").endswith(".json") & named)
 
 
-def union_files(spark: SparkSession, paths: list[str], schema: T.StructType | str | None = None) -> DataFrame:
+def union_files(
+    spark: SparkSession, paths: list[str], schema: T.StructType | str | None = None, skipped: list[str] | None = None
+) -> DataFrame:
     """Stack files of differing columns, each row labelled with its file name.
 
-    The separator of ``.txt`` files is probed. An unreadable file is logged and
-    skipped; none readable is an error.
+    The separator of ``.txt`` files is probed, and the encoding of all. Absent paths
+    are logged, added to ``skipped`` and left out; a file that cannot be read is an
+    error, and so is a list without any file.
     """
-    stacked = None
+    there = []
     for path in paths:
-        try:
-            mark = probe_delimiter(spark, path) if path.endswith(".txt") else ","
-            part = read_csv(spark, path, schema, mark)
-            part = part.select("*", F.col("_metadata.file_name").alias("source_file"))
-        except Exception as error:  # noqa: BLE001 - one bad file must not stop the rest
-            log.error("cannot read %s: %s", path, error)
-            continue
-        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+        if path_exists(spark, path):
+            there.append(path)
+        else:
+            log.error("no such file: %s", path)
+            if skipped is not None:
+                skipped.append(path)
+    stacked = None
+    for text in (False, True):
+        own = [path for path in there if path.endswith(".txt") == text]
+        if own:
+            part = read_probed(spark, own, schema, separators=text)
+            stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
     if stacked is None:
         raise ValueError("no file could be read")
     return stacked
@@ -237,17 +308,23 @@ INSTRUCTION_SCHEMA = (
 
 
 def read_json_or_lines(
-    spark: SparkSession, path: str, schema: str = INSTRUCTION_SCHEMA, whole_file: bool = True
+    spark: SparkSession, path: str | list[str], schema: str = INSTRUCTION_SCHEMA, whole_file: bool = True
 ) -> DataFrame:
-    """A JSON array of records, or one record per line.
+    """JSON arrays of records and files with one record per line, also side by side.
 
-    The first non-blank character decides: an array opens with ``[``. An array
-    may span a whole file; with ``whole_file=False`` it must fit on its line,
-    which keeps large files splittable.
+    The first non-blank character of each file decides: an array opens with ``[``.
+    An array may span a whole file; with ``whole_file=False`` it must fit on its
+    line, which keeps large files splittable. A record that does not parse is an
+    error.
     """
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).head()
-    is_array = first is not None and first[0].lstrip().startswith("[")
-    return spark.read.schema(schema).option("multiLine", is_array and whole_file).json(path)
+    forms: dict[bool, list[str]] = {False: [], True: []}
+    for row in probe_files(spark, path).where("header <> ''").collect():
+        forms[row["is_array"] and whole_file].append(row["path"])
+    reader = spark.read.schema(schema).option("mode", "FAILFAST")
+    parts = [reader.option("multiLine", spans).json(paths) for spans, paths in forms.items() if paths]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def load_train_and_validation(spark: SparkSession, train: str, validation: str) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from factorloom.operators.profile import metadata_profile, summary_lines
 from factorloom.operators.sampling import split_share
+from factorloom.schema import as_of_date
 from factorloom.sources.readers import file_name
 
 
@@ -29,8 +30,11 @@ def checksums(spark, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header CSV plus a ``.md5`` side table with one checksum per part file."""
-    flatten_for_text(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Header CSV plus a ``.md5`` side table with one checksum per part file.
+
+    A checksum reads a file whole, so part files are kept below ``PART_ROWS`` rows.
+    """
+    flatten_for_text(df).write.mode("overwrite").option("maxRecordsPerFile", PART_ROWS).option("header", True).option("escape", '"').csv(path)
     lines = checksums(df.sparkSession, path).select(F.concat_ws("  ", "md5", "file_name").alias("value"))
     lines.write.mode("overwrite").text(f"{path}.md5")
 
@@ -44,9 +48,60 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_metadata(df: DataFrame, path: str) -> None:
-    """Dataset metadata as JSON lines (section, item, value)."""
-    metadata_profile(df).write.mode("overwrite").json(path)
+PART_ROWS = 1_000_000
+
+PROCESSING_STEPS = [
+    "loaded and shaped every source",
+    "linked entities across sources",
+    "numbered the rows",
+    "flagged outliers",
+    "standardised units",
+    "applied regional multipliers",
+]
+
+
+def about(
+    df: DataFrame, title: str, description: str, version: str, as_of: str | None = None, steps: list[str] | None = None
+) -> DataFrame:
+    """One row that describes a merged table: texts, date, columns, sources, counts, confidence range and steps."""
+    text = lambda x: F.lit(x).cast("string")
+    counted = df.agg(
+        F.count(F.lit(1)).alias("record_count"),
+        F.sort_array(F.collect_set("source_dataset")).alias("source_datasets"),
+        F.count_distinct("region").alias("regions"),
+        F.array(F.coalesce(F.min("confidence"), F.lit(0.0)), F.coalesce(F.max("confidence"), F.lit(0.0))).alias("confidence_range"),
+    )
+    return counted.select(
+        text(title).alias("title"),
+        text(description).alias("description"),
+        text(version).alias("version"),
+        as_of_date(as_of).alias("created_at"),
+        "source_datasets",
+        "record_count",
+        F.array(*(text(c) for c in df.columns)).alias("columns"),
+        "regions",
+        "confidence_range",
+        F.array(*(text(x) for x in (steps if steps is not None else PROCESSING_STEPS))).alias("processing_steps"),
+    )
+
+
+def write_metadata(
+    df: DataFrame,
+    path: str,
+    title: str = "Harmonised factors",
+    description: str = "Factors of all sources in one schema",
+    version: str = "1.0",
+    as_of: str | None = None,
+) -> None:
+    """Dataset metadata as JSON: ``about`` has one object, ``counts`` lines of (section, item, value)."""
+    write_json(about(df, title, description, version, as_of), f"{path}/about")
+    write_json(metadata_profile(df), f"{path}/counts")
+
+
+def write_graph(tables: dict[str, DataFrame], path: str) -> None:
+    """Header CSV of every table of a graph export, one folder each."""
+    for name, df in tables.items():
+        flatten_for_text(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/{name}")
 
 
 def write_summary(df: DataFrame, path: str) -> None:

@@ -63,6 +63,9 @@ def brute_outliers(values, z):
         [1.0, 2.0, 3.0] * 5 + [50.0, None, float("nan")],
         [1.0] * 5 + [99.0],
         [None] * 12,
+        [float(i % 5) for i in range(30)] + [float("inf")],
+        [float(i % 5) for i in range(30)] + [float("-inf"), float("inf")],
+        [float("inf")] * 12,
     ],
 )
 def test_outliers_match_the_rule(spark, values):
@@ -184,7 +187,7 @@ def test_multiplier_table_last_row_wins_and_global_fallback(spark):
 
 
 @pytest.mark.parametrize("max_rows", [0, 1000])
-def test_regional_multipliers_on_both_paths(spark, max_rows):
+def test_regional_multipliers(spark, max_rows):
     facts = spark.createDataFrame(
         [
             (0, "US", ["sector:energy"], "x", 10.0),
@@ -195,12 +198,16 @@ def test_regional_multipliers_on_both_paths(spark, max_rows):
             (5, None, ["sector:none", "sector:rare"], "x", 10.0),
             (6, "FR", ["sector:none", "sector:waste"], "x", None),
             (7, "fr", ["sector:Waste"], "x", 10.0),
+            (8, "DE", ["sector:waste"], "x", 20.0),
+            (8, "US", ["sector:energy"], "x", 20.0),
         ],
         "_ord int, region string, tags array<string>, entity_type string, ef_value double",
     )
     table = multipliers.multiplier_table(multiplier_rows(spark))
     got = multipliers.apply_regional(facts, table, max_rows=max_rows, where=F.col("_ord") != 7)
-    assert {r["_ord"]: (r.ef_value, r.multiplier_applied) for r in got.collect()} == {
+    rows = got.collect()
+    assert sorted(r.ef_value for r in rows if r["_ord"] == 8) == [14.0, 26.0]
+    assert {r["_ord"]: (r.ef_value, r.multiplier_applied) for r in rows if r["_ord"] != 8} == {
         0: (13.0, True),
         1: (20.0, True),
         2: (7.0, True),
@@ -310,3 +317,17 @@ def test_metrics_without_scorable_rows_are_null(spark):
         [(1, "q", "", "0 kg", None)], "id int, instruction string, input string, output string, sources array<string>"
     )
     assert tuple(scoring.metrics(scoring.score_rows(answers, truth)).head()) == (None, None, None)
+
+
+def test_ids_past_their_padding_keep_number_order(spark):
+    from factorloom.plans.graph import fact_nodes, source_nodes, type_nodes
+
+    row = ("e", "n", "t - x", 1.0, "kg", "US", "s", 0.5, "2025", False, False)
+    names = "entity_id string, entity_name string, entity_type string, ef_value double, ef_unit string, region string, "
+    names += "source_dataset string, confidence double, timestamp string, is_outlier boolean, multiplier_applied boolean, id string"
+    df = spark.createDataFrame([(*row, "EF100000000"), (*row, "EF99999999")], names).withColumn("tags", F.array())
+    assert [r.id for r in merge.repair(df).collect()] == ["EF99999999"]
+    two = [(*row[:2], "late", *row[3:6], "late_1", *row[7:], "EF100000000"), (*row[:2], "early", *row[3:6], "early_1", *row[7:], "EF99999999")]
+    facts = fact_nodes(spark.createDataFrame(two, names))
+    assert {r.type_name: r.type_id for r in type_nodes(facts).collect()} == {"early": "type_1", "late": "type_2"}
+    assert {r.name: r.source_id for r in source_nodes(facts).collect()} == {"early_1": "source_1", "late_1": "source_2"}

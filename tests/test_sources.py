@@ -207,7 +207,9 @@ def test_summary_and_metadata_files(spark, tmp_path):
     lines = [r.value for r in spark.read.text(str(tmp_path / "s")).collect()]
     assert "Total records: 5" in lines and "- product: 5" in lines and "- FR: 5" not in lines
     sinks.write_metadata(small(spark), str(tmp_path / "m"))
-    found = {(r.section, r.item): r.value for r in spark.read.json(str(tmp_path / "m")).collect()}
+    found = {(r.section, r.item): r.value for r in spark.read.json(str(tmp_path / "m" / "counts")).collect()}
+    about = spark.read.json(str(tmp_path / "m" / "about")).head()
+    assert about.record_count == 5 and about.version == "1.0" and "ef_value" in about["columns"] and about.processing_steps
     assert found[("total", "record_count")] == 5.0 and found[("distinct", "region")] == 1.0
 
 
@@ -232,3 +234,37 @@ def test_registry(spark):
         sources.add(spec)
     assert set(sources.load_all(spark, {"toy": "x", "other": "y"})) == {"toy"}
     assert len(registry.CANONICALIZERS) == 9
+
+
+def test_mixed_json_folder_keeps_every_record(spark, tmp_path):
+    write(tmp_path / "j" / "a.json", '{"instruction": "a"}\n{"instruction": "b"}\n')
+    write(tmp_path / "j" / "b.json", '\n[{"instruction": "c"},\n {"instruction": "d"}]\n')
+    write(tmp_path / "j" / "c.json", '  [{"instruction": "e"}]')
+    got = readers.read_json_or_lines(spark, str(tmp_path / "j"))
+    assert sorted(r.instruction for r in got.collect()) == ["a", "b", "c", "d", "e"]
+    write(tmp_path / "k" / "a.json", '{"instruction": "a"}\n{"instr')
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        readers.read_json_or_lines(spark, str(tmp_path / "k")).collect()
+
+
+def test_files_are_read_as_they_are(spark, tmp_path):
+    write(tmp_path / "m" / "a.txt", "n;é\n1;é\n")
+    write(tmp_path / "m" / "b.txt", "n;é\n2;ü\n", "latin1")
+    write(tmp_path / "m" / "c.txt", "\nn\tx\n3\ty\n")
+    got = readers.read_probed(spark, str(tmp_path / "m"))
+    assert sorted((r.n, r["é"], r.x, r.source_file) for r in got.collect()) == [
+        (1, "é", None, "a.txt"),
+        (2, "ü", None, "b.txt"),
+        (3, None, "y", "c.txt"),
+    ]
+    with pytest.raises(ValueError, match="different separators"):
+        readers.probe_delimiter(spark, str(tmp_path / "m"))
+
+
+def test_only_absent_files_are_skipped(spark, tmp_path):
+    path = write(tmp_path / "u.csv", "a,b\n1,2\n")
+    skipped = []
+    assert readers.union_files(spark, [path, str(tmp_path / "none.csv")], skipped=skipped).count() == 1
+    assert skipped == [str(tmp_path / "none.csv")]
+    with pytest.raises(ValueError, match="no file"):
+        readers.union_files(spark, [str(tmp_path / "none.csv")])
