@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import in_batches, whole
@@ -409,14 +409,31 @@ def _equal_sets(rows: DataFrame) -> DataFrame:
 
 
 def _frequent(met: DataFrame, rows: DataFrame) -> DataFrame:
-    """``key, doc_id`` at frequent keys, of the documents that have too few other segments at the key's level."""
+    """``key, doc_id, active`` at frequent keys, of the documents that have too few other segments at the key's level.
+
+    Such a document may still leave out as many keys as it has spare segments, the
+    most frequent ones; it looks for partners (``active``) at the others alone and
+    can be found at all of them. Where a level shows it too few segments at all, it
+    can only be found. Keys at which nobody looks are left out.
+    """
     often = met.where("kind = 2").select(
         "key", F.explode("docs").alias("doc_id"), F.col("key").bitwiseAND(7).cast("int").alias("slot")
     )
-    counts = often.groupBy("doc_id", "slot").agg(F.count(F.lit(1)).alias("n"))
+    often = stage(often.distinct(), "jaccard-often")
     spare = rows.groupBy("doc_id").agg(F.min("spare").alias("spare"))
-    bound = counts.join(spare, "doc_id").where(F.col("n") > F.get("spare", F.col("slot"))).select("doc_id", "slot")
-    return stage(often.join(bound, ["doc_id", "slot"]).select("key", "doc_id"), "jaccard-frequent")
+    counts = often.groupBy("doc_id", "slot").agg(F.count(F.lit(1)).alias("n"))
+    short = (
+        counts.join(spare, "doc_id")
+        .select("doc_id", "slot", "n", F.get("spare", F.col("slot")).alias("spare"))
+        .where("n > spare")
+    )
+    known = often.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
+    # a document's own keys of a level, rarest first
+    rarest = Window.partitionBy("doc_id", "slot").orderBy("f", "key")
+    placed = often.join(short, ["doc_id", "slot"]).join(known, "key").withColumn("r", F.row_number().over(rarest))
+    active = (F.col("spare") >= 0) & (F.col("r") <= F.col("n") - F.col("spare"))
+    kept = stage(placed.select("key", "doc_id", active.alias("active")), "jaccard-frequent")
+    return kept.join(kept.where("active").select("key").distinct(), "key", "left_semi")
 
 
 def _links(docs: DataFrame, met: DataFrame, rows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
@@ -444,7 +461,7 @@ def _links(docs: DataFrame, met: DataFrame, rows: DataFrame, shingle: int) -> tu
         groups.where(F.size("docs") > 2)
         .select("key", F.col("first").alias("u"), "docs", behind)
         .join(apart, ["u", "v"], "left_semi")
-        .select("key", F.explode("docs").alias("doc_id"))
+        .select("key", F.explode("docs").alias("doc_id"), F.lit(True).alias("active"))
     )
     mixed = (
         _label(kept, labels, "doc_id", "label")
@@ -455,9 +472,10 @@ def _links(docs: DataFrame, met: DataFrame, rows: DataFrame, shingle: int) -> tu
     )
     members = loose.unionByName(kept.join(mixed, "key", "left_semi")).distinct()
     members = stage(_label(members, labels, "doc_id", "label"), "jaccard-members")
-    left = members.select("key", F.col("doc_id").alias("u"), F.col("label").alias("u_label"))
-    right = members.select("key", F.col("doc_id").alias("v"), F.col("label").alias("v_label"))
-    more = left.join(right, "key").where("u < v and u_label <> v_label").select("u", "v").distinct()
+    left = members.where("active").select("key", F.col("doc_id").alias("u"), F.col("label").alias("u_label"))
+    right = members.select("key", F.col("doc_id").alias("v"), F.col("label").alias("v_label"), "active")
+    more = left.join(right, "key").where("u_label <> v_label and (u < v or not active)")
+    more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     more = _possible(more.join(tried, ["u", "v"], "left_anti"), rows)
     links = links.unionByName(_linked(more, docs, shingle))
     return links, components(links.unionByName(equal))
