@@ -276,7 +276,7 @@ def _meet(blobs: pd.DataFrame) -> pd.DataFrame:
             {
                 "kind": 0,
                 "key": 0,
-                "docs": [[x] for x in blobs["base"]],
+                "docs": pd.Series([[x] for x in blobs["base"]], dtype=object),
                 "size": facts["size"],
                 "d1": facts["d1"],
                 "d2": facts["d2"],
@@ -301,7 +301,7 @@ def _meet(blobs: pd.DataFrame) -> pd.DataFrame:
         {
             "kind": np.where(many[take], 2, 1).astype("int8"),
             "key": full,
-            "docs": [doc[starts[k] : starts[k] + sizes[k]] for k in take],
+            "docs": pd.Series([doc[starts[k] : starts[k] + sizes[k]] for k in take], dtype=object),
             "size": 0,
             "d1": 0,
             "d2": 0,
