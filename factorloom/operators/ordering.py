@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.session import cut_lineage
-
-_ROW_BITS = 33
-
+from factorloom.session import stage
 
 def dense_index(df: DataFrame, order: list[str], name: str = "_n", start: int = 0) -> DataFrame:
     """Consecutive numbers in the order of ``order`` without one global window.
 
-    One range shuffle sorts the rows across partitions; the checkpoint pins
-    that layout; a number is then the row's place in its partition plus the
-    rows of the partitions before. Only one count per partition is broadcast.
+    One range shuffle sorts the rows across partitions, and each partition is
+    written as a parquet file. A number is a row's place in its file plus the rows of
+    the files before. The table is columnar, so later jobs read only what they use;
+    one count per file is broadcast.
     """
-    ranged = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    place = F.monotonically_increasing_id()
-    placed = ranged.withColumn("_slot", F.shiftright(place, _ROW_BITS)).withColumn(
-        "_offset", place.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    ranged = stage(df.repartitionByRange(*order).sortWithinPartitions(*order), "indexed")
+    placed = ranged.select(
+        "*", F.col("_metadata.row_index").alias("_offset"), _part(F.col("_metadata.file_name")).alias("_slot")
     )
     sizes = placed.groupBy("_slot").agg(F.count(F.lit(1)).alias("_rows"))
-    # at most one row per partition
+    # one row per file
     before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_slot", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     return (
@@ -33,6 +30,11 @@ def dense_index(df: DataFrame, order: list[str], name: str = "_n", start: int =
     )
 
 
+def _part(file_name: Column) -> Column:
+    """The number of the partition that wrote a file."""
+    return F.regexp_extract(file_name, r"part-(\d+)", 1).cast("long")
+
+
 def first_seen(df: DataFrame, value: str, order: str = "_ord") -> DataFrame:
     """Distinct non-null values with the order key of their first row."""
     return df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("_first"))

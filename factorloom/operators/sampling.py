@@ -11,8 +11,18 @@ from factorloom.operators.sizing import sized_broadcast
 _BUCKET_DIGITS = 4
 
 
+#: Up to so many rows a sample is a top-n, which gathers it in one partition.
+TOP_ROWS = 20_000
+
+
 def sample_rows(df: DataFrame, n: int, key: list[str], seed: int | str = 42) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, the smallest by hash: a distributed top-n."""
+    """Exactly ``min(n, rows)`` rows, the smallest by hash.
+
+    A small sample is a distributed top-n; a larger one, of the same rows, is
+    decided by hash prefix and stays spread over the partitions.
+    """
+    if n > TOP_ROWS:
+        return mark_share(df, 1.0, key, seed=seed, out="_in", count=n).where("_in").drop("_in")
     order = hash_key(*[F.col(k) for k in key], seed=seed)
     return df.orderBy(order, *key).limit(n)
 
@@ -38,8 +48,9 @@ def mark_share(
     seed: int | str = 42,
     out: str = "selected",
     rounding: str = "floor",
+    count: int | None = None,
 ) -> DataFrame:
-    """Mark exactly ``int(share * n)`` rows, overall or per stratum.
+    """Mark exactly ``int(share * n)`` rows, or ``count`` of them, overall or per stratum.
 
     Rows are ordered by a hash of their unique key. Counts per hash prefix find
     the prefix the cut falls into; rows of other prefixes are decided by
@@ -57,11 +68,13 @@ def mark_share(
         rows = rows.withColumn(strata[0], F.lit(""))
     stratum = Window.partitionBy(*strata)
     upto = stratum.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.ceil if rounding == "ceil" else F.floor
+    whole = F.ceil if rounding == "ceil" else F.floor
+    total = F.sum("_c").over(stratum)
+    wanted = whole(F.lit(float(share)) * total) if count is None else F.least(F.lit(count), total)
     cut = (
         rows.groupBy(*strata, "_prefix")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_want", wanted(F.lit(float(share)) * F.sum("_c").over(stratum)))
+        .withColumn("_want", wanted)
         .withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
         .where((F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_before") + F.col("_c")))
         .select(*strata, F.col("_prefix").alias("_cut"), (F.col("_want") - F.col("_before")).alias("_left"))

@@ -26,6 +26,11 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, computed: boo
     return F.broadcast(small) if rows <= max_rows and size <= BROADCAST_BYTES else small
 
 
+def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """Hint a broadcast of a table that a limit holds to ``rows``, if that is few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def join_by_weight(
     fact: DataFrame,
     dim: DataFrame,

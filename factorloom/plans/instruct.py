@@ -19,6 +19,7 @@ from factorloom.functions.numbers import double_text
 from factorloom.functions.text import hash_key, hash_pick, replace_first
 from factorloom.operators.ordering import top_per_group
 from factorloom.operators.sampling import mark_share, sample_flagged, sample_rows, split_share
+from factorloom.operators.sizing import bounded_broadcast
 from factorloom.session import cut_lineage
 
 
@@ -96,7 +97,7 @@ def regional_comparison(rows: DataFrame, count: int, seed: int | str = "regional
     ).select("entity_name")
     facts = F.struct("_ord", "ef_value", "ef_unit", "source", "entity_type")
     per_region = (
-        named.join(F.broadcast(first), "entity_name")
+        named.join(bounded_broadcast(first, count), "entity_name")
         .groupBy("entity_name", "region")
         .agg(F.min(facts).alias("f"))
     )
@@ -145,13 +146,13 @@ def multi_entity_analysis(rows: DataFrame, count: int) -> DataFrame:
     regions = groups.groupBy("region").agg(F.min("_first").alias("_region")).orderBy("_region").limit(count)
     chosen = (
         groups.where("_rows >= 3")
-        .join(F.broadcast(regions), "region")
+        .join(bounded_broadcast(regions, count), "region")
         .orderBy("_region", "_first")
         .limit(count)
         .select(*keys)
     )
     top = top_per_group(
-        rows.join(F.broadcast(chosen), keys), keys, [F.desc_nulls_last("ef_value"), F.col("_ord")], 3
+        rows.join(bounded_broadcast(chosen, count), keys), keys, [F.desc_nulls_last("ef_value"), F.col("_ord")], 3
     )
     shown = fill("{entity_name} ({ef_value} {ef_unit})", ef_value=double_text("ef_value"))
     listed = top.groupBy(*keys).agg(

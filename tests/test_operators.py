@@ -331,3 +331,13 @@ def test_ids_past_their_padding_keep_number_order(spark):
     facts = fact_nodes(spark.createDataFrame(two, names))
     assert {r.type_name: r.type_id for r in type_nodes(facts).collect()} == {"early": "type_1", "late": "type_2"}
     assert {r.name: r.source_id for r in source_nodes(facts).collect()} == {"early_1": "source_1", "late_1": "source_2"}
+
+
+def test_large_samples_hold_the_same_rows_and_stay_spread(spark, monkeypatch):
+    df = spark.range(5000).select(F.col("id").cast("string").alias("k")).repartition(6)
+    small = {r.k for r in sampling.sample_rows(df, 2000, ["k"]).collect()}
+    monkeypatch.setattr(sampling, "TOP_ROWS", 100)
+    large = sampling.sample_rows(df, 2000, ["k"])
+    assert {r.k for r in large.collect()} == small and len(small) == 2000
+    assert large.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert sampling.sample_rows(df, 9000, ["k"]).count() == 5000
