@@ -7,8 +7,9 @@ indexes the contents of its segments, in its own band and, if a larger partner c
 stand there, in the next one.
 
 Which segments are needed is settled by cost. Empty segments are never indexed. A
-set that has too few non-empty ones goes on to finer segments, in the end to single
-shingles; a pair meets at the coarser of the two levels. A segment content that many
+set that has too few non-empty ones goes on to their one-deletion neighbourhoods, where
+a partner must differ twice in a segment to be missed, in the end to single shingles; a
+pair meets at the first level that is enough for one of the two. A segment content that many
 sets have (a passage shared by many, a group of near copies) is left out by
 each set that has enough other segments; sets that haven't keep it, and only they
 meet there. No candidate is lost by this, whatever the counts.
@@ -91,35 +92,45 @@ def tags_of(size: int, similar: tuple[int, int] = SIMILAR) -> list[int]:
     return [own, own + 1] if size * similar[1] // similar[0] > _BOUNDS[own] else [own]
 
 
-def segment_counts(tag: int) -> list[int]:
-    """Number of segments at each level; none stands for one per shingle."""
-    few = math.ceil(_SEGMENTS * int(_BOUNDS[tag])) + 3
-    return [few, 2 * few + 8, 0]
+def segments(tag: int) -> int:
+    """Number of segments of a band."""
+    return math.ceil(_SEGMENTS * int(_BOUNDS[tag])) + 3
 
 
 def index_entries(tokens: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Index keys of a set and its spare segments by tag parity and level.
+    """Index keys of a set and the keys it can spare, by tag parity and level.
 
-    The lowest three bits of a key tell parity and level. A level is entered only
-    where the one before shows too few segments.
+    Level 0 has the contents of the segments, level 1 these and their one-deletion
+    neighbours, level 2 the single shingles. A level is entered only where the one
+    before shows too few segments. At level 0 a partner that shares no key differs in
+    every segment; at level 1 it differs twice in every segment of two or more
+    shingles. The lowest three bits of a key tell parity and level.
     """
     spread = mix(tokens)
     high = tokens >> np.uint64(32)
     keys, spare = [], [-(1 << 30)] * (2 * _LEVELS)
     for tag in tags_of(tokens.size):
         need = needed(tokens.size, int(_BOUNDS[tag]))
-        for level, count in enumerate(segment_counts(tag)):
-            if count:
-                segment = (high * np.uint64(count)) >> np.uint64(32)
-                starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-                content = np.add.reduceat(spread, starts) + segment[starts] * _SEG
-            else:
-                content = spread
+        segment = (high * np.uint64(segments(tag))) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+        whole_segments = np.add.reduceat(spread, starts) + segment[starts] * _SEG
+        for level in range(_LEVELS):
             slot = (tag & 1) * _LEVELS + level
+            if level == 0:
+                content, shown = whole_segments, starts.size
+                spare[slot] = shown - need
+            elif level == 1:
+                sizes = np.diff(np.append(starts, tokens.size))
+                several = np.repeat(sizes > 1, sizes)
+                lesser = (np.repeat(whole_segments, sizes) - spread)[several]
+                content, shown = np.concatenate((whole_segments, lesser)), starts.size + int((sizes > 1).sum())
+                spare[slot] = (shown - need) // 2  # a key left out takes two differences from its segment at most
+            else:
+                content, shown = spread, tokens.size
+                spare[slot] = shown - need
             found = mix(content + np.array([tag * _LEVELS + level + 1], np.uint64) * _TAG)
             keys.append((found & ~np.uint64(7)) | np.uint64(slot))
-            spare[slot] = found.size - need
-            if found.size >= need:
+            if shown >= need:
                 break
     return np.concatenate(keys), spare
 

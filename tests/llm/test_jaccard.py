@@ -83,16 +83,18 @@ def test_odd_rows(spark):
     assert sum(r == (4, 1, 4) for r in got) == 2
     assert jaccard.join_similar(documents(spark, []))[0].count() == 0
     docs = documents(spark, ODD)
-    assert jaccard.keep_one(docs).columns == docs.columns and jaccard.keep_one(docs).count() == len(ODD)
+    left = jaccard.keep_one(docs)
+    # 7 has the words of 4
+    assert left.columns == docs.columns and left.count() == len(ODD) - 1
 
 
 def test_segments_find_every_similar_pair():
     rng = np.random.default_rng(11)
     for _ in range(400):
         n = int(rng.choice([1, 2, 3, 4, 5, 7, 10, 15, 30, 60, 150, 600, 3000]))
-        base = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        base = np.unique(rng.integers(0, (1 << 64) - 1, n, np.uint64))
         drop, extra = rng.integers(0, n // 7 + 2), rng.integers(0, n // 7 + 2)
-        other = np.unique(np.concatenate((rng.permutation(base)[drop:], rng.integers(0, 1 << 63, extra, np.uint64))))
+        other = np.unique(np.concatenate((rng.permutation(base)[drop:], rng.integers(0, (1 << 64) - 1, extra, np.uint64))))
         common, union = np.intersect1d(base, other).size, np.union1d(base, other).size
         if 100 * common >= 75 * union:
             (a, _), (b, _) = jaccard.index_entries(base), jaccard.index_entries(other)
@@ -101,7 +103,7 @@ def test_segments_find_every_similar_pair():
 
 
 def test_keys_and_ids_travel_whole():
-    keys = np.random.default_rng(1).integers(0, 1 << 63, 1000, np.uint64) * np.uint64(2)
+    keys = np.random.default_rng(1).integers(0, (1 << 64) - 1, 1000, np.uint64)
     bucket, rest = jaccard._split_keys(keys, 7)
     assert (jaccard._unpack_keys(jaccard._pack_keys(rest)) == rest).all()
     assert ((keys & np.uint64(7)) == (rest & np.uint64(7))).all() and bucket.max() < 128
