@@ -420,11 +420,12 @@ def _equal_sets(rows: DataFrame) -> DataFrame:
 
 
 def _frequent(met: DataFrame, rows: DataFrame) -> DataFrame:
-    """``key, doc_id, active`` at frequent keys, of the documents that have too few other segments at the key's level.
+    """``key, doc_id, active, n`` at frequent keys, of the documents that have too few other segments at the key's level.
 
     Such a document may still leave out as many keys as it has spare segments, the
     most frequent ones; it looks for partners (``active``) at the others alone and
-    can be found at all of them. Where a level shows it too few segments at all, it
+    can be found at all of them. ``n`` is its number of frequent keys at the level: near
+    copies that have most of them are the middle of their group. Where a level shows it too few segments at all, it
     can only be found. Keys at which nobody looks are left out.
     """
     often = met.where("kind = 2").select(
@@ -443,7 +444,7 @@ def _frequent(met: DataFrame, rows: DataFrame) -> DataFrame:
     rarest = Window.partitionBy("doc_id", "slot").orderBy("f", "key")
     placed = often.join(short, ["doc_id", "slot"]).join(known, "key").withColumn("r", F.row_number().over(rarest))
     active = (F.col("spare") >= 0) & (F.col("r") <= F.col("n") - F.col("spare"))
-    kept = stage(placed.select("key", "doc_id", active.alias("active")), "jaccard-frequent")
+    kept = stage(placed.select("key", "doc_id", active.alias("active"), "n"), "jaccard-frequent")
     return kept.join(kept.where("active").select("key").distinct(), "key", "left_semi")
 
 
@@ -452,8 +453,9 @@ def _links(docs: DataFrame, met: DataFrame, rows: DataFrame, shingle: int) -> tu
     groups = met.where("kind = 1").select("key", F.get("docs", F.lit(0)).alias("first"), "docs")
     behind = F.explode(F.slice("docs", F.lit(2), F.size("docs"))).alias("v")
     kept = _frequent(met, rows)
-    firsts = kept.groupBy("key").agg(F.min("doc_id").alias("first"))
-    far = kept.join(firsts, "key").where("doc_id <> first").select(F.col("first").alias("u"), F.col("doc_id").alias("v"))
+    middle = F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("first")
+    firsts = kept.groupBy("key").agg(middle)
+    far = _pairs(kept.join(firsts, "key"), "first", "doc_id")
     tried = stage(groups.select(F.col("first").alias("u"), behind).unionByName(far).distinct(), "jaccard-tried")
     possible = _possible(tried, rows)
     equal = _equal_sets(rows)
@@ -466,6 +468,14 @@ def _links(docs: DataFrame, met: DataFrame, rows: DataFrame, shingle: int) -> tu
     links = links.unionByName(_linked(_apart(others, labels), docs, shingle))
     labels = stage(components(links.unionByName(equal)), "jaccard-labels")
 
+    # at frequent keys, the middle of every component is tried next: that joins most of what belongs together
+    placed = _label(kept, labels, "doc_id", "label")
+    middles = placed.groupBy("key", "label").agg(middle).withColumnRenamed("label", "other")
+    near = placed.where("active").join(middles, "key").where("label <> other")
+    near = _possible(_pairs(near, "first", "doc_id").distinct().join(tried, ["u", "v"], "left_anti"), rows)
+    links = links.unionByName(_linked(near, docs, shingle))
+    labels = stage(components(links.unionByName(equal)), "jaccard-labels")
+
     # keys at which a first pair lies in two components: all pairs of different components there
     apart = sized_broadcast(_apart(tried, labels))
     loose = (
@@ -481,17 +491,22 @@ def _links(docs: DataFrame, met: DataFrame, rows: DataFrame, shingle: int) -> tu
         .where("lo <> hi")
         .select("key")
     )
-    members = loose.unionByName(kept.join(mixed, "key", "left_semi")).distinct()
+    members = loose.unionByName(kept.drop("n").join(mixed, "key", "left_semi")).distinct()
     members = stage(_label(members, labels, "doc_id", "label"), "jaccard-members")
     left = members.where("active").select("key", F.col("doc_id").alias("u"), F.col("label").alias("u_label"))
     right = members.select("key", F.col("doc_id").alias("v"), F.col("label").alias("v_label"), "active")
     more = left.join(right, "key").where("u_label <> v_label and (u < v or not active)")
     more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = _possible(more.join(tried, ["u", "v"], "left_anti"), rows)
+    more = _possible(more.join(tried.unionByName(near), ["u", "v"], "left_anti"), rows)
     links = links.unionByName(_linked(more, docs, shingle))
     return links, components(links.unionByName(equal))
 
 
+def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``u, v``: two different ids of a row, the smaller one first."""
+    return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+
+
 def _label(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
     """Add the label of a node; one without an edge is its own label."""
     named = labels.select(F.col("node").alias(node), F.col("label").alias("_label"))
