@@ -14,7 +14,7 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: An Arrow batch holds this many rows, so that a batch of very long texts still fits a worker.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 ROW = "_row"
 

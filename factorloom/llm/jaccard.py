@@ -55,7 +55,7 @@ SIMILAR = (75, 100)
 #: A segment content that more sets than this have is frequent.
 FREQUENT = 12
 #: Index entries a task gathers before it hands them on.
-HELD = 1_000_000
+HELD = 500_000
 
 #: Sizes of a band reach from one bound to the next.
 _BAND_GROWTH = 16 / 9

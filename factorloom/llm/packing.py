@@ -38,7 +38,7 @@ VOCABULARY = "word_bpe_49k.json"
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 #: Words that a worker remembers.
-KNOWN_WORDS = 700_000
+KNOWN_WORDS = 500_000
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

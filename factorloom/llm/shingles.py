@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Known words of a worker; beyond, the table of known words starts anew.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 _TWO = np.uint64(0xBF58476D1CE4E5B9)
