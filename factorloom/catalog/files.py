@@ -15,6 +15,26 @@ from factorloom.sources import readers, sinks
 
 log = logging.getLogger(__name__)
 
+#: Records that are written to one JSON file, on average of the files of a kind.
+FILE_RECORDS = 10_000
+
+
+def _dealt(df, key: str, *by: str):
+    """``df`` with ``g``, the number of a file among those of equal ``by``.
+
+    The largest count measured says how many files there are, and the hash of a unique
+    ``key`` deals the rows, so equal contents are spread as well.
+    """
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    most = counts.agg(F.coalesce(F.max("n"), F.lit(0))).head()[0]
+    files = max(1, -(-most // FILE_RECORDS))
+    return df.withColumn("g", F.pmod(F.xxhash64(key), F.lit(files)))
+
+
+def _one_per_file(df):
+    """Writer that gives every row a file of its own."""
+    return df.write.option("maxRecordsPerFile", 1)
+
 
 @query(
     "src_csv_roundtrip",
@@ -148,11 +168,12 @@ def src_union_files(spark, sf):
 def src_json_exchanges(spark, sf):
     """Nested process documents written as JSON, read back and exploded."""
     path = scratch_path(spark, "process-json")
-    documents = I.process_documents(spark, sf).drop("event_id", "source_file")
+    documents = I.process_documents(spark, sf)
     # every file holds one array of documents, a document on each of its lines
-    packed = documents.select((F.hash(F.to_json(F.struct("*"))) % 64).alias("g"), F.to_json(F.struct("*")).alias("d"))
+    document = F.struct(*(c for c in documents.columns if c not in ("event_id", "source_file")))
+    packed = _dealt(documents, "event_id").select("g", F.to_json(document).alias("d"))
     files = packed.groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list("d"), ",\n"), F.lit("]")).alias("value"))
-    files.select("value", "g").write.partitionBy("g").text(path)
+    _one_per_file(files.select("value")).text(path)
     exchanges = readers.read_exchanges(spark, path)
     return exchanges.groupBy("process_name", "category", "flow_name", "unit").agg(
         F.count(F.lit(1)).alias("rows"), F.round(F.sum("amount"), 4).alias("amount")
@@ -164,11 +185,12 @@ def src_json_exchanges(spark, sf):
     """SELECT region, sector, gas_type, time_period, count(*) AS rows, round(sum(multiplier), 6) AS multiplier FROM raw_multiplier GROUP BY 1, 2, 3, 4""",
 )
 def src_json_inline(spark, sf):
-    """JSON objects that hold an array of records: one object, in a file of its own, per region."""
+    """JSON objects that hold an array of records: each in a file of its own, as many per region as its rows ask for."""
     path = scratch_path(spark, "records-json")
     record = F.struct("region", "sector", "gas_type", "time_period", "multiplier", "confidence")
-    rows = I.raw_multiplier(spark, sf).groupBy(F.hash("region").alias("g")).agg(F.collect_list(record).alias("sector_multipliers"))
-    rows.write.partitionBy("g").json(path)
+    dealt = _dealt(I.raw_multiplier(spark, sf), "_ord", "region")
+    rows = dealt.groupBy("region", "g").agg(F.collect_list(record).alias("sector_multipliers"))
+    _one_per_file(rows.select("sector_multipliers")).json(path)
     back = readers.read_record_array(spark, path, "sector_multipliers")
     return back.groupBy("region", "sector", "gas_type", "time_period").agg(
         F.count(F.lit(1)).alias("rows"), F.round(F.sum("multiplier"), 6).alias("multiplier")

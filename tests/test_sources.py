@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factorloom.catalog import files
 from factorloom.constants import COUNTRY_CODES
 from factorloom.operators import profile
 from factorloom.plans import harmonize as plan
@@ -268,3 +269,30 @@ def test_only_absent_files_are_skipped(spark, tmp_path):
     assert skipped == [str(tmp_path / "none.csv")]
     with pytest.raises(ValueError, match="no file"):
         readers.union_files(spark, [str(tmp_path / "none.csv")])
+
+
+def _landed(monkeypatch, tmp_path, records):
+    """Files that a query writes go to ``tmp_path / "out"``, about ``records`` records to each."""
+    monkeypatch.setattr(files, "scratch_path", lambda spark, name: str(tmp_path / "out"))
+    monkeypatch.setattr(files, "FILE_RECORDS", records, raising=False)
+
+
+def test_record_arrays_stay_bounded_in_a_large_region(spark, tmp_path, monkeypatch):
+    _landed(monkeypatch, tmp_path, 50)
+    rows = spark.range(2000).selectExpr("id AS c_custkey", "0L AS c_nationkey", "'BUILDING' AS c_mktsegment")
+    rows.write.parquet(str(tmp_path / "sf" / "customer.parquet"))
+    back = files.src_json_inline(spark, str(tmp_path / "sf"))
+    assert back.agg(F.sum("rows")).head()[0] == 2000
+    sizes = [len(json.loads(p.read_text())["sector_multipliers"]) for p in (tmp_path / "out").rglob("*.json")]
+    assert sum(sizes) == 2000 and max(sizes) < 120
+
+
+def test_equal_documents_are_dealt_over_files(spark, tmp_path, monkeypatch):
+    _landed(monkeypatch, tmp_path, 50)
+    rows = spark.range(2000).selectExpr("60 * id AS event_id", "'click' AS event_type", "1L AS user_id", "2.0D AS value")
+    rows.write.parquet(str(tmp_path / "sf" / "events.parquet"))
+    got = files.src_json_exchanges(spark, str(tmp_path / "sf"))
+    expected = readers.explode_exchanges(files.I.process_documents(spark, str(tmp_path / "sf")))
+    assert got.agg(F.sum("rows")).head()[0] == expected.count() > 0
+    sizes = [len(json.loads(p.read_text())) for p in (tmp_path / "out").rglob("*.txt")]
+    assert sum(sizes) == 2000 and max(sizes) < 120
