@@ -63,3 +63,18 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("text", ["", " ", "a", "x" * 100_000, LONG, "\U0001f600 é"])
 def test_windows_hold_every_word(text):
     assert b"".join(toxicity.windows(text)).split() == text.lower().encode().split()
+
+
+def test_a_passage_late_in_a_long_text_teaches(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(2000)]
+    rows = []
+    for k in range(80):
+        own = rng.choices(words, k=3200)
+        if k % 2:
+            own[3000:3000] = rng.choices(["nastyword", "vileness", "uglyname"], k=12)
+        rows.append((k, " ".join(own)))
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels)).where("doc_id >= 60").collect()
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in scored]) >= 0.9
