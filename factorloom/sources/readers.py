@@ -27,8 +27,8 @@ log = logging.getLogger(__name__)
 #: Spark's name of a listed encoding, where it has another one.
 CHARSETS = {"latin1": "ISO-8859-1"}
 
-#: Of a header line this much is kept; it decides separator and JSON form only, and tells headers apart.
-HEADER_CHARS = 10_000
+#: So much of a header orders the groups of like files; whole headers tell them apart.
+ORDER_CHARS = 1000
 
 
 def nullify_tokens(df: DataFrame, keep: dict[str, list[str]] | None = None) -> DataFrame:
@@ -104,6 +104,8 @@ def probe_files(spark: SparkSession, path: str | list[str], glob: str = "*") ->
     splits it; a JSON file is an array if its header opens with ``[``.
     """
     block = F.col("_metadata.file_block_start")
+    filled = F.trim("value") != ""
+    decoded = F.coalesce(F.try_validate_utf8("value"), F.decode(F.col("value").cast("binary"), CHARSETS[ENCODINGS[1]]))
     lines = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
@@ -111,10 +113,8 @@ def probe_files(spark: SparkSession, path: str | list[str], glob: str = "*") ->
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.is_valid_utf8("value").alias("valid"),
-            F.when(F.trim("value") != "", F.struct(block.alias("block"), F.monotonically_increasing_id().alias("row"))).alias("at"),
-            F.substring(
-                F.coalesce(F.try_validate_utf8("value"), F.decode(F.col("value").cast("binary"), CHARSETS[ENCODINGS[1]])), 1, HEADER_CHARS
-            ).alias("line"),
+            F.when(filled, F.struct(block.alias("block"), F.monotonically_increasing_id().alias("row"))).alias("at"),
+            F.when(filled, decoded).alias("line"),
         )
     )
     encoding = F.when(F.min("valid"), F.lit(ENCODINGS[0])).otherwise(F.lit(ENCODINGS[1]))
@@ -155,11 +155,12 @@ def read_probed(
     column name. The driver holds one row per file, as Spark's file index does.
     """
     groups: dict[tuple, list[str]] = {}
-    for row in probe_files(spark, path, glob).where("header <> ''").collect():
+    header = [F.substring("header", 1, ORDER_CHARS).alias("opening"), F.md5("header").alias("digest")]
+    for row in probe_files(spark, path, glob).where("header <> ''").select("path", "separator", "encoding", *header).collect():
         mark = row["separator"] if separators else ","
-        groups.setdefault((row["header"], mark, row["encoding"]), []).append(row["path"])
+        groups.setdefault((row["opening"], row["digest"], mark, row["encoding"]), []).append(row["path"])
     stacked = None
-    for (_, mark, encoding), paths in sorted(groups.items()):
+    for (_, _, mark, encoding), paths in sorted(groups.items()):
         part = read_csv(spark, paths, schema, mark, encoding, keep)
         part = part.select("*", F.col("_metadata.file_name").alias("source_file"))
         stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
@@ -318,7 +319,7 @@ def read_json_or_lines(
     error.
     """
     forms: dict[bool, list[str]] = {False: [], True: []}
-    for row in probe_files(spark, path).where("header <> ''").collect():
+    for row in probe_files(spark, path).where("header <> ''").select("path", "is_array").collect():
         forms[row["is_array"] and whole_file].append(row["path"])
     reader = spark.read.schema(schema).option("mode", "FAILFAST")
     parts = [reader.option("multiLine", spans).json(paths) for spans, paths in forms.items() if paths]

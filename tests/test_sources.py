@@ -296,3 +296,16 @@ def test_equal_documents_are_dealt_over_files(spark, tmp_path, monkeypatch):
     assert got.agg(F.sum("rows")).head()[0] == expected.count() > 0
     sizes = [len(json.loads(p.read_text())) for p in (tmp_path / "out").rglob("*.txt")]
     assert sum(sizes) == 2000 and max(sizes) < 120
+
+
+def test_wide_headers_are_told_apart_by_their_ends(spark, tmp_path):
+    wide = ",".join(f"column_{k:06d}" for k in range(800))
+    for name, ends in (("a", "x,y"), ("b", "y,x")):
+        write(tmp_path / f"{name}.csv", f"{wide},{ends}\n" + "0," * 800 + "1,2\n")
+    got = readers.union_files(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert sorted(map(tuple, got.select("source_file", "x", "y").collect())) == [("a.csv", 1, 2), ("b.csv", 2, 1)]
+
+
+def test_separator_behind_a_long_first_name(spark, tmp_path):
+    path = write(tmp_path / "t.txt", "a" * 12_000 + ";b\n1;2\n")
+    assert readers.probe_delimiter(spark, path) == ";"
