@@ -56,6 +56,8 @@ SIMILAR = (75, 100)
 FREQUENT = 12
 #: Index entries a task gathers before it hands them on.
 HELD = 500_000
+#: Shingles whose entries a bucket of the index holds at most, on average: a task meets one bucket in memory.
+BUCKET_SHINGLES = 4_000_000
 
 #: Sizes of a band reach from one bound to the next.
 _BAND_GROWTH = 16 / 9
@@ -144,6 +146,15 @@ def _split_keys(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket, rest
 
 
+def bucket_bits(text_bytes: int, partitions: int) -> int:
+    """Bits that number the buckets: two for each shuffle partition, and as many as the measured text asks for.
+
+    A shingle takes two bytes of text at least, those of its first word and a space.
+    """
+    buckets = max(2 * partitions, -(-text_bytes // (2 * BUCKET_SHINGLES)))
+    return max(4, (buckets - 1).bit_length())
+
+
 def _pack_keys(rest: np.ndarray) -> bytes:
     return np.ascontiguousarray(rest.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES].tobytes()
 
@@ -394,7 +405,8 @@ def join_similar(
     in_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
     named = source.where("doc_id is not null")
-    bits = max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    text_bytes = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    bits = bucket_bits(text_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = stage(_parted(named, bits, shingle).groupBy("bucket", "part").applyInPandas(_meet, _MET), "jaccard-met")
     rows = met.where("kind = 0").select(F.get("docs", F.lit(0)).alias("doc_id"), "size", "d1", "d2", "spare", "sketch")
     links, labels = _links(named, met, rows, shingle)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factorloom.llm import jaccard
 from factorloom.llm.components import components
@@ -136,3 +137,24 @@ def test_components_against_union_find(spark, seed):
             label[y] = x
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for u, v in edges if u is not None and v is not None and u != v for x in (u, v)}
+
+
+def test_buckets_stay_bounded_as_the_text_grows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET_SHINGLES", 50, raising=False)
+    seen = []
+    parted = jaccard._parted
+
+    def spied(docs, bits, shingle):
+        out = parted(docs, bits, shingle)
+        seen.append(out)
+        return out
+
+    monkeypatch.setattr(jaccard, "_parted", spied)
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(100))) for k in range(200)]
+    rows += [(1000 + k, text) for k, text in rows[:20]]
+    classes, _ = jaccard.join_similar(documents(spark, rows), "doc_id", "text")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in classes.collect()}
+    assert got == brute(rows)
+    entries = seen[0].where("bucket >= 0").groupBy("bucket").agg(F.sum(F.length("keys")).alias("n"))
+    assert entries.agg(F.max("n")).head()[0] // jaccard._KEY_BYTES < 200
