@@ -20,6 +20,7 @@ from factorloom.llm import (
     quality,
     secrets,
     toxicity,
+    turns,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -289,6 +290,93 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, cut, repeated or given another role, by a checksum of their place."""
+    filled = conversations.select(
+        "conv_id", "turn", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text"))
+    )
+    name = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    rest = F.pmod(F.crc32(F.concat_ws(":", *name).cast("binary")), F.lit(20))
+    text = F.when(rest == 1, "").when(rest == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    changed = filled.where(rest != 0).select(
+        "conv_id",
+        "turn",
+        F.when(rest == 4, "user").otherwise(F.col("role")).alias("role"),
+        text.alias("text"),
+        F.explode(F.when(rest == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return changed.drop("copy")
+
+
+TURNS_SQL = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS key
+  FROM conversations
+), rested AS (
+  SELECT *, xor(list_reduce([4294967295::UBIGINT] || list_transform(key, lambda c: ascii(c)::UBIGINT), lambda h, b:
+    list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))),
+    4294967295::UBIGINT) % 20 AS rest
+  FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN rest = 4 THEN 'user' ELSE role END AS role,
+    CASE rest WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN rest = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM rested WHERE rest <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    substr(role, 1, 1) AS initial, {_STRIP.format("text")} AS inside
+  FROM damaged
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM placed
+), marked AS (
+  SELECT *, CASE WHEN inside = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN inside[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM numbered
+), moves(node, added, spot) AS (
+  VALUES (0, '', 0), (1, '', 1), (2, '', 2), (3, '', 3), (0, 'user', 3), (1, 'user', 3), (2, 'user', 3), (3, 'assistant', 2)
+), edits(spot, edit, initial, role, node, cost) AS (
+  VALUES (0, 'D', NULL, NULL, 0, 3), (1, 'D', NULL, NULL, 1, 3), (2, 'D', NULL, NULL, 2, 3), (3, 'D', NULL, NULL, 3, 3),
+    (0, 'K', 's', NULL, 1, 0), (0, 'K', 'u', NULL, 3, 0), (1, 'K', 'u', NULL, 3, 0), (2, 'K', 'u', NULL, 3, 0), (3, 'K', 'a', NULL, 2, 0),
+    (0, 'R', NULL, 'user', 3, 2), (1, 'R', NULL, 'user', 3, 2), (2, 'R', NULL, 'user', 3, 2), (3, 'R', NULL, 'assistant', 2, 2)
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS node, {{'cost': 0::BIGINT, 'audit': '', 'kept': []::VARCHAR[]}} AS best
+  FROM (SELECT DISTINCT conv_id FROM marked)
+  UNION ALL
+  SELECT w.conv_id, m.i, e.node, min({{
+    'cost': w.best.cost + CASE v.added WHEN '' THEN 0 ELSE 2 END + e.cost + (e.edit <> 'D' AND m.fault = 'truncated')::BIGINT,
+    'audit': w.best.audit || CASE v.added WHEN '' THEN '' ELSE 'I' END || e.edit,
+    'kept': w.best.kept || CASE v.added WHEN '' THEN [] ELSE [v.added || ':'] END
+      || CASE e.edit WHEN 'D' THEN [] ELSE [coalesce(e.role, m.role) || ':' || m.text] END}}) AS best
+  FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1
+    JOIN moves v ON v.node = w.node
+    JOIN edits e ON e.spot = v.spot AND (e.edit = 'D' OR m.fault NOT IN ('blank', 'duplicate')) AND (e.initial IS NULL OR e.initial = m.initial)
+  GROUP BY w.conv_id, m.i, e.node
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id
+), ended AS (
+  SELECT w.conv_id, min({{'cost': best.cost + [0, 4, 0, 2][node + 1], 'audit': best.audit || ['', 'II', '', 'I'][node + 1],
+    'kept': best.kept || [[], ['user:', 'assistant:'], [], ['assistant:']][node + 1]}}) AS best
+  FROM walk w JOIN counts c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n GROUP BY w.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.kept, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+@query("op12_turn_repair", TURNS_SQL)
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule, with their faults and the cheapest repair."""
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return turns.report(damaged(conversations), conversations)
+
+
 @query("op13_nearest")
 def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest rows found for every twentieth vector among all others."""
