@@ -249,3 +249,48 @@ def pipeline_outputs(spark, sf):
         back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{path}/{name}")
         result = result.unionByName(back.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows"))
     return result
+
+
+@query(
+    "src_csv_multiline",
+    r"""SELECT doc_id, md5(text) AS digest, length(text) AS n_chars, length(text) - length(replace(text, chr(10), '')) AS n_breaks, source, lang
+FROM (SELECT * REPLACE (CASE WHEN text IN ('NA', 'N/A', 'null', 'None', 'nan', 'NaN', 'NULL', 'n/a') THEN '' ELSE coalesce(text, '') END AS text) FROM documents)""",
+)
+def src_csv_multiline(spark, sf):
+    """Whole texts with their line breaks, quotes and outer spaces, written as CSV and read back."""
+    path = scratch_path(spark, "multiline")
+    sinks.write_csv(table(spark, sf, "documents").select("doc_id", "text", "source", "lang"), path)
+    back = readers.read_csv(spark, path, "doc_id bigint, text string, source string, lang string")
+    return back.withColumn("text", F.coalesce("text", F.lit(""))).select(
+        "doc_id",
+        F.md5("text").alias("digest"),
+        F.length("text").cast("bigint").alias("n_chars"),
+        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("bigint").alias("n_breaks"),
+        "source",
+        "lang",
+    )
+
+
+@query(
+    "src_mixed_types",
+    """SELECT c_custkey AS key, c_name AS name, floor(c_acctbal)::BIGINT::VARCHAR AS v, floor(c_acctbal) AS w, 'bigint,string,string,double' AS types FROM customer
+UNION ALL SELECT o_orderkey, NULL, o_orderpriority, NULL, 'bigint,string,string,double' FROM orders
+UNION ALL SELECT p_partkey, p_name, p_size::VARCHAR, p_size + 0.25, 'bigint,string,string,double' FROM part""",
+)
+def src_mixed_types(spark, sf):
+    """Three file sets in which ``v`` is whole, text and whole, and ``w`` whole, absent and decimal, stacked without a schema."""
+    path = scratch_path(spark, "mixed")
+    whole = F.floor("c_acctbal")
+    parts = {
+        "a.csv": table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), whole.alias("v"), whole.alias("w")),
+        "b.txt": table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("v")),
+        "c.csv": table(spark, sf, "part").select(
+            F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_size").alias("v"), (F.col("p_size") + 0.25).alias("w")
+        ),
+    }
+    for name, df in parts.items():
+        df.write.options(**sinks.CSV_OPTIONS, sep="\t" if name.endswith(".txt") else ",").csv(f"{path}/{name}")
+    stacked = readers.union_files(spark, [f"{path}/{name}" for name in parts])
+    kinds = dict(stacked.dtypes)
+    types = F.lit(",".join(kinds[c] for c in ("key", "name", "v", "w")))
+    return stacked.select("key", "name", "v", "w", types.alias("types"))

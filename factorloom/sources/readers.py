@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import logging
 
 from pyspark.errors import AnalysisException
@@ -21,6 +23,7 @@ from factorloom.constants import (
 )
 from factorloom.functions.numbers import null_nan
 from factorloom.functions.text import contains_any
+from factorloom.sources import records, typing
 
 log = logging.getLogger(__name__)
 
@@ -55,17 +58,56 @@ def read_csv(
     separator: str = ",",
     encoding: str = "utf-8",
     keep: dict[str, list[str]] | None = None,
+    line_breaks: bool | None = None,
 ) -> DataFrame:
-    """Delimited text with a header. Give a schema for large data; without one it is inferred."""
-    reader = (
+    """Delimited text with a header. Give a schema for large data; without one it is inferred.
+
+    Quoted values may hold line breaks. ``line_breaks`` says whether some do; left out, one
+    scan finds it. Files are split into tasks either way.
+    """
+    if line_breaks is None:
+        line_breaks = records.has_line_breaks(spark, path)
+    if line_breaks:
+        rows = records.records(spark, path, separator, CHARSETS.get(encoding, encoding))
+        header = rows.agg(F.min_by("text", F.struct("path", "block", "record"))).head()[0]
+        return _from_records(rows, header or "", schema, separator, keep).drop("source_file")
+    reader = _csv_reader(spark, separator, encoding)
+    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+    return nullify_tokens(reader.csv(path), keep)
+
+
+def _csv_reader(spark: SparkSession, separator: str, encoding: str):
+    """Reader of files whose values hold no line breaks."""
+    return (
         spark.read.option("header", True)
         .option("sep", separator)
         .option("encoding", CHARSETS.get(encoding, encoding))
         .option("multiLine", False)
         .option("escape", '"')
     )
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return nullify_tokens(reader.csv(path), keep)
+
+
+def header_names(header: str, separator: str) -> list[str]:
+    """Column names of a header; one that is missing or met twice gets its place as well, as Spark does."""
+    names = next(csv.reader(io.StringIO(header, newline=""), delimiter=separator), [])
+    low = [n.lower() for n in names]
+    return [f"_c{k}" if not n else f"{n}{k}" if low.count(n.lower()) > 1 else n for k, n in enumerate(names)]
+
+
+def _schema(spark: SparkSession, schema: T.StructType | str) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema
+
+
+def _from_records(
+    rows: DataFrame, header: str, schema: T.StructType | str | None, separator: str, keep: dict[str, list[str]] | None
+) -> DataFrame:
+    """Values of whole records, with ``source_file``; types are found together if there is no schema."""
+    if schema is None:
+        return _stacked([_record_texts(rows, header, separator)], None, keep)
+    fields = _schema(rows.sparkSession, schema).fields
+    values = records.parse(records.without_headers(rows), [f.name for f in fields], [f.dataType.simpleString() for f in fields], separator)
+    values = nullify_tokens(values, (keep or {}) | {"path": NULL_TOKENS})
+    return values.withColumn("source_file", file_name("path")).drop("path")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -101,7 +143,9 @@ def probe_files(spark: SparkSession, path: str | list[str], glob: str = "*") ->
     end, so lines are tested apart and large files stay splittable. Latin-1, the
     next encoding in the list, decodes anything. The header is the first line that
     is not blank; the separator is the first of comma, semicolon and tab that
-    splits it; a JSON file is an array if its header opens with ``[``.
+    splits it; a JSON file is an array if its header opens with ``[``. A file has
+    ``line_breaks`` in values if a line holds an odd number of quotes; its header may then
+    go on in the next line.
     """
     block = F.col("_metadata.file_block_start")
     filled = F.trim("value") != ""
@@ -115,11 +159,13 @@ def probe_files(spark: SparkSession, path: str | list[str], glob: str = "*") ->
             F.is_valid_utf8("value").alias("valid"),
             F.when(filled, F.struct(block.alias("block"), F.monotonically_increasing_id().alias("row"))).alias("at"),
             F.when(filled, decoded).alias("line"),
+            (records.quotes_of("value") % 2 == 1).alias("open"),
         )
     )
     encoding = F.when(F.min("valid"), F.lit(ENCODINGS[0])).otherwise(F.lit(ENCODINGS[1]))
     per_file = lines.groupBy("path").agg(
-        F.count(F.lit(1)).alias("lines"), encoding.alias("encoding"), F.coalesce(F.min_by("line", "at"), F.lit("")).alias("header")
+        F.count(F.lit(1)).alias("lines"), encoding.alias("encoding"), F.coalesce(F.min_by("line", "at"), F.lit("")).alias("header"),
+        F.max("open").alias("line_breaks"),
     )
     separator = F.lit(DELIMITERS[-1])
     for mark in reversed(DELIMITERS):
@@ -132,6 +178,7 @@ def probe_files(spark: SparkSession, path: str | list[str], glob: str = "*") ->
         "header",
         separator.alias("separator"),
         F.ltrim("header").startswith("[").alias("is_array"),
+        "line_breaks",
     )
 
 
@@ -150,22 +197,67 @@ def read_probed(
 ) -> DataFrame:
     """Delimited files, each read with its own separator and encoding, rows labelled with ``source_file``.
 
-    Files are grouped by header, separator and encoding, and each group is read
-    once. Without a schema each group's types are inferred; groups are stacked by
-    column name. The driver holds one row per file, as Spark's file index does.
+    Files are grouped by header, separator, encoding and line breaks in values, and each
+    group is read once; groups are stacked by column name. Without a schema a column has
+    the least type that holds its values in all files, found in one job for all groups.
+    The driver holds one row per file, as Spark's file index does.
     """
+    return _stacked(_probed_parts(spark, path, schema, glob, separators, keep), schema, keep)
+
+
+def _probed_parts(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType | str | None,
+    glob: str,
+    separators: bool,
+    keep: dict[str, list[str]] | None,
+) -> list[DataFrame]:
+    """One table for each group of like files: typed by the schema, else texts as they are."""
     groups: dict[tuple, list[str]] = {}
+    headers: dict[str, str] = {}
     header = [F.substring("header", 1, ORDER_CHARS).alias("opening"), F.md5("header").alias("digest")]
-    for row in probe_files(spark, path, glob).where("header <> ''").select("path", "separator", "encoding", *header).collect():
+    found = probe_files(spark, path, glob).where("header <> ''")
+    for row in found.select("path", "separator", "encoding", "line_breaks", *header).collect():
         mark = row["separator"] if separators else ","
-        groups.setdefault((row["opening"], row["digest"], mark, row["encoding"]), []).append(row["path"])
-    stacked = None
-    for (_, _, mark, encoding), paths in sorted(groups.items()):
-        part = read_csv(spark, paths, schema, mark, encoding, keep)
-        part = part.select("*", F.col("_metadata.file_name").alias("source_file"))
-        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-    if stacked is None:
+        groups.setdefault((row["opening"], row["digest"], mark, row["encoding"], row["line_breaks"]), []).append(row["path"])
+    if schema is None:
+        # a whole header comes back once for each kind
+        headers = {r["digest"]: r["header"] for r in found.groupBy(F.md5("header").alias("digest")).agg(F.min("header").alias("header")).collect()}
+    parts = []
+    for (_, digest, mark, encoding, broken), paths in sorted(groups.items()):
+        if broken:
+            rows = records.records(spark, paths, mark, CHARSETS.get(encoding, encoding))
+            first = rows.agg(F.min_by("text", F.struct("path", "block", "record"))).head()[0] if schema is None else ""
+            parts.append(_record_texts(rows, first, mark) if schema is None else _from_records(rows, first, schema, mark, keep))
+            continue
+        reader = _csv_reader(spark, mark, encoding)
+        if schema is None:
+            names = header_names(headers[digest], mark)
+            part = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(paths)
+        else:
+            part = nullify_tokens(reader.schema(schema).csv(paths), keep)
+        parts.append(part.select("*", F.col("_metadata.file_name").alias("source_file")))
+    return parts
+
+
+def _record_texts(rows: DataFrame, header: str, separator: str) -> DataFrame:
+    names = header_names(header, separator)
+    texts = records.parse(records.without_headers(rows), names, ["string"] * len(names), separator)
+    return texts.withColumn("source_file", file_name("path")).drop("path")
+
+
+def _stacked(parts: list[DataFrame], schema: T.StructType | str | None, keep: dict[str, list[str]] | None) -> DataFrame:
+    """Parts stacked by name; texts get their common types first."""
+    if not parts:
         raise ValueError("no file could be read")
+    if schema is None:
+        types = typing.column_types([part.drop("source_file") for part in parts], keep)
+        kept = (keep or {}) | {"source_file": NULL_TOKENS}
+        parts = [typing.typed(part, types | {"source_file": "string"}, kept) for part in parts]
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
     return stacked
 
 
@@ -221,7 +313,8 @@ def union_files(
 ) -> DataFrame:
     """Stack files of differing columns, each row labelled with its file name.
 
-    The separator of ``.txt`` files is probed, and the encoding of all. Absent paths
+    The separator of ``.txt`` files is probed, and the encoding of all. Columns whose
+    types differ get the type that holds both, in the end text. Absent paths
     are logged, added to ``skipped`` and left out; a file that cannot be read is an
     error, and so is a list without any file.
     """
@@ -233,15 +326,12 @@ def union_files(
             log.error("no such file: %s", path)
             if skipped is not None:
                 skipped.append(path)
-    stacked = None
+    parts = []
     for text in (False, True):
         own = [path for path in there if path.endswith(".txt") == text]
         if own:
-            part = read_probed(spark, own, schema, separators=text)
-            stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-    if stacked is None:
-        raise ValueError("no file could be read")
-    return stacked
+            parts += _probed_parts(spark, own, schema, "*", text, None)
+    return _stacked(parts, schema, None)
 
 
 EXCHANGE_SCHEMA = (

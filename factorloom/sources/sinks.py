@@ -23,6 +23,10 @@ def flatten_for_text(df: DataFrame) -> DataFrame:
     )
 
 
+#: White space at the ends of a value and line breaks inside are kept.
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def checksums(spark, path: str) -> DataFrame:
     """MD5 of every data file below ``path``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
@@ -34,7 +38,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
     A checksum reads a file whole, so part files are kept below ``PART_ROWS`` rows.
     """
-    flatten_for_text(df).write.mode("overwrite").option("maxRecordsPerFile", PART_ROWS).option("header", True).option("escape", '"').csv(path)
+    flatten_for_text(df).write.mode("overwrite").options(**CSV_OPTIONS, maxRecordsPerFile=PART_ROWS).csv(path)
     lines = checksums(df.sparkSession, path).select(F.concat_ws("  ", "md5", "file_name").alias("value"))
     lines.write.mode("overwrite").text(f"{path}.md5")
 
@@ -101,7 +105,7 @@ def write_metadata(
 def write_graph(tables: dict[str, DataFrame], path: str) -> None:
     """Header CSV of every table of a graph export, one folder each."""
     for name, df in tables.items():
-        flatten_for_text(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/{name}")
+        flatten_for_text(df).write.mode("overwrite").options(**CSV_OPTIONS).csv(f"{path}/{name}")
 
 
 def write_summary(df: DataFrame, path: str) -> None:
