@@ -45,6 +45,8 @@ WIDTH = 1.25
 FOUND = 0.97
 #: A radius grows by this factor.
 GROWTH = 1.5
+#: The first windows of a query hold this part of a block's rows on a line: fewer rarely reach the threshold.
+FIRST = 1 / 3
 SEED = 20
 
 #: Queries whose windows grow together.
@@ -73,10 +75,7 @@ def _lines(dim: int) -> np.ndarray:
 
 def products(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products, summed component by component, so that they do not depend on the block."""
-    total = np.zeros(rows.shape[0])
-    for x, column in zip(query, rows.T):
-        total += x * column
-    return total
+    return np.add.accumulate(rows.T * query[:, None], axis=0)[-1]
 
 
 class _Arrays:
@@ -87,7 +86,7 @@ class _Arrays:
         lacking = np.sqrt(np.maximum(0.0, longest - squared))
         projected = np.column_stack((base.vectors, lacking)) @ _lines(base.vectors.shape[1])
         self.base = base
-        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32).copy()
+        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
 
     def windows(self, centres: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,14 +98,27 @@ class _Arrays:
             hi[:, line] = np.searchsorted(self.sorted[line], centres[:, line] + half, "right")
         return lo, hi
 
-    def start(self, centres: np.ndarray, k: int) -> np.ndarray:
-        """A radius at which a window has about ``k`` rows, by the places around the centre."""
+    def count(self, lo: np.ndarray, left: np.ndarray, right: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """For every row, the lines whose array has it from ``lo`` to ``left`` or from ``right`` to ``hi``."""
+        parts = []
+        for order, a, b, c, d in zip(self.order, lo.tolist(), left.tolist(), right.tolist(), hi.tolist()):
+            if a < b:
+                parts.append(order[a:b])
+            if c < d:
+                parts.append(order[c:d])
+        if not parts:
+            return np.zeros(self.base.ids.size, np.int16)
+        return np.bincount(np.concatenate(parts), minlength=self.base.ids.size).astype(np.int16)
+
+    def start(self, centres: np.ndarray) -> np.ndarray:
+        """A radius at which windows have about ``FIRST`` of the rows, by the places around the centre."""
         rows = self.base.ids.size
+        aside = max(1, int(rows * FIRST / 2))
         reach = np.zeros(centres.shape)
         for line in range(PROJECTIONS):
             at = np.searchsorted(self.sorted[line], centres[:, line])
-            upper = self.sorted[line][np.minimum(at + k // 2, rows - 1)]
-            lower = self.sorted[line][np.maximum(at - k // 2, 0)]
+            upper = self.sorted[line][np.minimum(at + aside, rows - 1)]
+            lower = self.sorted[line][np.maximum(at - aside, 0)]
             reach[:, line] = np.maximum(np.abs(upper - centres[:, line]), np.abs(centres[:, line] - lower))
         return np.median(reach, axis=1) / WIDTH + 1e-12
 
@@ -141,29 +153,26 @@ class _Search(CellState):
         size, least = arrays.base.ids.size, threshold()
         centres = self.centres[n][rows]
         goal = np.array([self._reach(n, r) for r in rows])
-        radius = np.where(np.isfinite(goal), goal, arrays.start(centres, self.k))
+        radius = np.where(np.isfinite(goal), goal, arrays.start(centres))
         counts = np.zeros((rows.size, size), np.int16)
-        left, right = (np.full(centres.shape, -1, np.int64) for _ in range(2))
+        # empty windows at the centres
+        left = np.column_stack([np.searchsorted(a, centres[:, line]) for line, a in enumerate(arrays.sorted)])
+        right = left.copy()
         open_rows = np.arange(rows.size)
         while open_rows.size:
             lo, hi = arrays.windows(centres[open_rows], WIDTH * radius[open_rows])
             still = []
             for q, own_lo, own_hi in zip(open_rows, lo, hi):
-                row, had_lo, had_hi = rows[q], left[q], right[q]
-                before = counts[q] >= least
-                new = []
-                for line in range(PROJECTIONS):
-                    order = arrays.order[line]
-                    if had_lo[line] < 0:
-                        new.append(order[own_lo[line] : own_hi[line]])
-                    else:
-                        new.append(order[own_lo[line] : had_lo[line]])
-                        new.append(order[had_hi[line] : own_hi[line]])
-                counts[q] += np.bincount(np.concatenate(new), minlength=size).astype(np.int16)
+                row, before = rows[q], counts[q] >= least
+                inside = int((own_hi - own_lo).sum())
+                if inside - int((right[q] - left[q]).sum()) <= size * PROJECTIONS - inside:
+                    counts[q] += arrays.count(own_lo, left[q], right[q], own_hi)
+                else:  # fewer entries are outside the windows than newly inside
+                    counts[q] = PROJECTIONS - arrays.count(np.zeros_like(own_lo), own_lo, own_hi, np.full_like(own_hi, size))
                 left[q], right[q] = own_lo, own_hi
                 self._verify(n, row, arrays.base, np.flatnonzero((counts[q] >= least) & ~before))
                 reach = self._reach(n, row)
-                everything = bool(((own_lo == 0) & (own_hi == size)).all())
+                everything = inside == size * PROJECTIONS
                 if radius[q] < reach and not everything:
                     radius[q] = min(radius[q] * GROWTH, reach) if math.isfinite(reach) else radius[q] * GROWTH
                     still.append(q)
@@ -172,6 +181,12 @@ class _Search(CellState):
     def _verify(self, n: int, row: int, base: Block, places: np.ndarray) -> None:
         block = self.blocks[n]
         places = places[base.ids[places] != block.ids[row]]
+        if self.scores[n][row].size == self.k or places.size > self.k:
+            # a fast product first: what is behind by more than its rounding cannot be among the best
+            near = base.vectors[places] @ block.vectors[row]
+            worst = self.scores[n][row][-1] if self.scores[n][row].size == self.k else np.partition(near, -self.k)[-self.k]
+            slack = 1e-15 * base.vectors.shape[1] * math.sqrt(self.longest * self.squared[n][row])
+            places = places[near >= worst - slack]
         if places.size:
             scores = np.concatenate((self.scores[n][row], products(block.vectors[row], base.vectors[places])))
             ids = np.concatenate((self.ids[n][row], base.ids[places]))
