@@ -206,17 +206,32 @@ def multiplier_table(spark, sf):
     return multipliers.multiplier_table(I.canonical_multiplier(spark, sf))
 
 
+_FOUR = ["flow", "product", "process", "factor"]
+_SECTORS_SQL = "list_transform(list_filter(tags, lambda x: starts_with(x, 'sector:')), lambda x: replace(x, 'sector:', ''))"
+
+view(
+    "four_units",
+    f"""SELECT _ord, region, entity_type, {I.unit_sql("ef_value", "ef_unit")[0]} AS ef_value,
+  coalesce(CASE WHEN region = 'US' THEN 'USA' ELSE region END, '') AS r, CASE WHEN len(s) > 0 THEN s ELSE [entity_type] END AS s
+FROM ({" UNION ALL ".join(f"SELECT _ord, region, entity_type, ef_value, ef_unit, {_SECTORS_SQL} AS s FROM can_{n}" for n in _FOUR)})""",
+)
+view(
+    "four_pairs",
+    "SELECT r, s, unnest(s) AS sector, generate_subscripts(s, 1) AS pos FROM (SELECT DISTINCT r, s FROM four_units)",
+)
+
+
 @query(
     "multiplier_v2",
-    """SELECT u._ord AS row_key, u.region, u.entity_type,
-  CASE WHEN m.multiplier IS NOT NULL THEN u.value * m.multiplier ELSE u.value END AS ef_value,
-  m.multiplier IS NOT NULL AS multiplier_applied
-FROM (SELECT _ord, region, entity_type, ef_value AS value FROM unit_rows WHERE dataset IN ('flow', 'product', 'process', 'factor')) u
-LEFT JOIN chosen_multiplier m ON m._ord = u._ord""",
+    """SELECT u._ord AS row_key, u.region, u.entity_type, u.ef_value * coalesce(m.m, 1.0::double) AS ef_value, m.m IS NOT NULL AS multiplier_applied
+FROM four_units u LEFT JOIN (
+  SELECT r, s, arg_min(m, rank) AS m FROM (
+    SELECT p.r, p.s, k.multiplier AS m, pos AS rank FROM four_pairs p JOIN multiplier_keys k ON k.region = p.r AND k.sector = p.sector
+    UNION ALL SELECT p.r, p.s, k.multiplier, 1000 + pos FROM four_pairs p JOIN multiplier_keys k ON k.region = 'Global' AND k.sector = p.sector)
+  GROUP BY r, s) m ON u.r = m.r AND u.s = m.s""",
 )
 def multiplier_v2(spark, sf):
-    names = ["flow", "product", "process", "factor"]
-    rows = plan.apply_units(merge.stack(I.datasets(spark, sf, names)), "reference")
+    rows = plan.apply_units(merge.stack(I.datasets(spark, sf, _FOUR)), "reference")
     keys = multipliers.multiplier_table(I.canonical_multiplier(spark, sf))
     applied = multipliers.apply_regional(rows, keys)
     return applied.select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factorloom.catalog import inputs as I
 from factorloom.catalog.base import query, table, view
-from factorloom.operators import profile, quality
+from factorloom.operators import hashtree, profile, quality
 
 view(
     "named_facts",
@@ -101,6 +101,47 @@ def table_fingerprint(spark, sf):
     return profile.fingerprint(table(spark, sf, "lineitem"), _PRINTED)
 
 
+_TREE_WIDTH = 50
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate"]
+_CHANGED = "CASE WHEN l_orderkey % 997 = 3 THEN l_quantity + 1 ELSE l_quantity END"
+
+
+def _tree_sql(rows: str) -> str:
+    quoted = ", ".join(f"coalesce('\"' || replace({c}::VARCHAR, '\"', '\"\"') || '\"', 'N')" for c in _LINE)
+    return f"""SELECT 0 AS level, l_orderkey // {_TREE_WIDTH} AS node, count(*)::BIGINT AS rows,
+    md5(count(*) || '|' || sum(('0x' || substr(m, 1, 15))::BIGINT::HUGEINT) || '|' || sum(('0x' || substr(m, 16, 15))::BIGINT::HUGEINT)) AS hash
+  FROM (SELECT l_orderkey, md5(concat_ws(',', {quoted})) AS m FROM {rows}) GROUP BY l_orderkey // {_TREE_WIDTH}"""
+
+
+@query(
+    "table_hash_tree",
+    f"""WITH RECURSIVE tree AS (
+  {_tree_sql("lineitem")}
+  UNION ALL
+  SELECT level + 1, node // {hashtree.FAN}, sum(rows)::BIGINT, md5(string_agg(node || ':' || hash, ',' ORDER BY node))
+  FROM (SELECT *, max(node) OVER () AS top FROM tree) WHERE top > 0 GROUP BY level, node // {hashtree.FAN}
+) SELECT level, node, rows, hash FROM tree""",
+)
+def table_hash_tree(spark, sf):
+    """Root, inner nodes and leaves of the line items."""
+    return hashtree.hash_tree(table(spark, sf, "lineitem"), "l_orderkey", _LINE, _TREE_WIDTH)
+
+
+@query(
+    "table_changed_ranges",
+    f"""SELECT node * {_TREE_WIDTH} AS first_key, node * {_TREE_WIDTH} + {_TREE_WIDTH - 1} AS last_key,
+  coalesce(a.rows, 0) AS rows_before, coalesce(b.rows, 0) AS rows_after
+FROM ({_tree_sql("lineitem")}) a FULL JOIN ({_tree_sql(f"(SELECT * REPLACE ({_CHANGED} AS l_quantity) FROM lineitem WHERE l_orderkey % 1013 <> 5 OR l_linenumber > 1)")}) b
+  USING (node) WHERE a.hash IS DISTINCT FROM b.hash""",
+)
+def table_changed_ranges(spark, sf):
+    """The key ranges in which a copy with some changed and some missing line items differs."""
+    lines = table(spark, sf, "lineitem")
+    changed = lines.where("l_orderkey % 1013 <> 5 or l_linenumber > 1").withColumn("l_quantity", F.expr(_CHANGED))
+    trees = [hashtree.hash_tree(df, "l_orderkey", _LINE, _TREE_WIDTH) for df in (lines, changed)]
+    return hashtree.changed_ranges(*trees, width=_TREE_WIDTH)
+
+
 _FIELDS = ["entity_id", "entity_name", "ef_value", "region", "confidence", "is_outlier"]
 
 

@@ -75,7 +75,9 @@ def parse_flag(c: Column | str) -> Column:
 
 
 def flag_column(df: DataFrame, name: str) -> Column:
-    """A column as a boolean without nulls: read as text only when it is text."""
+    """A column as a boolean without nulls: read as text only when it is text, false where it is missing."""
+    if name not in df.columns:
+        return F.lit(False)
     if isinstance(df.schema[name].dataType, T.BooleanType):
         return F.coalesce(F.col(name), F.lit(False))
     return parse_flag(name)

@@ -21,7 +21,7 @@ from factorloom.constants import (
 from factorloom.functions.numbers import is_numeric_text, number_column
 from factorloom.functions.tags import empty_tags, parse_strict
 from factorloom.functions.text import part_before
-from factorloom.operators.ordering import dense_index, keep_first
+from factorloom.operators.ordering import keep_first, number_written
 from factorloom.operators.outliers import flag_outliers
 from factorloom.schema import by_length
 from factorloom.session import stage
@@ -67,14 +67,14 @@ def coerce_types(df: DataFrame) -> DataFrame:
     return df.withColumns(typed)
 
 
-def number(df: DataFrame, order: str = "_ord") -> DataFrame:
-    """Ids ``EF00000001`` onward in input order."""
-    return dense_index(df, [order], "_n", start=1).withColumn("id", padded_id("EF", "_n")).drop("_n")
+def number(written: DataFrame, order: str = "_ord") -> DataFrame:
+    """Ids ``EF00000001`` onward in input order, for a written table."""
+    return number_written(written, [order], "_n", start=1).withColumn("id", padded_id("EF", "_n")).drop("_n")
 
 
 def merge(datasets: dict[str, DataFrame], order: str = "_ord") -> DataFrame:
     """One typed table of all complete datasets, with ids."""
-    numbered = number(coerce_types(stack(datasets)), order).drop(order)
+    numbered = number(stage(coerce_types(stack(datasets)), "stacked"), order).drop(order)
     known = [c for c in MERGED_COLUMNS if c in numbered.columns]
     return numbered.select(*known, *[c for c in numbered.columns if c not in known])
 
@@ -94,7 +94,7 @@ def merge_fixed(datasets: dict[str, DataFrame], order: str = "_ord") -> DataFram
     if merged is None:
         raise ValueError("no dataset to merge")
     return (
-        dense_index(merged, [order], "_n")
+        number_written(stage(merged, "stacked"), [order], "_n")
         .withColumn("harmonized_id", padded_id("EF_", "_n"))
         .select(*CANONICAL_COLUMNS, "harmonized_id")
     )

@@ -16,7 +16,7 @@ from factorloom.functions.numbers import number_column
 from factorloom.functions.tags import sectors, sectors_or_type, tag, with_prefix
 from factorloom.operators.ordering import keep_first
 from factorloom.operators.sizing import BROADCAST_ROWS, sized_broadcast
-from factorloom.session import cut_lineage
+from factorloom.session import cut_lineage, stage
 
 
 def combine(predefined: DataFrame, extracted: DataFrame, order: str = "_ord") -> DataFrame:
@@ -101,6 +101,7 @@ def apply_regional(
     table: DataFrame,
     where: Column | None = None,
     max_rows: int = BROADCAST_ROWS,
+    written: DataFrame | None = None,
 ) -> DataFrame:
     """Scale ``ef_value`` by the first candidate sector with a regional entry.
 
@@ -109,13 +110,15 @@ def apply_regional(
     The multiplier depends on region and candidates alone, so each distinct pair
     of them is resolved once, whatever the size of ``table``, and joined back:
     by broadcast when the pairs are counted few, else shuffled. Rows outside
-    ``where`` pass through with a null flag.
+    ``where`` pass through with a null flag. The pairs are read from ``written``, a
+    table with the same regions, tags and types; without one the facts are written first,
+    so that they are computed once.
     """
     eligible = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    keyed = facts.withColumn("_region", F.coalesce(lookup_region(), F.lit(""))).withColumn(
-        "_sectors", sectors_or_type("tags", "entity_type")
-    )
-    chosen = _resolved(keyed.select("_region", "_sectors").distinct(), cut_lineage(table))
+    if written is None:
+        written = facts = stage(facts, "facts")
+    keyed = _with_pair(facts)
+    chosen = _resolved(_with_pair(written).select("_region", "_sectors").distinct(), table)
     joined = keyed.join(sized_broadcast(chosen, max_rows), ["_region", "_sectors"], "left")
     hit = F.coalesce("_hit", F.lit(False))
     scaled = F.when(eligible & hit, F.col("ef_value") * F.col("_by")).otherwise(F.col("ef_value"))
@@ -126,6 +129,12 @@ def apply_regional(
     )
 
 
+def _with_pair(facts: DataFrame) -> DataFrame:
+    """Facts with the region and the candidate sectors by which a multiplier is found."""
+    region = F.coalesce(lookup_region(), F.lit(""))
+    return facts.withColumns({"_region": region, "_sectors": sectors_or_type("tags", "entity_type")})
+
+
 def _resolved(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """``_region, _sectors, _by, _hit`` of the pairs that have an entry."""
     candidates = pairs.select("_region", "_sectors", F.posexplode("_sectors").alias("_pos", "sector"))

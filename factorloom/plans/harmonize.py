@@ -29,19 +29,19 @@ class Options:
 
 
 def canonical_union(datasets: dict[str, DataFrame]) -> DataFrame:
-    """All canonical rows, labelled by dataset and staged once as parquet."""
+    """All canonical rows with one set of types, labelled by dataset and written once."""
     labelled = {name: df.withColumn("_dataset", F.lit(name)) for name, df in datasets.items()}
     return stage(merge.coerce_types(merge.stack(labelled)), "canonical")
 
 
 def flag_datasets(
-    df: DataFrame, staged: DataFrame, method: str = "exact", without_flag: set[str] = WITHOUT_OUTLIER_FLAG
+    df: DataFrame, written: DataFrame, method: str = "exact", without_flag: set[str] = WITHOUT_OUTLIER_FLAG
 ) -> DataFrame:
-    """Outlier flags per dataset in one grouped pass over the staged table.
+    """Outlier flags per dataset; the statistics read two columns of the written table.
 
     Datasets in ``without_flag`` keep an empty flag.
     """
-    statistics = group_statistics(staged, "ef_value", ["_dataset"], method)
+    statistics = group_statistics(written, "ef_value", ["_dataset"], method)
     flagged = flag_outliers(df, by=["_dataset"], statistics=statistics)
     hidden = F.col("_dataset").isin(sorted(without_flag)) if without_flag else F.lit(False)
     return flagged.withColumn("is_outlier", F.when(~hidden, F.col("is_outlier")))
@@ -55,19 +55,21 @@ def apply_units(df: DataFrame, mode: str) -> DataFrame:
 def harmonize(datasets: dict[str, DataFrame], options: Options = Options()) -> DataFrame:
     """Canonical datasets to the merged table: ids, outliers, units, multipliers.
 
-    No step adds or drops rows, so the rows are numbered first. Facts are
-    shuffled once, by the range sort of that numbering; everything after it is
-    one narrow pass with broadcast statistics and multipliers.
+    No step adds or drops rows. Facts are shaped and written once; statistics,
+    multipliers and the counts behind the numbers read the columns they need from there.
+    The rest is one job: rows move once, to be numbered in order, and are scaled and
+    flagged on the way with broadcast statistics and multipliers.
     """
-    staged = canonical_union(datasets)
-    merged = merge.number(staged, options.order)
-    if "is_outlier" not in staged.columns:
-        merged = flag_datasets(merged, staged, options.quantiles)
+    written = canonical_union(datasets)
+    merged = merge.number(written, options.order)
+    if "is_outlier" not in written.columns:
+        merged = flag_datasets(merged, written, options.quantiles)
     merged = apply_units(merged, options.unit_mode)
     if options.multiplier_dataset in datasets:
-        rows = apply_units(staged, options.unit_mode).where(F.col("_dataset") == options.multiplier_dataset)
+        rows = apply_units(written, options.unit_mode).where(F.col("_dataset") == options.multiplier_dataset)
         table = multipliers.multiplier_table(rows, options.order, options.region_key)
-        merged = multipliers.apply_regional(merged, table, where=F.col("_dataset") != options.multiplier_dataset)
+        scaled = F.col("_dataset") != options.multiplier_dataset
+        merged = multipliers.apply_regional(merged, table, where=scaled, written=written)
     return merged.select(*[c for c in MERGED_COLUMNS if c in merged.columns])
 
 

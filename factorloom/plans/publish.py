@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factorloom.plans.graph import FactorGraph
 from factorloom.plans.harmonize import Options, entity_crosswalk, harmonize
+from factorloom.plans.snapshots import Published, Writing, load_interim
 from factorloom.session import stage
 from factorloom.sources import sinks
 from factorloom.sources.registry import Registry
@@ -26,6 +27,46 @@ def publish(datasets: dict[str, DataFrame], out: str, options: Options = Options
     return merged
 
 
+def publish_set(
+    writing: Writing, datasets: dict[str, DataFrame], options: Options = Options(), as_of: str | None = None
+) -> int:
+    """The same parts as :func:`publish`, put in force together by the manifest; the set's number comes back.
+
+    ``merged`` holds the merged rows as parquet besides.
+    """
+    spark = writing.spark
+    harmonize(datasets, options).write.mode("errorifexists").parquet(writing.path("merged"))
+    merged = spark.read.parquet(writing.path("merged"))
+    writing.add("merged", "parquet", merged, lambda path: None)
+    writing.add("data", "csv", merged, lambda path: sinks.write_csv(merged, path))
+    pairs = stage(entity_crosswalk(datasets, options), "crosswalk")
+    writing.add("crosswalk", "csv", pairs, lambda path: sinks.write_csv(pairs, path))
+    sinks.write_metadata(merged, writing.path("metadata"), as_of=as_of)
+    for name in ("about", "counts"):
+        written = spark.read.json(writing.path(f"metadata/{name}"))
+        writing.add(f"metadata/{name}", "json", written, lambda path: None)
+    sinks.write_summary(merged, writing.path("summary"))
+    writing.add("summary", "text", spark.read.text(writing.path("summary")), lambda path: None)
+    graph = FactorGraph.build(merged).tables()
+    sinks.write_graph(graph, writing.path("graph"))
+    for name, table in graph.items():
+        writing.add(f"graph/{name}", "csv", table, lambda path: None)
+    return writing.commit()
+
+
+def run_set(
+    spark: SparkSession,
+    registry: Registry,
+    paths: dict[str, str],
+    out: str,
+    options: Options = Options(),
+    as_of: str | None = None,
+) -> int:
+    """Load every registered source that has a path, shaping only those that changed, then publish one set."""
+    writing = Published(spark, out).begin()
+    return publish_set(writing, load_interim(spark, registry, paths, writing, as_of), options, as_of)
+
+
 def run(
     spark: SparkSession,
     registry: Registry,
