@@ -38,6 +38,9 @@ def with_views(body: str) -> str:
     if not ordered:
         return body
     clauses = ",\n".join(f"{name} AS (\n{VIEWS[name]}\n)" for name in ordered)
+    own = re.match(r"WITH (RECURSIVE )?", body)
+    if own:
+        return f"WITH {own[1] or ''}{clauses},\n{body[own.end() :]}"
     return f"WITH {clauses}\n{body}"
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from factorloom.catalog import inputs as I
 from factorloom.catalog.base import query, table
+from factorloom.operators import merge
 from factorloom.plans import publish
 from factorloom.plans.harmonize import Options
-from factorloom.plans.snapshots import Published
+from factorloom.plans.snapshots import Published, load_interim
 from factorloom.session import scratch_path
 from factorloom.sources import canonical, readers, sinks
 from factorloom.sources.registry import Registry, SourceSpec
@@ -305,25 +306,27 @@ def src_mixed_types(spark, sf):
   UNION ALL SELECT 2, 'interim/product', (SELECT count(*) FROM can_product WHERE entity_id::BIGINT % 10 <> 0), false
   UNION ALL SELECT n, 'interim/factor', (SELECT count(*) FROM can_factor), n = 2 FROM (VALUES (1), (2)) s(n)
   UNION ALL SELECT n, p, (SELECT count(*) FROM can_factor) + (SELECT count(*) FROM can_product WHERE n = 1 OR entity_id::BIGINT % 10 <> 0), false
-  FROM (VALUES (1), (2)) s(n), (VALUES ('merged'), ('data'), ('graph/emission_factors')) t(p)) v""",
+  FROM (VALUES (1), (2)) s(n), (VALUES ('merged'), ('data')) t(p)) v""",
 )
 def publish_sets(spark, sf):
     """Two published sets, one of two sources changed in between; rows as read back through the manifest."""
     path = scratch_path(spark, "sets")
-    result = None
+    published, result = Published(spark, path), None
     for number in (1, 2):
         sources = Registry()
         read = lambda s, _, number=number: I.raw_product(s, sf).where(F.lit(number == 1) | (F.col("LCI_Code") % 10 != 0))
         sources.add(SourceSpec("product", read, canonical.product))
         sources.add(SourceSpec("factor", lambda s, _: I.raw_factor(s, sf), canonical.factor))
-        publish.run_set(spark, sources, {"product": sf, "factor": sf}, path, as_of=I.AS_OF)
-        published = Published(spark, path)
-        current = published.current().withColumn("reused", ~F.col("path").contains(f"sets/{number:08d}-"))
-        for part in ("interim/product", "interim/factor", "merged", "data", "graph/emission_factors"):
-            kind = current.where(F.col("part") == part).select("kind").head()[0]
-            back = published.read(part) if kind == "parquet" else readers.read_csv(spark, current.where(F.col("part") == part).head()["path"])
-            counted = back.agg(F.count(F.lit(1)).alias("rows"))
-            row = current.where(F.col("part") == part).select("number", "part", "reused").withColumn("rows", counted.scalar())
-            row = row.select(F.col("number").cast("int").alias("number"), "part", "rows", "reused")
-            result = row if result is None else result.unionByName(row)
+        writing = published.begin()
+        datasets = load_interim(spark, sources, {"product": sf, "factor": sf}, writing, I.AS_OF)
+        merged = merge.merge(datasets)
+        writing.add("merged", "parquet", merged, merged.write.parquet)
+        merged = spark.read.parquet(writing.path("merged"))
+        writing.add("data", "csv", merged, lambda out, merged=merged: sinks.write_csv(merged, out))
+        writing.commit()
+        for row in published.current().select("part", "path", "kind").collect():
+            kept = "sets/00000001-" in row["path"] and number == 2
+            back = published.read(row["part"]) if row["kind"] == "parquet" else readers.read_csv(spark, row["path"], merged.drop("tags").schema.add("tags", "string"))
+            counted = back.agg(F.lit(number).alias("number"), F.lit(row["part"]).alias("part"), F.count(F.lit(1)).alias("rows"), F.lit(kept).alias("reused"))
+            result = counted if result is None else result.unionByName(counted)
     return result

@@ -9,6 +9,7 @@ from factorloom.catalog import inputs as I
 from factorloom.catalog.base import query, table
 from factorloom.plans import graph as G
 from factorloom.plans import patterns as P
+from factorloom.plans.graph import FactorGraph
 
 _EDGE_SOURCE = """SELECT f.ef_id, coalesce(s.source_id, '') AS source_id, f.timestamp
 FROM g_facts f LEFT JOIN g_sources s ON s.name = f.source_dataset"""
@@ -344,3 +345,48 @@ def graph_hierarchy_nations(spark, sf):
             F.round(F.sum("total") / F.sum("n"), 6).alias("avg_value"),
         )
     )
+
+
+# regions, continents and the globe: the fixed rows, and every region of the facts that they leave out below the globe
+_LEVELS = """SELECT child_region_code AS child, parent_region_code AS parent FROM g_hierarchy
+  UNION SELECT region, 'GLB' FROM g_facts WHERE region IS NOT NULL AND region <> 'GLB' AND region NOT IN (SELECT child_region_code FROM g_hierarchy)
+  UNION SELECT parent_region_code, 'GLB' FROM g_hierarchy WHERE parent_region_code <> 'GLB'"""
+_CLOSURE = f"""levels AS ({_LEVELS}), below AS (
+  SELECT parent AS ancestor, child AS region, 1 AS depth FROM levels
+  UNION ALL SELECT b.ancestor, l.child, b.depth + 1 FROM below b JOIN levels l ON l.parent = b.region)"""
+
+
+def _levelled(spark, sf):
+    """The graph with a hierarchy of several levels."""
+    g = I.graph(spark, sf)
+    fixed = g.hierarchy.select("child_region_code", "parent_region_code")
+    known = fixed.select(F.col("child_region_code").alias("region"))
+    others = g.facts.where("region is not null and region <> 'GLB'").select("region").distinct().join(known, "region", "left_anti")
+    parents = fixed.where("parent_region_code <> 'GLB'").select(F.col("parent_region_code").alias("region")).distinct()
+    top = others.unionByName(parents).select(F.col("region").alias("child_region_code"), F.lit("GLB").alias("parent_region_code"))
+    levels = fixed.unionByName(top).distinct().withColumn("relationship_type", F.lit("PART_OF"))
+    return FactorGraph(g.facts, hierarchy=levels)
+
+
+@query(
+    "graph_part_of_closure",
+    f"""WITH RECURSIVE {_CLOSURE}, sums AS (
+  SELECT region, count(*) AS rows, count(ef_value) AS n, sum(ef_value) AS s, min(ef_value) AS lo, max(ef_value) AS hi FROM g_facts WHERE region IS NOT NULL GROUP BY 1)
+SELECT ancestor AS region_code, sum(rows)::BIGINT AS rows, count(*) AS regions, round(sum(s) / sum(n), 6) AS avg_value, min(lo) AS least_value, max(hi) AS most_value
+FROM (SELECT DISTINCT ancestor, region FROM below UNION SELECT region, region FROM sums) JOIN sums USING (region) GROUP BY 1""",
+)
+def graph_part_of_closure(spark, sf):
+    """Facts rolled up over countries, continents and the globe."""
+    return P.rollup_all_levels(_levelled(spark, sf)).withColumn("avg_value", F.round("avg_value", 6))
+
+
+@query(
+    "graph_part_of_levels",
+    f"""WITH RECURSIVE {_CLOSURE}
+SELECT ef_id, entity_name, ef_value, ef_unit, r.name AS country, depth FROM g_facts f
+JOIN (SELECT region, min(depth) AS depth FROM below WHERE ancestor = 'GLB' GROUP BY 1) b ON b.region = f.region
+JOIN g_regions r ON r.region_code = f.region""",
+)
+def graph_part_of_levels(spark, sf):
+    """Every fact below the globe, with its distance from it."""
+    return P.part_of_all_levels(_levelled(spark, sf), "GLB")

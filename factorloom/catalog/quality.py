@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from factorloom.catalog import inputs as I
 from factorloom.catalog.base import query, table, view
 from factorloom.operators import hashtree, profile, quality
+from factorloom.session import scratch_path
+from factorloom.sources import sinks
 
 view(
     "named_facts",
@@ -218,3 +220,26 @@ def mape_vs_source(spark, sf):
 def filter_critical(spark, sf):
     rows = I.facts(spark, sf).dropna(subset=["ef_value", "region"])
     return rows.select("id", "entity_id", "entity_name", "ef_value", quality.record_is_valid().alias("is_valid"))
+
+
+@query(
+    "metadata_about",
+    f"""SELECT 'Harmonised factors' AS title, 'Factors of all sources in one schema' AS description, '1.0' AS version, '{I.AS_OF}' AS created_at,
+  (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT source_dataset AS s FROM facts)) AS source_datasets,
+  count(*) AS record_count, count(DISTINCT region) AS regions, min(confidence) AS least_confidence, max(confidence) AS most_confidence,
+  6::BIGINT AS steps, 'ef_value' AS value_column FROM facts""",
+)
+def metadata_about(spark, sf):
+    """The description of a merged table, field by field, as it was written and read back."""
+    path = scratch_path(spark, "metadata")
+    sinks.write_metadata(I.facts(spark, sf), path, as_of=I.AS_OF)
+    about = spark.read.json(f"{path}/about")
+    return about.select(
+        *("title", "description", "version", "created_at"),
+        F.array_join("source_datasets", ",").alias("source_datasets"),
+        *("record_count", "regions"),
+        F.col("confidence_range")[0].alias("least_confidence"),
+        F.col("confidence_range")[1].alias("most_confidence"),
+        F.size("processing_steps").cast("bigint").alias("steps"),
+        F.filter("columns", lambda c: c == "ef_value")[0].alias("value_column"),
+    )

@@ -9,6 +9,7 @@ from factorloom.catalog import inputs as I
 from factorloom.catalog.base import query, table, view
 from factorloom.functions import regions, tags, text
 from factorloom.functions.numbers import coerce_numeric, double_text
+from factorloom.session import scratch_path
 from factorloom.sources import gate, resolve
 
 # --- text -----------------------------------------------------------------------
@@ -261,24 +262,49 @@ def metadata_json_process(spark, sf):
 # --- checks on headers and files --------------------------------------------------------
 
 
+_CELLS = [" Emissions (t)", "GHG total", "total CO2", "\tco2 ", "CH4-eq", "methane"]
+
+
 @query(
     "filter_table_header",
-    r"""SELECT doc_id, cells FROM (SELECT doc_id, string_split(string_split(text, chr(10))[1], ' ') AS c, len(c) AS cells FROM documents)
-WHERE len(list_filter(c, lambda x: regexp_matches(lower(trim(x)), '^(emission|ghg|co2|ch4|e|co)'))) > 0""",
+    f"""SELECT p_partkey, {I.pick_sql(_CELLS, "p_size % 6")} AS cell FROM part
+WHERE regexp_matches(lower(trim({I.pick_sql(_CELLS, "p_size % 6")}, ' ' || chr(9))), '^({"|".join(C.TABLE_HEADER_PREFIXES)})')""",
 )
 def filter_table_header(spark, sf):
-    """Texts whose first line, read as header cells, has a cell with a listed start.
+    """Table headers of two ordinary cells and one that may start with an emission word."""
+    cell = I.pick(_CELLS, F.col("p_size") % 6)
+    headers = table(spark, sf, "part").select("p_partkey", cell.alias("cell"), F.array("p_name", "p_type", cell).alias("cells"))
+    return headers.where(gate.is_relevant_table("cells")).select("p_partkey", "cell")
 
-    The prose never names a gas, so two short starts are added to the list.
-    """
-    cells = F.split(F.substring_index("text", "\n", 1), " ")
-    rows = table(spark, sf, "documents").select("doc_id", cells.alias("c"), F.size(cells).alias("cells"))
-    wanted = gate.is_relevant_table("c", [*C.TABLE_HEADER_PREFIXES, "e", "co"])
-    return rows.where(wanted).select("doc_id", "cells")
+
+_LANDED = {"wide": 6, "narrow": 4, "web": 6}
+_LINES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"]
 
 
 @query(
     "src_sanity_gate",
+    f"""SELECT v.kind, g.part, v.kind = 'web' AS is_html, true AS has_comma, v.columns, g.n + 1 AS lines, v.kind = 'wide' AND g.n + 1 >= {C.SANITY_MIN_LINES} AS accepted
+FROM (SELECT l_orderkey // 250 AS part, count(*) AS n FROM lineitem GROUP BY l_orderkey // 250) g,
+  (VALUES {", ".join(f"('{k}', {n})" for k, n in _LANDED.items())}) v(kind, columns)""",
+)
+def src_sanity_gate(spark, sf):
+    """Landed files of about a thousand line items each: wide enough, too narrow, and a web page by its first line."""
+    path = scratch_path(spark, "landed")
+    rows = table(spark, sf, "lineitem").withColumn("part", F.floor(F.col("l_orderkey") / 250))
+    for kind, columns in _LANDED.items():
+        first = F.col(_LINES[0]).alias("<html>" if kind == "web" else _LINES[0])
+        # one file for each part
+        files = rows.select("part", first, *_LINES[1:columns]).repartition("part")
+        files.write.partitionBy("part").option("header", True).csv(f"{path}/{kind}")
+    found = gate.check_files(spark, path)
+    place = F.regexp_extract("path", r"/(\w+)/part=(\d+)/", 1), F.regexp_extract("path", r"/(\w+)/part=(\d+)/", 2).cast("bigint")
+    return found.select(
+        place[0].alias("kind"), place[1].alias("part"), "is_html", "has_comma", F.col("columns").cast("int").alias("columns"), "lines", "accepted"
+    )
+
+
+@query(
+    "src_text_verdict",
     """SELECT page_id, h AS is_html, c AS has_comma, k AS columns, l AS lines, NOT h AND c AND k >= 5 AND l >= 2 AS accepted FROM (
   SELECT page_id, contains(p, '<html') OR contains(p, '<!doctype html') AS h, contains(p, ',') AS c,
     len(string_split(string_split(html, chr(10))[1], ',')) AS k,
@@ -286,8 +312,8 @@ def filter_table_header(spark, sf):
   FROM (SELECT page_id, html, lower(html[1:1000]) AS p FROM (
     SELECT page_id, html FROM pages UNION ALL SELECT -1 - doc_id, text FROM documents)))""",
 )
-def src_sanity_gate(spark, sf):
-    """Web pages and plain texts as landed files."""
+def src_text_verdict(spark, sf):
+    """The same tests on web pages and plain texts held in a column, two lines being enough there."""
     pages = table(spark, sf, "pages").select("page_id", "html")
     texts = table(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("page_id"), F.col("text").alias("html"))
     return pages.unionByName(texts).select("page_id", *gate.verdict("html", min_lines=2))

@@ -220,3 +220,54 @@ def rollup_hierarchy(g: FactorGraph) -> DataFrame:
         F.coalesce("rows", F.lit(0)).alias("rows"),
         "avg_value",
     )
+
+
+def hierarchy_closure(hierarchy: DataFrame) -> DataFrame:
+    """``ancestor, region, depth`` of every region below another over all levels; the least depth where ways differ.
+
+    A hierarchy that leads from a region back to itself is refused.
+    """
+    levels = hierarchy.select(F.col("parent_region_code").alias("parent"), F.col("child_region_code").alias("child")).distinct()
+    found = hierarchy.sparkSession.sql(
+        """WITH RECURSIVE below(ancestor, region, way) AS (
+          SELECT parent, child, IF(parent = child, raise_error('region hierarchy has a cycle'), array(parent, child)) FROM {levels}
+          UNION ALL
+          SELECT b.ancestor, l.child, IF(array_contains(b.way, l.child), raise_error('region hierarchy has a cycle'), array_append(b.way, l.child))
+          FROM below b JOIN {levels} l ON l.parent = b.region)
+        SELECT ancestor, region, size(way) - 1 AS depth FROM below""",
+        levels=levels,
+    )
+    return found.groupBy("ancestor", "region").agg(F.min("depth").alias("depth"))
+
+
+def part_of_all_levels(g: FactorGraph, parent: str, limit: int | None = None) -> DataFrame:
+    """Facts of the regions below ``parent`` at any level, and how far below they are."""
+    below = hierarchy_closure(g.hierarchy).where(F.col("ancestor") == parent).select("region", "depth")
+    rows = _first(g.facts.join(below, "region"), ["ef_id"], limit)
+    return rows.join(_region_names(g), "region").select(
+        "ef_id", "entity_name", "ef_value", "ef_unit", F.col("region_name").alias("country"), "depth"
+    )
+
+
+def rollup_all_levels(g: FactorGraph) -> DataFrame:
+    """Facts of every region with those of all regions below it: rows, regions met, mean, least and largest value.
+
+    Facts are summed up by region first, so the hierarchy meets one row per region; a
+    region that is reached in two ways counts once.
+    """
+    sums = g.facts.where(existing("region")).groupBy("region").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("ef_value").alias("_n"),
+        F.sum("ef_value").alias("_sum"),
+        F.min("ef_value").alias("least"),
+        F.max("ef_value").alias("most"),
+    )
+    own = sums.select(F.col("region").alias("ancestor"), "region")
+    both = hierarchy_closure(g.hierarchy).select("ancestor", "region").unionByName(own).distinct()
+    return both.join(sums, "region").groupBy(F.col("ancestor").alias("region_code")).agg(
+        F.sum("rows").alias("rows"),
+        F.count(F.lit(1)).alias("regions"),
+        (F.sum("_sum") / F.sum("_n")).alias("avg_value"),
+        F.min("least").alias("least_value"),
+        F.max("most").alias("most_value"),
+    )

@@ -65,6 +65,7 @@ def check_files(
     text = F.array_join(F.transform("_top", lambda line: line["t"]), "\n")
     head = F.lower(F.substring(text, 1, SANITY_PREFIX_CHARS))
     return counts.join(heads, "path").select(
+        "path",
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
         *_checks(head, F.col("_columns"), F.col("_lines"), min_columns, min_lines),
     )
