@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factorloom.catalog import inputs as I
@@ -13,7 +14,7 @@ from factorloom.plans import publish
 from factorloom.plans.harmonize import Options
 from factorloom.plans.snapshots import Published, load_interim
 from factorloom.session import scratch_path
-from factorloom.sources import canonical, readers, sinks
+from factorloom.sources import canonical, jsonarrays, readers, sinks
 from factorloom.sources.registry import Registry, SourceSpec
 
 log = logging.getLogger(__name__)
@@ -330,3 +331,23 @@ def publish_sets(spark, sf):
             counted = back.agg(F.lit(number).alias("number"), F.lit(row["part"]).alias("part"), F.count(F.lit(1)).alias("rows"), F.lit(kept).alias("reused"))
             result = counted if result is None else result.unionByName(counted)
     return result
+
+
+@query(
+    "src_json_array",
+    "SELECT event_id, user_id, event_type, value, md5(props) AS digest FROM events",
+)
+def src_json_array(spark, sf):
+    """All events as JSON arrays of many records each, over many lines, cut into records again."""
+    path = scratch_path(spark, "events-json")
+    record = F.to_json(F.struct("event_id", "user_id", "event_type", "value", "props"))
+    dealt = _dealt(table(spark, sf, "events").withColumn("text", record), "event_id").select("g", "event_id", "text")
+    # the first record of a file opens the array, the others follow a comma
+    first = F.row_number().over(Window.partitionBy("g").orderBy("event_id")) == 1
+    lines = dealt.withColumn("text", F.concat(F.when(first, "[").otherwise(","), "text"))
+    ends = dealt.select("g").distinct().select("g", F.lit(None).cast("bigint").alias("event_id"), F.lit("]").alias("text"))
+    ordered = lines.unionByName(ends).repartition("g").sortWithinPartitions("g", F.col("event_id").asc_nulls_last())
+    ordered.select("g", F.col("text").alias("value")).write.partitionBy("g").text(path)
+    schema = "event_id bigint, user_id bigint, event_type string, value double, props string"
+    back = jsonarrays.read_array(spark, path, schema)
+    return back.select("event_id", "user_id", "event_type", "value", F.md5("props").alias("digest"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import logging
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,7 @@ from factorloom.constants import (
 )
 from factorloom.functions.numbers import null_nan
 from factorloom.functions.text import contains_any
-from factorloom.sources import records, typing
+from factorloom.sources import jsonarrays, records, typing
 
 log = logging.getLogger(__name__)
 
@@ -341,16 +342,35 @@ EXCHANGE_SCHEMA = (
 )
 
 
+def _block_bytes(spark: SparkSession) -> int:
+    """Largest part of a file that one task reads."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[unit[:1]]
+
+
+def _large_arrays(spark: SparkSession, path: str | list[str]) -> tuple[list[str], list[str]]:
+    """Files that hold an array and are larger than a task reads, and all other files."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").collect()
+    large = [row["path"] for row in listed if row["length"] > _block_bytes(spark)]
+    if large:
+        large = [row["path"] for row in probe_files(spark, large).where("is_array").select("path").collect()]
+    # the two listings write the scheme in their own way
+    bare = lambda p: re.sub(r"^\w+:/+", "/", p)
+    arrays = {bare(p) for p in large}
+    return large, [row["path"] for row in listed if bare(row["path"]) not in arrays]
+
+
 def read_exchanges(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Process documents to one row per greenhouse-gas exchange."""
-    documents = (
-        spark.read.schema(EXCHANGE_SCHEMA)
-        .option("multiLine", True)
-        .option("recursiveFileLookup", True)
-        .json(path)
-        .select("*", F.col("_metadata.file_name").alias("source_file"))
-    )
-    return explode_exchanges(documents)
+    """Process documents to one row per greenhouse-gas exchange.
+
+    An array of documents that is larger than a task's part of a file is split.
+    """
+    large, other = _large_arrays(spark, path)
+    parts = [jsonarrays.read_array(spark, large, EXCHANGE_SCHEMA)] if large else []
+    if other or not parts:
+        reader = spark.read.schema(EXCHANGE_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True)
+        parts.append(reader.json(other if large else path).select("*", F.col("_metadata.file_name").alias("source_file")))
+    return explode_exchanges(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
 
 
 def explode_exchanges(documents: DataFrame) -> DataFrame:
@@ -404,18 +424,26 @@ def read_json_or_lines(
     """JSON arrays of records and files with one record per line, also side by side.
 
     The first non-blank character of each file decides: an array opens with ``[``.
-    An array may span a whole file; with ``whole_file=False`` it must fit on its
-    line, which keeps large files splittable. A record that does not parse is an
-    error.
+    An array may span a whole file and is split where that is larger than a task's part
+    of a file; with ``whole_file=False`` arrays must fit on their lines. A record that
+    does not parse is an error.
     """
     forms: dict[bool, list[str]] = {False: [], True: []}
     for row in probe_files(spark, path).where("header <> ''").select("path", "is_array").collect():
         forms[row["is_array"] and whole_file].append(row["path"])
+    large = []
+    if forms[True]:
+        large, forms[True] = _large_arrays(spark, forms[True])
     reader = spark.read.schema(schema).option("mode", "FAILFAST")
     parts = [reader.option("multiLine", spans).json(paths) for spans, paths in forms.items() if paths]
+    if large:
+        parts.append(jsonarrays.read_array(spark, large, schema).drop("source_file"))
     if not parts:
         return spark.createDataFrame([], schema)
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part)
+    return stacked
 
 
 def load_train_and_validation(spark: SparkSession, train: str, validation: str) -> tuple[DataFrame, DataFrame]:
