@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factorloom.catalog import inputs as I
 from factorloom.catalog.base import query, table, view
-from factorloom.operators import hashtree, profile, quality
+from factorloom.operators import hashtree, profile, quality, sketches
 from factorloom.session import scratch_path
 from factorloom.sources import sinks
 
@@ -243,3 +243,28 @@ def metadata_about(spark, sf):
         F.size("processing_steps").cast("bigint").alias("steps"),
         F.filter("columns", lambda c: c == "ef_value")[0].alias("value_column"),
     )
+
+
+@query(
+    "distinct_from_sketches",
+    """SELECT event_type, c AS "column", CASE c WHEN 'user_id' THEN u ELSE v END AS exact, true AS within, true AS within_in_other_order
+FROM (SELECT event_type, count(DISTINCT user_id) AS u, count(DISTINCT value) AS v FROM events GROUP BY 1), (VALUES ('user_id'), ('value')) t(c)""",
+)
+def distinct_from_sketches(spark, sf):
+    """Distinct counts from stored sketches of every day against exact ones, two percent allowed, merged in two ways."""
+    path, columns = scratch_path(spark, "sketches"), ["user_id", "value"]
+    events = table(spark, sf, "events").withColumn("day", F.to_date("ts").cast("string"))
+    halves = {"odd": F.col("event_id") % 2 == 1, "even": F.col("event_id") % 2 == 0}
+    for name, half in halves.items():
+        sketches.store_sketches(events.where(half), path, columns, ["event_type", "day"], name)
+    merged = sketches.stored_counts(spark, path, ["event_type"])
+    per_day = sketches.merged_sketches(spark.read.parquet(path), ["event_type", "day"])
+    again = sketches.estimates(sketches.merged_sketches(per_day, ["event_type"])).withColumnRenamed("distinct_values", "again")
+    entries = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in columns))
+    exact = events.groupBy("event_type").agg(*(F.count_distinct(c).alias(c) for c in columns)).select("event_type", F.inline(entries))
+    both = exact.join(merged, ["event_type", "column"]).join(again, ["event_type", "column"])
+    return both.select(
+        *("event_type", "column", "exact"),
+        (F.abs(F.col("distinct_values") - F.col("exact")) <= 0.02 * F.col("exact")).alias("within"),
+        (F.abs(F.col("again") - F.col("exact")) <= 0.02 * F.col("exact")).alias("within_in_other_order"),
+    )

@@ -17,7 +17,7 @@ from factorloom.constants import (
     REST_OF_WORLD_DEFAULT,
     REST_OF_WORLD_LADDER,
 )
-from factorloom.functions.text import col, first_match, strip
+from factorloom.functions.text import col, first_listed, first_match, strip
 
 
 def text_literal(text: str) -> str:
@@ -62,10 +62,8 @@ def standardize_country(c: Column | str, mode: str = "exact") -> Column:
     text = F.upper(strip(c))
     names = {name.upper(): code for code, name in COUNTRY_CODES.items()}
     if mode == "reference":
-        inside = None
-        for code in COUNTRY_CODES:
-            test = text.contains(code)
-            inside = F.when(test, F.lit(code)) if inside is None else inside.when(test, F.lit(code))
+        codes = list(COUNTRY_CODES)
+        inside = F.get(F.array(*(F.lit(code) for code in codes)), first_listed(text, codes))
         known = F.coalesce(inside, lookup(text, names))
     elif mode == "exact":
         known = F.coalesce(F.when(text.isin(list(COUNTRY_CODES)), text), lookup(text, names))

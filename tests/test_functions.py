@@ -1,6 +1,7 @@
 """Column functions on hand-computed rows, one case per known trap."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,3 +212,31 @@ def test_confidence_band_scale(spark):
 
 def test_flags_are_true_only_for_true(spark):
     assert column(spark, ["True", " true", "1", None, "no"], "string", numbers.parse_flag) == [True, True, False, False, False]
+
+
+def test_first_listed_word_anywhere():
+    import re
+
+    words = ["US", "AUS", "AT", "AUSTRIA", "U", "x.y", "x", "FRA", "FR"]
+    rng = random.Random(7)
+    pattern = re.compile(text.trie_pattern(words))
+    for _ in range(500):
+        given = "".join(rng.choice(["A", "U", "S", "T", "R", "I", "x", ".", "y", "F", " "]) for _ in range(rng.randint(0, 9)))
+        hits = [m for k in range(len(given)) if (m := pattern.match(given, k))]
+        longest = {k: max((w for w in words if given.startswith(w, k)), key=len, default=None) for k in range(len(given))}
+        assert {m.start(): m[0] for m in hits} == {k: w for k, w in longest.items() if w}
+    for bad in ([], ["a", ""]):
+        with pytest.raises(ValueError):
+            text.trie_pattern(bad)
+
+
+def test_first_listed_against_a_ladder(spark):
+    words = ["US", "AUS", "AT", "AUSTRIA", "U", "x.y", "x", "FRA", "FR"]
+    rng = random.Random(8)
+    given = ["".join(rng.choice("AUSTRIxyF. ") for _ in range(rng.randint(0, 9))) for _ in range(300)] + [None, "AUSTRIA", "FRANCE"]
+    want = [next((k for k, w in enumerate(words) if t is not None and w in t), None) for t in given]
+    for few in (0, 100):
+        assert column(spark, given, "string", lambda c, few=few: text.first_listed(c, words, few)) == want
+    many = [f"K{k:03d}" for k in range(1000)]
+    got = column(spark, ["a K999 K512 b", "K5120", "none"], "string", lambda c: text.first_listed(c, many))
+    assert got == [512, 512, None]
