@@ -50,6 +50,10 @@ RULES = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]+", 0, 20),
 )
 BASE_KINDS = 3
+#: Matches whose spans are collected in one list before the lists are joined.
+RUN = 256
+
+_SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
 
 def _spans(text: Column, rank: int, rule: Rule) -> Column:
@@ -61,7 +65,7 @@ def _spans(text: Column, rank: int, rule: Rule) -> Column:
         F.transform(found, lambda x: F.length(x)).alias("size"),
         F.transform(tested, lambda x: F.length(x)).alias("tested"),
     )
-    empty = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
+    empty = F.array().cast(_SPANS)
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
@@ -74,10 +78,21 @@ def _spans(text: Column, rank: int, rule: Rule) -> Column:
             .alias("spans"),
         )
 
-    # spans are collected a match at a time, so only texts that may hold a match get here
-    walked = F.aggregate(
-        rows, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans")), step, lambda s: s["spans"]
-    )
+    def run_of(found: Column, k: Column) -> Column:
+        return F.slice(found, k * RUN + 1, F.lit(RUN))
+
+    def step_run(state: Column, run: Column) -> Column:
+        inner = F.aggregate(run, F.struct(state["at"].alias("at"), empty.alias("spans")), step)
+        return F.struct(inner["at"].alias("at"), F.concat(state["spans"], F.array(inner["spans"])).alias("spans"))
+
+    def walk(found: Column) -> Column:
+        # a list that grows is copied at every step: short lists of runs, put together once, keep that in proportion
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")), lambda k: run_of(found, k))
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPANS}>").alias("spans"))
+        return F.flatten(F.aggregate(runs, start, step_run, lambda s: s["spans"]))
+
+    # the pieces are one bound variable, so the pattern is not run again for every run; only texts that may hold a match get here
+    walked = F.get(F.transform(F.array(rows), walk), F.lit(0))
     return F.when(text.rlike(rule.pattern), walked).otherwise(empty)
 
 
@@ -121,7 +136,7 @@ def scan_new(
     if ledger is not None:
         known = entries.unionByName(ledger.where(F.col("rule_version") == version).dropDuplicates(["blob"]))
     hits = known.where(F.size("spans") > 0).select("blob", "spans")
-    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
+    none = F.array().cast(_SPANS)
     findings = paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
     return findings, entries
 

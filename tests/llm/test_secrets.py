@@ -42,6 +42,15 @@ def test_spans_against_brute_force(spark):
     assert entries.count() == len({t or "" for _, t in rows})
 
 
+def test_text_of_very_many_matches(spark):
+    many = " \U0001f600".join(f"token={k:07d} AKIA{'A' * 16}" if k % 3 else f"secret='{k}'" for k in range(20_000))
+    counts = [0, 1, secrets.RUN - 1, secrets.RUN, secrets.RUN + 1, 2 * secrets.RUN]
+    rows = [(1, many)] + [(10 + k, "token=abcdefg " * n) for k, n in enumerate(counts)]
+    text_of = dict(rows)
+    for r in secrets.scan_new(documents(spark, rows))[0].collect():
+        assert [tuple(s) for s in r["spans"]] == brute(text_of[r["doc_id"]])
+
+
 def test_ledger_is_incremental(spark):
     first = documents(spark, [(1, CASES[0]), (2, CASES[1])])
     _, ledger = secrets.scan_new(first)
