@@ -17,10 +17,17 @@ meet there. No candidate is lost by this, whatever the counts.
 Sets that meet are tied to the smallest of them. A pair is ruled out where the parity
 sketches of its sets differ in more bits than similar sets can differ in shingles (a
 shingle changes one bit at most), and verified by the exact sets otherwise. Where the
-ends of such a pair end up in different components, all pairs of different components
-that meet there are verified as well. So every link between documents is inside a
+ends of such a pair end up in different components, the pairs of different components
+that meet there and can be similar are verified as well. So every link between documents is inside a
 component, and pairs whose ends are joined already are not compared again.
 
+Where sets of different components meet at a frequent content, its segments tell too
+little: a passage shared by thousands of otherwise different sets would ask for all
+their pairs. There every set is allocated segments of one shingle, the rarest it has, a
+quarter of its size. Two similar sets share one of them, and the places of the first
+shared one in both sets bound what they can have in common, so sets that share
+the passage alone do not meet.
+
 Rows move as packed numbers: an index entry takes nine bytes. Segment contents
 that are frequent within one task are dealt out apart from the others, so a group of
 near copies with a third of all rows meets nowhere in one task.
@@ -40,13 +47,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import in_batches, whole
 from factorloom.llm.components import components
 from factorloom.llm.shingles import mix, shingle_sets
-from factorloom.operators.sizing import sized_broadcast
+from factorloom.operators.sizing import join_by_weight, sized_broadcast
 from factorloom.session import stage
 
 SHINGLE = 5
@@ -480,40 +487,114 @@ def _links(docs: DataFrame, met: DataFrame, rows: DataFrame, shingle: int) -> tu
     links = links.unionByName(_linked(_apart(others, labels), docs, shingle))
     labels = stage(components(links.unionByName(equal)), "jaccard-labels")
 
-    # at frequent keys, the middle of every component is tried next: that joins most of what belongs together
-    placed = _label(kept, labels, "doc_id", "label")
-    middles = placed.groupBy("key", "label").agg(middle).withColumnRenamed("label", "other")
-    near = placed.where("active").join(middles, "key").where("label <> other")
-    near = _possible(_pairs(near, "first", "doc_id").distinct().join(tried, ["u", "v"], "left_anti"), rows)
-    links = links.unionByName(_linked(near, docs, shingle))
-    labels = stage(components(links.unionByName(equal)), "jaccard-labels")
-
-    # keys at which a first pair lies in two components: all pairs of different components there
+    # keys at which a first pair lies in two components: all pairs of different components of these few documents
     apart = sized_broadcast(_apart(tried, labels))
     loose = (
         groups.where(F.size("docs") > 2)
         .select("key", F.col("first").alias("u"), "docs", behind)
         .join(apart, ["u", "v"], "left_semi")
-        .select("key", F.explode("docs").alias("doc_id"), F.lit(True).alias("active"))
+        .select("key", F.explode("docs").alias("doc_id"))
+        .distinct()
     )
-    mixed = (
-        _label(kept, labels, "doc_id", "label")
-        .groupBy("key")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        .where("lo <> hi")
-        .select("key")
-    )
-    members = loose.unionByName(kept.drop("n").join(mixed, "key", "left_semi")).distinct()
-    members = stage(_label(members, labels, "doc_id", "label"), "jaccard-members")
-    left = members.where("active").select("key", F.col("doc_id").alias("u"), F.col("label").alias("u_label"))
-    right = members.select("key", F.col("doc_id").alias("v"), F.col("label").alias("v_label"), "active")
-    more = left.join(right, "key").where("u_label <> v_label and (u < v or not active)")
-    more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = _possible(more.join(tried.unionByName(near), ["u", "v"], "left_anti"), rows)
-    links = links.unionByName(_linked(more, docs, shingle))
+    members = stage(_label(loose, labels, "doc_id", "label"), "jaccard-members")
+    left = members.select("key", F.col("doc_id").alias("u"), F.col("label").alias("u_label"))
+    right = members.select("key", F.col("doc_id").alias("v"), F.col("label").alias("v_label"))
+    few = left.join(right, "key").where("u_label <> v_label and u < v").select("u", "v").distinct()
+
+    # documents of different components at a frequent key: single shingles instead of segments, each set its rarest
+    placed = _label(kept, labels, "doc_id", "label")
+    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    at_mixed = placed.join(mixed, "key", "left_semi").select("doc_id").distinct()
+    one_of_equal = rows.join(at_mixed, "doc_id", "left_semi").groupBy("d1", "d2", "size").agg(F.min("doc_id").alias("doc_id"))
+    rare = stage(_rare_shingles(docs, one_of_equal.select("doc_id").distinct(), shingle), "jaccard-rare")
+    near = _to_first(rare, labels).unionByName(few).distinct().join(tried, ["u", "v"], "left_anti")
+    near = stage(near, "jaccard-near")
+    links = links.unionByName(_linked(_possible(near, rows), docs, shingle))
+    labels = stage(components(links.unionByName(equal)), "jaccard-labels")
+    more = _across(rare, labels).join(tried.unionByName(near), ["u", "v"], "left_anti")
+    links = links.unionByName(_linked(_possible(more, rows), docs, shingle))
     return links, components(links.unionByName(equal))
 
 
+def _shingle_rows(docs: DataFrame, shingle: int) -> DataFrame:
+    """A row for every shingle of every set; ``d1`` tells the sets of equal ids apart."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = shingle_sets(list(batch["text"]), shingle)
+            sizes = [s.size for s in sets]
+            digests = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")[0] for s in sets]
+            yield pd.DataFrame(
+                {
+                    "doc_id": np.repeat(batch["doc_id"].to_numpy(np.int64), sizes),
+                    "d1": np.repeat(np.array(digests, np.int64), sizes),
+                    "size": np.repeat(np.array(sizes, np.int64), sizes),
+                    "token": np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64),
+                }
+            )
+
+    return docs.mapInPandas(spread, "doc_id long, d1 long, size long, token long")
+
+
+def _rare_shingles(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """``token, doc_id, size, at``: the rarest shingles of the listed documents, with their places in the order of rarity.
+
+    The order is the same for all sets: by the number of listed sets that have the shingle, then by
+    the shingle. Two similar sets share one of these, as the ones behind them are too few
+    to be similar by; shingles of one set alone take places but are not returned.
+    """
+    num, den = SIMILAR
+    texts = _texts_of(docs, ids)
+    counts = _shingle_rows(texts, shingle).groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = join_by_weight(_shingle_rows(texts, shingle), stage(counts, "jaccard-counts"), "token", "f")
+    own = Window.partitionBy("doc_id", "d1")
+    # ranks without gaps: repeated rows of a document give each shingle again
+    ranked = shared.withColumn("r", F.dense_rank().over(own.orderBy("f", "token")))
+    placed = ranked.withColumn("at", F.col("size") - F.max("r").over(own) + F.col("r") - 1)
+    return placed.where(den * (F.col("size") - F.col("at")) >= num * F.col("size")).select("token", "doc_id", "size", "at").distinct()
+
+
+def _fits(size: str, at: str, other_size: str, other_at: str) -> Column:
+    """Whether sets can be similar whose first common shingle in the order of rarity has these places."""
+    num, den = SIMILAR
+    behind = F.least(F.col(size) - F.col(at), F.col(other_size) - F.col(other_at))
+    sizes = F.least(size, other_size) * den >= F.greatest(size, other_size) * num
+    return sizes & (behind * (den + num) >= (F.col(size) + F.col(other_size)) * num)
+
+
+def _to_first(rare: DataFrame, labels: DataFrame) -> DataFrame:
+    """At every rare shingle, pairs of the set that has it first and those of other components: one pair a row at most."""
+    placed = _label(rare, labels, "doc_id", "label")
+    earliest = F.min(F.struct((F.col("at") / F.col("size")).alias("part"), "doc_id", "size", "at", "label"))
+    firsts = placed.groupBy("token").agg(earliest.alias("x")).select(
+        "token", F.col("x.doc_id").alias("first"), F.col("x.size").alias("b"), F.col("x.at").alias("b_at"), F.col("x.label").alias("other")
+    )
+    near = placed.join(firsts, "token").where(F.col("label") != F.col("other")).where(_fits("size", "at", "b", "b_at"))
+    return _pairs(near, "first", "doc_id").distinct()
+
+
+def _across(rare: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs of different components that share a rare shingle and fit by its places.
+
+    At a shingle, the sets outside its largest component are held against all sets, so a
+    component is never held against itself.
+    """
+    placed = stage(_label(rare, labels, "doc_id", "label"), "jaccard-placed")
+    per_label = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max_by("label", F.struct("n", -F.col("label"))).alias("largest")
+    mixed = per_label.groupBy("token").agg(largest, F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
+    there = placed.join(mixed, "token")
+    left = there.where(F.col("label") != F.col("largest")).select(
+        "token", F.col("doc_id").alias("u"), F.col("label").alias("u_label"), F.col("size").alias("a"), F.col("at").alias("a_at")
+    )
+    right = there.select(
+        "token", "largest", F.col("doc_id").alias("v"), F.col("label").alias("v_label"), F.col("size").alias("b"), F.col("at").alias("b_at")
+    )
+    once = (F.col("u") < F.col("v")) | (F.col("v_label") == F.col("largest"))
+    apart = left.join(right, "token").where(F.col("u_label") != F.col("v_label")).where(once)
+    return _pairs(apart.where(_fits("a", "a_at", "b", "b_at")), "u", "v").distinct()
+
+
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     """``u, v``: two different ids of a row, the smaller one first."""
     return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))

@@ -158,3 +158,22 @@ def test_buckets_stay_bounded_as_the_text_grows(spark, monkeypatch):
     assert got == brute(rows)
     entries = seen[0].where("bucket >= 0").groupBy("bucket").agg(F.sum(F.length("keys")).alias("n"))
     assert entries.agg(F.max("n")).head()[0] // jaccard._KEY_BYTES < 200
+
+
+def test_a_passage_of_many_sets_does_not_make_their_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8)))
+    passage = [word() for _ in range(80)]
+    rows = [(k, " ".join(passage + [word() for _ in range(rng.randint(20, 160))])) for k in range(900)]
+    rows += [(2000 + k, text + " " + word()) for k, (_, text) in enumerate(rows[::30])]
+    # 70 of 100 words shared: near the threshold, not over it
+    rows += [(4000 + k, " ".join(passage[:70] + [word() for _ in range(30)])) for k in range(100)]
+    made = []
+    for name in ("_to_first", "_across"):
+        real = getattr(jaccard, name)
+        monkeypatch.setattr(jaccard, name, lambda *a, real=real: made.append(real(*a)) or made[-1])
+    rng.shuffle(rows)
+    classes, _ = jaccard.join_similar(documents(spark, rows))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in classes.collect()}
+    assert got == brute(rows)
+    assert len(made) == 2 and sum(df.count() for df in made) < 2 * len(rows)
