@@ -1,14 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
-A rule is a score from 0 to 1; it rejects a text whose score lies above the cutoff
-of the text's stratum (its language). Cutoffs come from labelled rows: of the rows
-marked good, the share that a cutoff rejects must be below the rule's part of the
-allowed risk, shown by an exact binomial test. Cutoffs are tried from the mildest
-to the strictest and the last one ahead of the first failure is taken (a fixed
-sequence needs no correction over the cutoffs); the level of the tests is divided by
-the number of strata and rules. With probability ``1 - DELTA`` no stratum loses more
-than ``RISK`` of its good rows to the rules. A rule without a passing cutoff is off,
-so few labels mean that little is rejected.
+A rule is a score from 0 to 1; it rejects a text whose score lies above the rule's cutoff
+in the text's stratum (its language). The cutoffs of all rules move together down a
+ladder, from mild to strict. A step's risk is that of the union: of the rows marked
+good, the share that any rule rejects must be below ``RISK``, shown by an exact
+binomial test on the labelled rows. Steps are tried in the ladder's order and only those ahead
+of the first failure pass (a fixed sequence needs no correction over its steps). Over
+the strata the level is shared out by Holm's rule: a stratum that passed its whole
+ladder hands its part to the others. With probability ``1 - DELTA`` no stratum loses
+more than ``RISK`` of its good rows to the rules. A stratum without a passing step has
+no rules, so fewer than about 90 good labels mean that nothing is rejected.
 
 Beside the rules stands a fixed base: fewer than 50 words, or more than half of the
 words in repeated three-word windows.
@@ -38,7 +39,10 @@ CATCH = 0.97
 STRATA = ("en", "de", "fr", "es")
 OTHER = "other"
 RULES = ("symbols", "shouting", "exclaiming", "repeated_lines", "repeated_words")
-CUTOFFS = tuple(round(1 - 0.05 * k, 2) for k in range(1, 20))
+#: The strictest cutoff of each rule; the ladder goes there from 1 in equal steps.
+STRICTEST = {"symbols": 0.1, "shouting": 0.3, "exclaiming": 0.1, "repeated_lines": 0.2, "repeated_words": 0.2}
+STEPS = 18
+LADDER = tuple({rule: round(1 - (1 - end) * k / STEPS, 4) for rule, end in STRICTEST.items()} for k in range(1, STEPS + 1))
 
 LEAST_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -129,44 +133,52 @@ def at_most(k: int, n: int, p: float) -> float:
 
 
 def choose_cutoffs(
-    good: dict[str, tuple[int, dict[str, list[int]]]],
-    bad: dict[str, dict[str, list[int]]],
+    good: dict[str, tuple[int, list[int]]],
+    bad: dict[str, list[int]],
     risk: float = RISK,
     delta: float = DELTA,
 ) -> dict[str, dict[str, float]]:
     """Cutoff by stratum and rule.
 
-    ``good``: number of good rows and how many each cutoff rejects; ``bad``: how many
-    bad rows each cutoff rejects. Of the cutoffs that pass, the mildest is taken that
+    ``good``: number of good rows and how many of them each step of the ladder rejects; ``bad``:
+    how many bad rows each step rejects. Of the steps that pass, the mildest is taken that
     catches nearly (``CATCH``) as many bad rows as the strictest.
     """
-    level = delta / ((len(STRATA) + 1) * len(RULES))
+    open_strata = {*STRATA, OTHER, *good}
+    passed = dict.fromkeys(good, 0)
+    while open_strata:
+        level = delta / len(open_strata)
+        for name in open_strata & set(good):
+            n, counts = good[name]
+            while passed[name] < len(counts) and at_most(counts[passed[name]], n, risk) <= level:
+                passed[name] += 1
+        done = {name for name in open_strata & set(good) if passed[name] == len(good[name][1])}
+        if not done:
+            break
+        open_strata -= done
     chosen: dict[str, dict[str, float]] = {}
-    for name, (n, by_rule) in good.items():
-        for rule, counts in by_rule.items():
-            passing = 0
-            while passing < len(CUTOFFS) and at_most(counts[passing], n, risk / len(RULES)) <= level:
-                passing += 1
-            caught = bad.get(name, {}).get(rule, [0] * len(CUTOFFS))[:passing]
-            if passing and caught[-1]:
-                take = next(k for k in range(passing) if caught[k] >= CATCH * caught[-1])
-                chosen.setdefault(name, {})[rule] = CUTOFFS[take]
+    for name, steps in passed.items():
+        caught = bad.get(name, [0] * STEPS)[:steps]
+        if steps and caught[-1]:
+            chosen[name] = LADDER[next(k for k in range(steps) if caught[k] >= CATCH * caught[-1])]
     return chosen
 
 
+def _above(cutoffs: dict[str, float], m: str = "m") -> Column:
+    """Whether any rule's score lies above its cutoff."""
+    return F.greatest(*(F.col(f"{m}.{rule}") - cutoff for rule, cutoff in sorted(cutoffs.items()))) > 0
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, float]]:
     """Choose cutoffs from ``measured`` (``doc_id, stratum, m``) and ``labels`` (``doc_id, quality``).
 
     Two rows per stratum come to the driver.
     """
     marked = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sums = [
-        F.array(*(F.sum((F.col(f"m.{rule}") > cutoff).cast("long")) for cutoff in CUTOFFS)).alias(rule) for rule in RULES
-    ]
-    rows = measured.join(marked, "doc_id").groupBy("stratum", "quality").agg(F.count(F.lit(1)).alias("n"), *sums).collect()
-    counts = {(r["stratum"], r["quality"]): (r["n"], {rule: list(r[rule]) for rule in RULES}) for r in rows}
-    good = {name: x for (name, quality), x in counts.items() if quality == 1}
-    bad = {name: x[1] for (name, quality), x in counts.items() if quality == 0}
+    steps = F.array(*(F.sum(_above(cutoffs).cast("long")) for cutoffs in LADDER)).alias("steps")
+    rows = measured.join(marked, "doc_id").groupBy("stratum", "quality").agg(F.count(F.lit(1)).alias("n"), steps).collect()
+    good = {r["stratum"]: (r["n"], list(r["steps"])) for r in rows if r["quality"] == 1}
+    bad = {r["stratum"]: list(r["steps"]) for r in rows if r["quality"] == 0}
     return choose_cutoffs(good, bad, risk, delta)
 
 
@@ -177,14 +189,9 @@ def base_failed(m: str = "m") -> Column:
 
 def rejected(cutoffs: dict[str, dict[str, float]], m: str = "m", by: str = "stratum") -> Column:
     """Whether a rule rejects the row."""
-    tests = [
-        (F.col(by) == name) & (F.col(f"{m}.{rule}") > cutoff)
-        for name, rules in sorted(cutoffs.items())
-        for rule, cutoff in sorted(rules.items())
-    ]
     out = F.lit(False)
-    for test in tests:
-        out = out | test
+    for name, own in sorted(cutoffs.items()):
+        out = out | ((F.col(by) == name) & _above(own, m))
     return out
 
 

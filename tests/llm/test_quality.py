@@ -49,19 +49,43 @@ def test_binomial_is_exact(k, n, p):
     assert quality.at_most(k, n, p) == pytest.approx(want, rel=1e-10)
 
 
-def test_cutoffs_keep_the_risk():
-    rules = quality.RULES
-    step = lambda xs: [sum(x > c for x in xs) for c in quality.CUTOFFS]
+def _steps(rows):
+    """Rows that each step of the ladder rejects by any rule."""
+    return [sum(any(x > step[rule] for rule, x in zip(quality.RULES, row)) for row in rows) for step in quality.LADDER]
+
+
+def test_cutoffs_keep_the_risk_of_all_rules_together():
     rng = random.Random(8)
-    good = [min(1, rng.random() ** 30) for _ in range(3000)]
-    bad = [0.5 + rng.random() / 2 for _ in range(200)]
-    chosen = quality.choose_cutoffs({"en": (3000, {r: step(good) for r in rules})}, {"en": {r: step(bad) for r in rules}})
-    for cutoff in chosen["en"].values():
-        k = sum(x > cutoff for x in good)
-        assert quality.at_most(k, 3000, quality.RISK / len(rules)) <= quality.DELTA / 25
-    # too few labels: every rule is off
-    few = quality.choose_cutoffs({"en": (100, {r: step(good[:100]) for r in rules})}, {"en": {r: step(bad) for r in rules}})
-    assert few == {}
+    good = [[min(1, rng.random() ** 30) for _ in quality.RULES] for _ in range(3000)]
+    bad = [[0.5 + rng.random() / 2 for _ in quality.RULES] for _ in range(200)]
+    chosen = quality.choose_cutoffs({"en": (3000, _steps(good))}, {"en": _steps(bad)})
+    k = sum(any(x > chosen["en"][rule] for rule, x in zip(quality.RULES, row)) for row in good)
+    assert quality.at_most(k, 3000, quality.RISK) <= quality.DELTA / 5
+    # 0.95 ** 80 is above the level, 0.95 ** 100 below it
+    clean = [[0.0] * len(quality.RULES)]
+    for n, found in ((80, False), (100, True)):
+        chosen = quality.choose_cutoffs({"en": (n, _steps(clean * n))}, {"en": _steps(bad)})
+        assert bool(chosen) == found
+    # a stratum that passes its whole ladder hands its level on
+    both = {"en": (3000, _steps(clean * 3000)), "de": (87, _steps(clean * 87))}
+    assert set(quality.choose_cutoffs(both, {"en": _steps(bad), "de": _steps(bad)})) == {"en", "de"}
+    assert not quality.choose_cutoffs({"de": both["de"]}, {"de": _steps(bad)})
+
+
+def test_no_stratum_loses_more_than_the_risk_in_nearly_all_draws():
+    rng = random.Random(21)
+    # true rates of rejection of good rows by step, around the risk at the strict end
+    rates = {"en": [0.002 * k for k in range(1, 19)], "de": [0.004 * k for k in range(1, 19)], "fr": [0.05 + 0.001 * k for k in range(18)]}
+    draws, broken = 400, 0
+    for _ in range(draws):
+        good = {}
+        for name, by_step in rates.items():
+            rows = [rng.random() for _ in range(400)]
+            good[name] = (400, [sum(x < rate for x in rows) for rate in by_step])
+        # the strictest passing step catches more than any other, so it is taken
+        chosen = quality.choose_cutoffs(good, {name: [2**k for k in range(18)] for name in rates})
+        broken += any(rates[name][quality.LADDER.index(step)] > quality.RISK for name, step in chosen.items())
+    assert broken <= 2 * quality.DELTA * draws
 
 
 def test_labelled_junk_goes_and_clean_rows_stay(spark):
