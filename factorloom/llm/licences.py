@@ -2,8 +2,10 @@
 
 The tokens of all licence templates form one suffix automaton. A file's tokens are
 streamed through it; after each token the automaton gives the longest stretch that
-ends there and stands in some template, and where (matching statistics). Long
-stretches are chained, per template, in the order of file and template, and a chain
+ends there and stands in some template, and where (matching statistics). Templates that
+hold only a later part of that stretch are met by the automaton's suffix links, so every
+template gets all its own longest stretches, whichever others hold longer ones.
+Stretches are chained, per template, in the order of file and template, and a chain
 that covers enough of a template is a span of that licence. Phrases of a fixed list
 are found by their words.
 
@@ -28,7 +30,28 @@ WORD_BYTES = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Openings and notices of well-known licences.
+_AS_IS = (
+    "AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+    "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR "
+    "ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED "
+    "AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution."
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission."
+)
+_BSD_END = f"THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS {_AS_IS}"
+
+#: Openings and notices of well-known licences, and the short licences whole. Longer texts are handed in.
 TEMPLATES = (
     (
         "mit-text",
@@ -60,6 +83,56 @@ TEMPLATES = (
         "cc-notice",
         "This work is licensed under a Creative Commons Attribution International License",
     ),
+    (
+        "mit-full",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION "
+        "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "isc-full",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE "
+        "IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER "
+        "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    ("bsd-2-full", f"{_BSD} {_BSD_END}"),
+    ("bsd-3-full", f"{_BSD} {_BSD_NAMES} {_BSD_END}"),
+    (
+        "apache-notice-full",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance "
+        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
+        "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        "AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the "
+        "specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "lgpl-notice",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version",
+    ),
+    (
+        "agpl-notice",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version",
+    ),
+    (
+        "mpl-notice",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
 )
 
 #: Stretches below this number of words don't count, unless they are a whole template.
@@ -93,6 +166,11 @@ class SuffixAutomaton:
                 self.ends[last].add((which, place))
         for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
             self.ends[self.link[state]] |= self.ends[state] if self.link[state] else set()
+        #: by state and template, where the state's strings end
+        self.places: list[dict[int, list[int]]] = [{} for _ in self.ends]
+        for state, ends in enumerate(self.ends):
+            for which, place in sorted(ends):
+                self.places[state].setdefault(which, []).append(place)
 
     def _state(self, length: int, edges: dict[int, int], link: int) -> int:
         self.next.append(edges)
@@ -144,7 +222,9 @@ class Scanner:
         lists = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)] for _, text in templates]
         self.sizes = [len(x) for x in lists]
         self.least = min(LEAST_STRETCH, min(self.sizes, default=LEAST_STRETCH))
+        self.least_of = [min(LEAST_STRETCH, size) for size in self.sizes]
         self.automaton = SuffixAutomaton(lists)
+        self.met = self._met()
         self.phrases = [(words(phrase), label) for phrase, label in phrases]
         self.by_last: dict[bytes, list[tuple[list[bytes], str]]] = {}
         for phrase, label in self.phrases:
@@ -166,8 +246,21 @@ class Scanner:
                         found.append((start, label))
         return found
 
-    def stretches(self, tokens: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """``(end, length, state)`` of stretches that can't be lengthened; ends are exclusive."""
+    def _met(self) -> list[dict[int, int]]:
+        """By state: the templates met in its strings, each with the first state on the way of suffix links that has it.
+
+        A template stays out where its part is below its least stretch.
+        """
+        auto = self.automaton
+        out: list[dict[int, int]] = [{} for _ in auto.next]
+        for state in sorted(range(1, len(auto.next)), key=lambda s: auto.length[s]):
+            above = out[auto.link[state]] if auto.link[state] > 0 else {}
+            own = {w: state for w in auto.places[state] if auto.length[state] >= self.least_of[w]}
+            out[state] = above | own if own else above
+        return out
+
+    def stretches(self, tokens: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+        """``(end, length, state, template)`` of each template's stretches that can't be lengthened; ends are exclusive."""
         known = self.vocabulary.get
         ids = [known(w, -1) for w in tokens]
         run: list[int] = []
@@ -180,34 +273,44 @@ class Scanner:
                     yield from self._of_run(end - len(run), run)
                 run = []
 
-    def _of_run(self, first: int, run: list[int]) -> Iterator[tuple[int, int, int]]:
-        before = (0, 0)
+    def _of_run(self, first: int, run: list[int]) -> Iterator[tuple[int, int, int, int]]:
+        before: dict[int, tuple[int, int]] = {}
+        lengths = self.automaton.length
         for k, (state, length) in enumerate(self.automaton.statistics(run)):
-            if length != before[1] + 1 and before[1]:
-                yield first + k, before[1], before[0]
-            before = (state, length)
-        yield first + len(run), before[1], before[0]
+            now: dict[int, tuple[int, int]] = {}
+            if length >= self.least:
+                for which, holder in self.met[state].items():
+                    # the whole match where the state itself has the template, else the longest string of the holder
+                    found = length if holder == state else lengths[holder]
+                    if found >= self.least_of[which]:
+                        now[which] = (holder, found)
+            for which, (holder, found) in before.items():
+                if now.get(which, (0, 0))[1] != found + 1:
+                    yield first + k, found, holder, which
+            before = now
+        for which, (holder, found) in before.items():
+            yield first + len(run), found, holder, which
 
     def spans(self, tokens: list[bytes]) -> list[tuple[int, int, str, float]]:
         """Covered template spans: ``(start, end, label, covered part)``."""
         going: dict[int, list[list[int]]] = {}
         ended: list[tuple[int, list[int]]] = []
-        for end, length, state in self.stretches(tokens):
+        for end, length, state, which in self.stretches(tokens):
             first = end - length
-            for which, place in self.automaton.ends[state]:
-                if length < min(LEAST_STRETCH, self.sizes[which]):
-                    continue
-                own = going.get(which, [])
-                # a chain ends where the file has gone on too far
-                ended += ((which, c) for c in own if first - c[1] > MOST_GAP)
-                own = going[which] = [c for c in own if first - c[1] <= MOST_GAP]
+            own = going.get(which, [])
+            # a chain ends where the file has gone on too far
+            ended += ((which, c) for c in own if first - c[1] > MOST_GAP)
+            own = going[which] = [c for c in own if first - c[1] <= MOST_GAP]
+            new: list[list[int]] = []
+            for place in self.automaton.places[state][which]:
                 # it goes on where both file and template go on; of those that can, the fullest does
                 ready = [c for c in own if c[1] <= first and c[3] <= place - length]
                 best = max(ready, key=lambda c: c[2], default=None)
                 if best is None:
-                    own.append([first, end, length, place])
+                    new.append([first, end, length, place])
                 else:
                     best[1], best[2], best[3] = end, best[2] + length, place
+            own += new
         ended += ((which, c) for which, own in going.items() for c in own)
         return sorted(
             (c[0], c[1], self.labels[which], c[2] / self.sizes[which])

@@ -67,3 +67,39 @@ def test_many_repeats_take_linear_time():
     scanner = licences.Scanner()
     tokens = licences.words((licences.TEMPLATES[4][1] + " filler words here and there ") * 400)
     assert len([s for s in scanner.spans(tokens) if s[2] == "gpl-notice"]) == 400
+
+
+def test_templates_inside_others_are_found():
+    scanner = licences.Scanner([("long", "w x y z v"), ("inner", "x y z"), ("end", "y z v"), ("one", "q")])
+    found = [(a, b, label) for a, b, label, _ in scanner.spans(licences.words("w x y z v and q"))]
+    assert found == [(0, 5, "long"), (1, 4, "inner"), (2, 5, "end"), (6, 7, "one")]
+
+
+def test_stretches_of_every_template_against_brute_force():
+    rng = random.Random(17)
+    for _ in range(150):
+        letters = "abcd"
+        texts = [[rng.choice(letters) for _ in range(rng.randint(1, 14))] for _ in range(rng.randint(1, 5))]
+        scanner = licences.Scanner([(str(k), " ".join(x)) for k, x in enumerate(texts)])
+        stream = [rng.choice("abcde") for _ in range(40)]
+        want = set()
+        for which, own in enumerate(texts):
+            parts = {tuple(own[a:b]) for a in range(len(own)) for b in range(a + 1, len(own) + 1)}
+            # the longest stretch that ends at each place, unless the next place lengthens it
+            longest = [max((n for n in range(1, end + 1) if tuple(stream[end - n : end]) in parts), default=0) for end in range(len(stream) + 1)]
+            for end, n in enumerate(longest):
+                if n >= min(licences.LEAST_STRETCH, len(own)) and (end == len(stream) or longest[end + 1] != n + 1):
+                    places = tuple(k for k in range(n - 1, len(own)) if own[k - n + 1 : k + 1] == stream[end - n : end])
+                    want.add((end, n, which, places))
+        got = [(end, n, which, tuple(scanner.automaton.places[state][which])) for end, n, state, which in scanner.stretches([w.encode() for w in stream])]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_whole_templates_are_found_whole():
+    scanner = licences.Scanner()
+    for label, text in licences.TEMPLATES:
+        own = licences.words(text)
+        spans = scanner.spans([b"before"] + own + [b"behind"])
+        assert (1, 1 + len(own), label, 1.0) in spans
+    both = licences.words(licences._BSD)
+    assert "bsd-text" in {s[2] for s in scanner.spans(both)} and "mit-full" not in {s[2] for s in scanner.spans(both)}
