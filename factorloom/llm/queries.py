@@ -254,9 +254,10 @@ FROM texts t LEFT JOIN spans s ON t.doc_id = s.doc_id GROUP BY t.doc_id
 
 @query("op10_secret_scan", SECRETS_SQL)
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of all documents, each distinct text scanned once."""
-    findings, _ = secrets.scan_new(table(spark, sf_dir, "documents"))
-    return secrets.digest(findings)
+    """Secrets of all documents, which come in two loads through one ledger; each distinct text is scanned once."""
+    docs = table(spark, sf_dir, "documents")
+    later = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    return secrets.digest(secrets.scan_loads([docs.where(~later), docs.where(later)], secrets.Ledger(spark)))
 
 
 NEGATIVES_SQL = r"""

@@ -2,9 +2,10 @@
 
 Every version of every path is addressed by the SHA-256 of its text. Only blobs
 for which the ledger has no entry under the wanted rule version are scanned, each
-once however many paths hold it; findings are joined back to all paths. The
-returned ledger entries can be appended to the ledger table, so that the next run
-scans new content only.
+once however many paths hold it; findings are joined back to all paths. The new
+entries are appended to the ledger table (``Ledger``), so that the next load scans new
+content only. An append that dies leaves the entries before it; one that is repeated
+adds equal entries, which count once.
 
 A rule is a pattern and a test of what it matched. Matches are leftmost and do
 not overlap within a rule; those that fail the test are dropped. Positions are
@@ -18,13 +19,18 @@ empty table gives no row; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factorloom.llm.common import whole
-from factorloom.session import stage
+from factorloom.session import scratch_path, stage
 
 RULE_VERSION = "1"
 
@@ -141,6 +147,51 @@ def scan_new(
     return findings, entries
 
 
+class Ledger:
+    """Ledger entries as a table in the shared folder: a folder for every append.
+
+    ``read`` names these folders one by one. Two scans of one folder count as equal in a plan,
+    also where files came between them, and one would be answered from the other.
+    """
+
+    SCHEMA = f"blob string, spans {_SPANS}, rule_version string"
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.path = path or scratch_path(spark, "secret-ledger")
+        # an empty part, so that a new ledger can be read
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(self.SCHEMA)]
+        self.append(spark.range(0).select(*none))
+
+    def read(self) -> DataFrame:
+        """The entries appended so far, of all rule versions."""
+        scan = self.spark.read.schema(self.SCHEMA)
+        files = scan.option("recursiveFileLookup", "true").parquet(self.path).inputFiles()
+        parts = sorted({unquote(file).rsplit("/", 1)[0] for file in files})
+        return self.spark.read.schema(self.SCHEMA).parquet(*parts)
+
+    def append(self, entries: DataFrame) -> None:
+        part = f"{self.path.rstrip('/')}/part-{uuid.uuid4().hex}"
+        entries.select("blob", "spans", "rule_version").write.mode("errorifexists").parquet(part)
+
+
+def scan_loads(
+    loads: Sequence[DataFrame],
+    ledger: Ledger,
+    rules: tuple[Rule, ...] = RULES,
+    version: str = RULE_VERSION,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Findings of the rows of all loads, which come one after the other: a text is scanned by the first load that has it."""
+    found = []
+    for load in loads:
+        findings, entries = scan_new(load, ledger.read(), rules, version, id_col, text_col)
+        ledger.append(entries)
+        found.append(findings)
+    return reduce(DataFrame.unionByName, found)
+
+
 def _listed(spans: Column) -> Column:
     return F.array_join(
         F.transform(

@@ -65,6 +65,22 @@ def test_ledger_is_incremental(spark):
     assert other.count() == 2
 
 
+def test_loads_share_a_stored_ledger(spark, monkeypatch):
+    scanned = []
+    real = secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda blobs, *a: scanned.append(blobs) or real(blobs, *a))
+    loads = [documents(spark, [(1, CASES[0]), (2, CASES[1]), (3, None)]), documents(spark, [(4, CASES[1]), (5, CASES[2]), (6, "")])]
+    ledger = secrets.Ledger(spark)
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"] if s["rank"] < 3] for r in secrets.scan_loads(loads, ledger).collect()}
+    assert got == {k: brute(t) for k, t in [(1, CASES[0]), (2, CASES[1]), (3, None), (4, CASES[1]), (5, CASES[2]), (6, "")]}
+    assert ledger.read().count() == 4 and [blobs.count() for blobs in scanned] == [3, 1]
+    # the same table under its path: nothing is left to scan, another rule version scans all
+    again = secrets.Ledger(spark, ledger.path)
+    assert secrets.scan_loads(loads, again).count() == 6 and ledger.read().count() == 4
+    secrets.scan_loads(loads, again, version="2")
+    assert {tuple(r) for r in ledger.read().groupBy("rule_version").count().collect()} == {("1", 4), ("2", 4)}
+
+
 def test_odd_rows(spark):
     findings, _ = secrets.scan_new(documents(spark, ODD))
     assert secrets.digest(findings).count() == len(ODD)
