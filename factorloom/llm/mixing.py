@@ -20,6 +20,7 @@ columns of the input come back from ``mix``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,20 +133,34 @@ def plan_mix(
     return copies(tagged(sized(docs, id_col, text_col, source_col), "mix-sizes"), **options)
 
 
+def _keyed(docs: DataFrame, rows: list[Column], stored: bool) -> DataFrame:
+    """``rows`` of ``docs`` and a key of each row that stays the same when they are read again."""
+    if stored and "_metadata" not in docs.columns:
+        # the place in its file names a row of a written table, so nothing is written again
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        try:
+            return docs.select(*rows, place.alias(ROW))
+        except AnalysisException:
+            pass  # not a scan of files after all
+    return tagged(docs.select(*rows), "mix-rows")
+
+
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    stored: bool = False,
+    **options: object,
 ) -> DataFrame:
-    """The mixed rows with all columns of ``docs``, each row as often as it is taken."""
+    """The mixed rows with all columns of ``docs``, each row as often as it is taken.
+
+    ``stored``: ``docs`` is the plain scan of written parquet files. Any other table is written once, to
+    give its rows a key.
+    """
     whole_row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_whole")
-    rows = tagged(
-        docs.select(
-            whole_row,
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-        ),
-        "mix-rows",
-    )
+    size = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")]
+    rows = _keyed(docs, [whole_row, *size], stored)
     taken = copies(rows.drop("_whole"), **options).where(F.col("n_copies") > 0).select(ROW, "n_copies")
     return (
         rows.select(ROW, "_whole")
