@@ -87,11 +87,7 @@ UNION ALL SELECT 'region_hierarchy', count(*) FROM g_hierarchy"""
 
 @query("graph_table_counts", _COUNTS)
 def graph_table_counts(spark, sf):
-    counts = None
-    for name, df in I.graph(spark, sf).tables().items():
-        part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
-        counts = part if counts is None else counts.unionByName(part)
-    return counts
+    return I.graph(spark, sf).table_counts()
 
 
 @query(

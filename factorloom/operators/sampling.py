@@ -30,14 +30,11 @@ def sample_rows(df: DataFrame, n: int, key: list[str], seed: int | str = 42) ->
 def sample_flagged(df: DataFrame, flag: str, n: int, key: list[str], seed: int | str = 42) -> DataFrame:
     """``n`` sampled rows where ``flag`` holds; if none does, of all rows.
 
-    Flagged rows sort first, so the top ``n`` shows whether any exist.
+    One look for a first flagged row settles which rows are sampled; the sample is that of
+    ``sample_rows``, so a large one stays spread.
     """
-    wanted = F.coalesce(F.col(flag), F.lit(False))
-    order = hash_key(*[F.col(k) for k in key], seed=seed)
-    top = df.withColumn("_wanted", wanted).orderBy(F.desc("_wanted"), order, *key).limit(n)
-    # at most n rows
-    any_wanted = F.max("_wanted").over(Window.partitionBy(F.lit(0)))
-    return top.withColumn("_any", any_wanted).where("_wanted = _any").drop("_wanted", "_any")
+    wanted = df.where(F.coalesce(F.col(flag), F.lit(False)))
+    return sample_rows(df if wanted.select(flag).isEmpty() else wanted, n, key, seed)
 
 
 def mark_share(

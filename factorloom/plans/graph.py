@@ -182,6 +182,19 @@ class FactorGraph:
             "region_hierarchy": self.hierarchy,
         }
 
+    def table_counts(self) -> DataFrame:
+        """``name, rows`` of the eight tables.
+
+        Every fact has one edge of each kind, as node names are unique, so one count of the facts serves four tables.
+        """
+        per_fact = ["emission_factors", "ef_to_region", "ef_to_entity_type", "ef_to_source"]
+        names = F.explode(F.array(*map(F.lit, per_fact))).alias("name")
+        counts = self.facts.agg(F.count(F.lit(1)).alias("rows")).select(names, "rows")
+        others = {"regions": self.regions, "entity_types": self.types, "sources": self.sources, "region_hierarchy": self.hierarchy}
+        for name, df in others.items():
+            counts = counts.unionByName(df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows"))
+        return counts
+
 
 def key_check(tables: list[tuple[str, DataFrame, str]]) -> DataFrame:
     """Uniqueness of node keys: (label, rows, distinct keys, unique)."""
