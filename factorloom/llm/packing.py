@@ -5,9 +5,9 @@ array with the number of partly filled windows at each fill level. A document
 goes, as it comes, to the level (or a new window) that makes the sum of squared
 counts smallest; ties go to the fullest level. That keeps the counts of all levels
 small and even, so that fitting windows stay at hand. What is longer than a window
-is cut into full windows first. At the end of a partition the windows still open
-are poured together into full ones, and the rest is cut into lengths that are
-powers of two, which need no padding. Nothing is shuffled; a task holds the ids of
+is cut into full windows first. At the end of a partition the fullest of the
+windows still open stay and are filled up with pieces cut from the emptiest, as many as
+those can fill; what is left is cut into lengths that are powers of two, which need no padding. Nothing is shuffled; a task holds the ids of
 its own open windows only, and their number stays near that of the fill levels.
 
 Defined cases: a null text is empty and packs the closing id alone; repeated rows
@@ -177,19 +177,47 @@ def _words(path: str) -> Words:
     return _KNOWN[path]
 
 
-def _pour(pieces: list[tuple], first: int, window: int) -> Iterator[tuple]:
-    """Pieces of open windows put end to end and cut into full windows, then powers of two."""
-    left = sum(len(ids) for _, _, ids, _ in pieces) // 4
-    number, room, offset = first - 1, 0, 0
-    for doc, start, ids, tokens in pieces:
+def _settled(fills: list[int], window: int) -> int:
+    """How many of the open windows stay, fullest first: as many as the tokens of the others can fill up."""
+    gaps, given = 0, sum(fills)
+    for k, fill in enumerate(fills):
+        gaps, given = gaps + window - fill, given - fill
+        if gaps > given:
+            return k
+    return len(fills)
+
+
+def _settle(waiting: dict[int, list[tuple]], first: int, window: int) -> Iterator[tuple]:
+    """Pieces of the windows still open: the fullest stay and are filled up with pieces cut from the emptiest.
+
+    What is left of those is cut into full windows (numbered from ``first``), then powers of two.
+    """
+    fills = {number: sum(len(ids) for _, _, ids, _ in own) // 4 for number, own in waiting.items()}
+    order = sorted(fills, key=lambda number: (-fills[number], number))
+    stay = _settled([fills[number] for number in order], window)
+    room = []
+    for number in order[:stay]:
+        offset = 0
+        for doc, start, ids, tokens in waiting[number]:
+            yield doc, start, ids, tokens, number, offset
+            offset += len(ids) // 4
+        room.append((number, offset, window - offset))
+    left = sum(fills[number] for number in order[stay:]) - sum(size for _, _, size in room)
+    for number in range(first, first + left // window):
+        room.append((number, 0, window))
+    # the ones of a binary number are the powers of two that it is the sum of
+    ends = [1 << bit for bit in reversed(range(window.bit_length())) if (left % window) >> bit & 1]
+    room += [(first + left // window + k, 0, size) for k, size in enumerate(ends)]
+    places = iter(room)
+    number, offset, size = 0, 0, 0
+    for doc, start, ids, tokens in (piece for number in reversed(order[stay:]) for piece in waiting[number]):
         done, length = 0, len(ids) // 4
         while done < length:
-            if not room:
-                number, offset = number + 1, 0
-                room = window if left >= window else 1 << (left.bit_length() - 1)
-            take = min(room, length - done)
+            if not size:
+                number, offset, size = next(places)
+            take = min(size, length - done)
             yield doc, start + done, ids[4 * done : 4 * (done + take)], tokens, number, offset
-            done, room, offset, left = done + take, room - take, offset + take, left - take
+            done, offset, size = done + take, offset + take, size - take
 
 
 def pack(
@@ -246,7 +274,7 @@ def pack(
                         offset += len(part) // 4
             if rows:
                 yield frame(rows)
-        rows = [piece(*x) for x in _pour([p for k in sorted(waiting) for p in waiting[k]], levels.made, window)]
+        rows = [piece(*x) for x in _settle(waiting, levels.made, window)]
         if rows:
             yield frame(rows)
 

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from factorloom.llm import packing
 from tests.llm.helpers import LONG, ODD, documents
@@ -88,3 +89,33 @@ def test_levels_take_the_best_place():
         counts[offset + size] += offset + size < 64
     waste = sum(64 - x for x in filled.values())
     assert waste < 0.05 * sum(filled.values())
+
+
+@pytest.mark.parametrize("documents_in, part", [(250, 0.8), (1250, 0.85), (5000, 0.9)])
+def test_most_tokens_stand_where_they_were_placed(documents_in, part):
+    rng = np.random.default_rng(documents_in)
+    window, levels, waiting, stayed, tokens = packing.WINDOW, packing.Levels(), {}, 0, 0
+    placed = {}
+    for doc, size in enumerate(rng.lognormal(6.2, 0.9, documents_in).astype(int) + 2):
+        tokens += size
+        stayed += size // window * window
+        for _ in range(size // window):
+            levels.full()
+        size %= window
+        if not size:
+            continue
+        number, level = levels.place(int(size))
+        placed[doc] = (number, level)
+        waiting.setdefault(number, []).append((doc, 0, bytes(4 * size), size))
+        if level + size == window:
+            stayed += sum(len(x[2]) // 4 for x in waiting.pop(number))
+    open_tokens = sum(len(x[2]) // 4 for own in waiting.values() for x in own)
+    ends, parts = {}, {}
+    for doc, start, ids, _, number, offset in packing._settle(waiting, levels.made, window):
+        n = len(ids) // 4
+        assert parts.get(doc, 0) == start and ends.get(number, 0) == offset
+        parts[doc], ends[number] = start + n, offset + n
+        stayed += n if (number, offset - start) == placed[doc] else 0
+    assert sum(parts.values()) == sum(ends.values()) == open_tokens
+    assert all(x == window or x & (x - 1) == 0 for x in ends.values())
+    assert stayed >= part * tokens, stayed / tokens
