@@ -1,9 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one on toxic
-text, from the words and word openings that recur in toxic rows and hardly occur in
-ordinary ones.
-The second one continues the first, so both know ordinary text equally well. A
+Two zstandard dictionaries are used: one trained on ordinary text, and one for toxic
+text, which continues the first with the words and word openings that recur in toxic rows and
+hardly occur in ordinary ones, so both know ordinary text equally well. (Dictionaries trained on
+the windows of each class alone did not tell the classes apart; the README has figures.) A
 text is cut into windows of whole words; every window is compressed with both
 dictionaries, and the bytes that the toxic one saves are its distance. Windows of
 labelled rows that had no part in training give the log likelihood ratio of each
@@ -12,8 +12,9 @@ the share of toxic rows among all labelled ones, so that 0.5 is the threshold.
 
 Training reads the whole texts of at most ``FIT_ROWS`` rows of each class (chosen by
 the hash of the id), in tasks: counts of words, the words of the toxic dictionary in each text, and
-histograms of distances come back, no texts. Only the dictionary of ordinary text learns
-from a sample of each text, ``FIT_WINDOWS`` windows chosen by hash from all of it.
+histograms of distances come back. Only the dictionary of ordinary text learns
+from a sample of each text, ``FIT_WINDOWS`` windows chosen by hash from all of it; these
+windows come to the driver, where it is trained, at most ``FIT_ROWS / 2 * FIT_WINDOWS`` of them.
 Scoring reads whole texts of all rows. The model is a few kilobytes and goes to the
 tasks as it is.
 
