@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,10 @@ def local_session(name: str = "factorloom", cores: int | str = "*", partitions:
     return spark
 
 
+#: Folders that ``stage`` has written inside the innermost ``stage_alone``.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -72,5 +78,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``stage`` what ``make`` returns, then remove all tables staged on the way to it.
+
+    They are removed only once the result is written whole; a run that fails keeps them. Tables that
+    ``make`` staged must not be used for anything else.
+    """
+    outer = _MADE.get()
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        result = stage(make(), name)
+    finally:
+        _MADE.reset(token)
+    *passing, kept = made
+    for path in passing:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if outer is not None:
+        outer.append(kept)
+    return result
