@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from factorloom.llm import exact, jaccard, mixing, packing, quality
-from factorloom.session import stage
+from factorloom.session import stage_alone
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -51,8 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the whole table; each result is written before the next stage reads it."""
+    """All stages in order over the whole table; each result is written before the next stage reads it,
+    and what a stage has written on the way to it is removed then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stage_alone(spark, partial(function, spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
