@@ -125,8 +125,15 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     )
 
 
+def checked(formatted: DataFrame) -> DataFrame:
+    """The same rows; one whose turns did not come back identical stops the job."""
+    message = F.concat(F.lit("conversation does not parse back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))
+    return formatted.withColumn("turns", F.when(F.col("identical"), F.col("turns")).otherwise(F.raise_error(message)))
+
+
 def digest(formatted: DataFrame) -> DataFrame:
-    """Digests of what the parser reads back from ``formatted``."""
+    """Digests of what the parser reads back from ``formatted``, which must be the source's turns."""
+    formatted = checked(formatted)
     turns = F.array_join(
         F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
     )

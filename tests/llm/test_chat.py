@@ -1,5 +1,8 @@
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from factorloom.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, formatted string, start int"
@@ -78,3 +81,10 @@ def test_broken_grammar_is_refused(spark):
 
 def test_empty_table(spark):
     assert chat.digest(chat.format_chats(table(spark, []))).count() == 0
+
+
+def test_turns_that_do_not_come_back_stop_the_job(spark):
+    good = chat.format_chats(spark.createDataFrame([(1, 0, "user", "<s>[INST]"), (1, 1, "assistant", "</s>")], "conv_id long, turn long, role string, text string"))
+    assert chat.digest(good).count() == 1 and chat.digest(good).head()["n_turns"] == 2
+    with pytest.raises(Exception, match="does not parse back: 1"):
+        chat.digest(good.withColumn("identical", F.lit(False))).collect()
