@@ -17,6 +17,7 @@ through; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -34,7 +35,9 @@ WINDOW = 4096
 CLOSING_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 
-#: Letters of Latin-1 with signs behind: the vocabulary lower-cases the letters and cuts ahead of the signs.
+#: How a vocabulary cuts words if ``Words`` is to know its ids word by word (fixed value).
+WORD_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters of Latin-1 with signs behind: such a vocabulary lower-cases the letters and cuts ahead of the signs.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 #: Words that a worker remembers.
@@ -168,12 +171,43 @@ class Words:
             yield b"".join(map(known, words)) + end
 
 
-_KNOWN: dict[str, Words] = {}
+class WholeTexts:
+    """Ids of whole texts, by the tokenizer as it is."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.asarray([*found.ids, CLOSING_ID], "<u4").tobytes()
+
+
+def by_words(path: str) -> bool:
+    """Whether a vocabulary lower-cases, drops white space and closes words, so that ids are known word by word."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    normal = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        spec["model"].get("end_of_word_suffix") == "</w>"
+        and normal == ["NFC", "Replace", "Lowercase"]
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["pattern"] == {"Regex": WORD_CUTS}
+        and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
+        and not (cuts[1]["add_prefix_space"] or cuts[1]["use_regex"])
+    )
+
+
+_KNOWN: dict[str, Words | WholeTexts] = {}
 
 
-def _words(path: str) -> Words:
+def _words(path: str) -> Words | WholeTexts:
     if path not in _KNOWN:
-        _KNOWN[path] = Words(path)
+        _KNOWN[path] = Words(path) if by_words(path) else WholeTexts(path)
     return _KNOWN[path]
 
 

@@ -8,10 +8,10 @@ from factorloom.llm import packing
 from tests.llm.helpers import LONG, ODD, documents
 
 
-def reference_ids(texts):
+def reference_ids(texts, name=packing.VOCABULARY):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    tokenizer = Tokenizer.from_file(packing.vocabulary(name))
     return [x.ids + [packing.CLOSING_ID] for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -119,3 +119,13 @@ def test_most_tokens_stand_where_they_were_placed(documents_in, part):
     assert sum(parts.values()) == sum(ends.values()) == open_tokens
     assert all(x == window or x & (x - 1) == 0 for x in ends.values())
     assert stayed >= part * tokens, stayed / tokens
+
+
+def test_another_vocabulary_is_used_as_it_is(spark):
+    name = "byte_bpe_50k.json"
+    assert packing.by_words(packing.vocabulary()) and not packing.by_words(packing.vocabulary(name))
+    texts = {k: x for k, x in enumerate([*HARD, "", "two  words\n\tand more"])}
+    pieces = packing.pack(documents(spark, list(texts.items())), packing.vocabulary(name), with_ids=True).collect()
+    for doc, ids in zip(texts, reference_ids(list(texts.values()), name)):
+        own = sorted((r for r in pieces if r["doc_id"] == doc), key=lambda r: r["start"])
+        assert [x for r in own for x in r["ids"]] == ids
