@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from factorloom.catalog import inputs
 from factorloom.plans import patterns
 from factorloom.plans.graph import FactorGraph
 
@@ -41,3 +42,9 @@ def test_rollup_counts_a_region_once(spark):
         "c": (2, 1, 2.0, 2.0, 2.0), "x": (2, 1, 2.0, 2.0, 2.0), "b": (3, 2, 3.0, 2.0, 4.0),
         "top": (4, 3, 16 / 3, 2.0, 10.0), "lonely": (1, 1, 7.0, 7.0, 7.0),
     }
+
+
+def test_table_counts_are_those_of_the_tables(spark):
+    graph = inputs.graph(spark, "/root/testdata/sf0.001")
+    counted = {r["name"]: r["rows"] for r in graph.table_counts().collect()}
+    assert counted == {name: df.count() for name, df in graph.tables().items()} and len(counted) == 8

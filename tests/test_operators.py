@@ -263,6 +263,16 @@ def test_flagged_sample_falls_back_to_all_rows(spark):
     assert sampling.sample_flagged(df, "none", 10, ["id"]).count() == 10
 
 
+def test_large_flagged_sample_stays_spread_and_has_the_same_rows(spark, monkeypatch):
+    df = spark.range(400).repartition(6).withColumn("f", F.when(F.col("id") % 3 == 0, True))
+    small = {r.id for r in sampling.sample_flagged(df, "f", 60, ["id"]).collect()}
+    monkeypatch.setattr(sampling, "TOP_ROWS", 10)
+    spread = sampling.sample_flagged(df, "f", 60, ["id"])
+    assert {r.id for r in spread.collect()} == small and len(small) == 60 and all(k % 3 == 0 for k in small)
+    # no top-n of the sample itself; the rank inside the one cut prefix may be one
+    assert "limit=60" not in spread._jdf.queryExecution().toString()
+
+
 def test_merge_keeps_every_row_and_skips_incomplete_tables(spark):
     full = spark.createDataFrame(
         [(2, "i", "n", "t", "1.5", "u", "r", "s", 0.5, "x")],
