@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorloom.catalog import files
+from factorloom.catalog import files, shaping
 from factorloom.constants import COUNTRY_CODES
 from factorloom.operators import profile
 from factorloom.plans import harmonize as plan
@@ -98,6 +98,13 @@ def test_record_array(spark, tmp_path):
     assert (row.region, row.multiplier) == ("X", 1.5)
 
 
+def test_header_filter_reads_every_text(spark, tmp_path):
+    rows = [(1, "city Emissions\nrest"), (2, "plain words\nco2"), (3, ""), (4, None), (5, " CH4 x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = shaping.filter_table_header(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (5, 3)]
+
+
 def test_file_gate(spark, tmp_path):
     good = "a,b,c,d,e\n" + "1,2,3,4,5\n" * 1200
     write(tmp_path / "g" / "good.csv", good)
