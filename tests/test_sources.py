@@ -1,6 +1,7 @@
 """Readers, gate, resolver and writers on small files."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from factorloom.catalog import files, shaping
 from factorloom.constants import COUNTRY_CODES
 from factorloom.operators import profile
 from factorloom.plans import harmonize as plan
+from factorloom.session import checkpoint_root
 from factorloom.sources import canonical, gate, readers, registry, resolve, sinks
 
 
@@ -98,6 +100,42 @@ def test_record_array(spark, tmp_path):
     assert (row.region, row.multiplier) == ("X", 1.5)
 
 
+def test_line_table_gate(spark):
+    late = ["a,b,c,d,e"] + ["1"] * 140 + ["<HTML>"] + ["1,2"] * 1000
+    files = {
+        (None, 1): ["a,b,c,d,e"] + ["1,2,3,4,5"] * 999,
+        ("n", 1): ["a,b,c,d"] + ["1,2,3,4"] * 999,
+        ("n", 2): ["a,b,c,d,e"] * 999,
+        ("late", None): late,
+        ("beyond", 0): ["a,b,c,d,e"] + ["x" * 10] * 90 + ["<html>"] + ["1"] * 1000,
+        ("one", 0): ["<!DOCTYPE html>"],
+    }
+    rows = [(*key, i + 1, line) for key, lines in files.items() for i, line in enumerate(lines)]
+    lines = spark.createDataFrame(rows, "kind string, part long, place int, value string").repartition(5)
+    got = {(r.kind, r.part): (r.is_html, r.has_comma, r.columns, r.lines, r.accepted) for r in gate.check_lines(lines, ["kind", "part"]).collect()}
+    assert got == {
+        (None, 1): (False, True, 5, 1000, True),
+        ("n", 1): (False, True, 4, 1000, False),
+        ("n", 2): (False, True, 5, 999, False),
+        ("late", None): (True, True, 5, 1142, False),
+        ("beyond", 0): (False, True, 5, 1092, True),
+        ("one", 0): (True, False, 1, 1, False),
+    }
+
+
+def test_sanity_gate_lands_fewer_files_than_it_checks(spark, tmp_path):
+    rows = [(k, k, 1, line, 5.0, "N") for k in [None, *range(0, 50_000, 250)] for line in (1, 2)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    landed = Path(checkpoint_root(spark).removeprefix("file:")) / "factorloom"
+    before = set(landed.rglob("part-*"))
+    got = shaping.src_sanity_gate(spark, str(tmp_path)).collect()
+    assert sorted((r.kind, -1 if r.part is None else r.part, r.is_html, r.columns, r.lines) for r in got) == sorted(
+        (kind, part, kind == "web", columns, 3) for part in range(-1, 200) for kind, columns in (("wide", 6), ("narrow", 4), ("web", 6))
+    )
+    assert len(set(landed.rglob("part-*")) - before) < 50
+
+
 def test_header_filter_reads_every_text(spark, tmp_path):
     rows = [(1, "city Emissions\nrest"), (2, "plain words\nco2"), (3, ""), (4, None), (5, " CH4 x")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
