@@ -320,10 +320,10 @@ def publish_sets(spark, sf):
         sources.add(SourceSpec("factor", lambda s, _: I.raw_factor(s, sf), canonical.factor))
         writing = published.begin()
         datasets = load_interim(spark, sources, {"product": sf, "factor": sf}, writing, I.AS_OF)
-        merged = merge.merge(datasets)
-        writing.add("merged", "parquet", merged, merged.write.parquet)
+        merge.merge(datasets).write.parquet(writing.path("merged"))
         merged = spark.read.parquet(writing.path("merged"))
-        writing.add("data", "csv", merged, lambda out, merged=merged: sinks.write_csv(merged, out))
+        known = writing.add("merged", "parquet", merged, lambda out: None)
+        writing.add("data", "csv", merged, lambda out, merged=merged: sinks.write_csv(merged, out), known=known)
         writing.commit()
         for row in published.current().select("part", "path", "kind").collect():
             kept = "sets/00000001-" in row["path"] and number == 2

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.operators.hashtree import row_hash
+from factorloom.session import spread
 from factorloom.sources.registry import Registry
 
 _MANIFEST = "number long, part string, kind string, path string, rows long, root string, source_root string"
@@ -85,11 +86,23 @@ class Writing:
     def path(self, part: str) -> str:
         return f"{self.folder}/{part}"
 
-    def add(self, part: str, kind: str, df: DataFrame, write: Callable[[str], None], source_root: str | None = None) -> None:
-        """Write a part with ``write`` and note the rows and the root of ``df``."""
+    def add(
+        self,
+        part: str,
+        kind: str,
+        df: DataFrame,
+        write: Callable[[str], None],
+        source_root: str | None = None,
+        known: tuple[int, str] | None = None,
+    ) -> tuple[int, str]:
+        """Write a part with ``write`` and note the rows and the root of ``df``, which come back.
+
+        ``known`` are those of another part written from the same ``df``.
+        """
         write(self.path(part))
-        rows, root = content_root(df)
+        rows, root = known or content_root(df)
         self.rows.append((self.before + 1, part, kind, self.path(part), rows, root, source_root))
+        return rows, root
 
     def interim(self, name: str, raw: DataFrame, shape: Callable[[DataFrame], DataFrame], how: str = "") -> DataFrame:
         """Shaped rows of a source: the snapshot of the set in force if raw rows and ``how`` are the same, else a new one.
@@ -97,6 +110,7 @@ class Writing:
         ``how`` names what else the shaped rows depend on.
         """
         part = f"interim/{name}"
+        raw = spread(raw)
         source_root = f"{content_root(raw)[1]}|{how}"
         known = self.published.current().where((F.col("part") == part) & (F.col("source_root") == source_root)).head()
         if known is not None:

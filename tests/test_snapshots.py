@@ -128,6 +128,24 @@ def test_sets_are_whole_and_unchanged_sources_are_kept(spark, tmp_path, monkeypa
     assert shaped == ["one", "two"]
 
 
+def test_a_source_of_one_task_is_shaped_by_several(spark, tmp_path):
+    raw = spark.range(0, 300_000, 1, 1).select("id", F.md5(F.col("id").cast("string")).alias("v"))
+    writing = Published(spark, str(tmp_path / "p")).begin()
+    shaped = writing.interim("one", raw, lambda df: df.withColumn("w", F.col("id") % 7))
+    assert len(shaped.inputFiles()) > 2
+    assert writing.rows[0][4:6] == snapshots.content_root(raw.withColumn("w", F.col("id") % 7))
+    assert writing.rows[0][6].startswith(snapshots.content_root(raw)[1])
+
+
+def test_rows_and_root_of_a_part_serve_another(spark, tmp_path, monkeypatch):
+    writing, df = Published(spark, str(tmp_path / "p")).begin(), spark.range(3)
+    known = writing.add("r", "parquet", df, lambda path: df.write.parquet(path))
+    assert known == snapshots.content_root(df)
+    monkeypatch.setattr(snapshots, "content_root", None)
+    assert writing.add("s", "csv", df, lambda path: df.write.csv(path), known=known) == known
+    assert [row[4:6] for row in writing.rows] == [known, known]
+
+
 def test_a_second_writer_is_refused(spark, tmp_path):
     published = Published(spark, str(tmp_path / "p"))
     one, two = published.begin(), published.begin()
