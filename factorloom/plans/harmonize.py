@@ -52,15 +52,19 @@ def apply_units(df: DataFrame, mode: str) -> DataFrame:
     return df.withColumns({"ef_value": measure.value, "ef_unit": measure.unit})
 
 
-def harmonize(datasets: dict[str, DataFrame], options: Options = Options()) -> DataFrame:
+def harmonize(
+    datasets: dict[str, DataFrame], options: Options = Options(), written: DataFrame | None = None
+) -> DataFrame:
     """Canonical datasets to the merged table: ids, outliers, units, multipliers.
 
     No step adds or drops rows. Facts are shaped and written once; statistics,
     multipliers and the counts behind the numbers read the columns they need from there.
     The rest is one job: rows move once, to be numbered in order, and are scaled and
-    flagged on the way with broadcast statistics and multipliers.
+    flagged on the way with broadcast statistics and multipliers. ``written`` is their
+    ``canonical_union``, where that is at hand.
     """
-    written = canonical_union(datasets)
+    if written is None:
+        written = canonical_union(datasets)
     merged = merge.number(written, options.order)
     if "is_outlier" not in written.columns:
         merged = flag_datasets(merged, written, options.quantiles)
@@ -73,8 +77,18 @@ def harmonize(datasets: dict[str, DataFrame], options: Options = Options()) -> D
     return merged.select(*[c for c in MERGED_COLUMNS if c in merged.columns])
 
 
-def entity_crosswalk(datasets: dict[str, DataFrame], options: Options = Options()) -> DataFrame:
-    return crosswalk.crosswalk_pairs(crosswalk.stack_entities(datasets, options.order), options.order)
+def entity_crosswalk(
+    datasets: dict[str, DataFrame], options: Options = Options(), written: DataFrame | None = None
+) -> DataFrame:
+    """Pairs of equal entities. With their ``canonical_union`` only datasets too incomplete for it are shaped here."""
+    if written is None:
+        entities = crosswalk.stack_entities(datasets, options.order)
+    else:
+        entities = written.select("entity_id", "entity_name", F.col("_dataset").alias("source_dataset"), options.order)
+        apart = {n: df for n, df in datasets.items() if not merge.has_required(df) and {"entity_id", "entity_name"} <= set(df.columns)}
+        if apart:
+            entities = entities.unionByName(crosswalk.stack_entities(apart, options.order))
+    return crosswalk.crosswalk_pairs(entities, options.order)
 
 
 def harmonize_by_key(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factorloom.plans.graph import FactorGraph
-from factorloom.plans.harmonize import Options, entity_crosswalk, harmonize
+from factorloom.plans.harmonize import Options, canonical_union, entity_crosswalk, harmonize
 from factorloom.plans.snapshots import Published, Writing, load_interim
 from factorloom.session import stage
 from factorloom.sources import sinks
@@ -18,9 +18,10 @@ def publish(datasets: dict[str, DataFrame], out: str, options: Options = Options
     ``data`` (CSV with checksums), ``crosswalk``, ``metadata``, ``summary`` and the
     eight tables of ``graph``.
     """
-    merged = stage(harmonize(datasets, options), "merged")
+    written = canonical_union(datasets)
+    merged = stage(harmonize(datasets, options, written), "merged")
     sinks.write_csv(merged, f"{out}/data")
-    sinks.write_csv(entity_crosswalk(datasets, options), f"{out}/crosswalk")
+    sinks.write_csv(entity_crosswalk(datasets, options, written), f"{out}/crosswalk")
     sinks.write_metadata(merged, f"{out}/metadata", as_of=as_of)
     sinks.write_summary(merged, f"{out}/summary")
     sinks.write_graph(FactorGraph.build(merged).tables(), f"{out}/graph")
@@ -35,11 +36,12 @@ def publish_set(
     ``merged`` holds the merged rows as parquet besides.
     """
     spark = writing.spark
-    harmonize(datasets, options).write.mode("errorifexists").parquet(writing.path("merged"))
+    shaped = canonical_union(datasets)
+    harmonize(datasets, options, shaped).write.mode("errorifexists").parquet(writing.path("merged"))
     merged = spark.read.parquet(writing.path("merged"))
-    writing.add("merged", "parquet", merged, lambda path: None)
-    writing.add("data", "csv", merged, lambda path: sinks.write_csv(merged, path))
-    pairs = stage(entity_crosswalk(datasets, options), "crosswalk")
+    known = writing.add("merged", "parquet", merged, lambda path: None)
+    writing.add("data", "csv", merged, lambda path: sinks.write_csv(merged, path), known=known)
+    pairs = stage(entity_crosswalk(datasets, options, shaped), "crosswalk")
     writing.add("crosswalk", "csv", pairs, lambda path: sinks.write_csv(pairs, path))
     sinks.write_metadata(merged, writing.path("metadata"), as_of=as_of)
     for name in ("about", "counts"):

@@ -11,6 +11,7 @@ from factorloom.catalog import files, shaping
 from factorloom.constants import COUNTRY_CODES
 from factorloom.operators import profile
 from factorloom.plans import harmonize as plan
+from factorloom.plans import publish
 from factorloom.session import checkpoint_root
 from factorloom.sources import canonical, gate, readers, registry, resolve, sinks
 
@@ -136,6 +137,31 @@ def test_sanity_gate_lands_fewer_files_than_it_checks(spark, tmp_path):
     assert len(set(landed.rglob("part-*")) - before) < 50
 
 
+def test_publish_shapes_every_source_once(spark, tmp_path):
+    """The crosswalk takes shaped rows that are written, and those of sources too incomplete for the merged table."""
+    schema = (
+        "entity_id string, entity_name string, entity_type string, ef_value double, ef_unit string, region string, "
+        "source_dataset string, confidence double, timestamp string, tags array<string>, _ord string"
+    )
+    row = lambda k, name: (f"e{k}", name, "product", 1.0, "kg CO2e", "FR", "s", 0.5, "2025-01-01", ["a"], f"{k:03d}")
+    shaped = spark.sparkContext.accumulator(0)
+
+    def seen(name):
+        shaped.add(1)
+        return name
+
+    one = spark.createDataFrame([row(1, "Steel"), row(2, None), row(5, "zinc")], schema).withColumn("entity_name", F.udf(seen)("entity_name"))
+    two = spark.createDataFrame([row(3, "steel"), row(3, "STEEL")], schema)
+    bare = spark.createDataFrame([("b1", "Zinc", "000"), ("b2", "steel", "009")], "entity_id string, entity_name string, _ord string")
+    datasets = {"one": one, "two": two, "bare": bare, "other": two.drop("entity_id", "ef_unit")}
+    expected = sorted(map(tuple, plan.entity_crosswalk(datasets).collect()))
+    before = shaped.value
+    publish.publish(datasets, str(tmp_path / "out"))
+    assert shaped.value - before == 3
+    back = spark.read.option("header", True).csv(str(tmp_path / "out" / "crosswalk")).collect()
+    assert sorted((*r[:6], float(r[6])) for r in back) == expected and len(expected) == 4
+
+
 def test_header_filter_reads_every_text(spark, tmp_path):
     rows = [(1, "city Emissions\nrest"), (2, "plain words\nco2"), (3, ""), (4, None), (5, " CH4 x")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
