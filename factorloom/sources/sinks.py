@@ -52,7 +52,8 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-PART_ROWS = 1_000_000
+#: Some 25 MB of merged rows: each core of a machine holds one file.
+PART_ROWS = 100_000
 
 PROCESSING_STEPS = [
     "loaded and shaped every source",

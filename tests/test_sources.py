@@ -162,6 +162,14 @@ def test_publish_shapes_every_source_once(spark, tmp_path):
     assert sorted((*r[:6], float(r[6])) for r in back) == expected and len(expected) == 4
 
 
+def test_csv_files_are_small_enough_for_their_checksums(spark, tmp_path):
+    out = str(tmp_path / "out")
+    sinks.write_csv(spark.range(0, 250_000, 1, 1), out)
+    files = list(Path(out).glob("part-*.csv"))
+    assert len(files) == 3 and spark.read.text(f"{out}.md5").count() == 3
+    assert spark.read.option("header", True).csv(out).distinct().count() == 250_000
+
+
 def test_header_filter_reads_every_text(spark, tmp_path):
     rows = [(1, "city Emissions\nrest"), (2, "plain words\nco2"), (3, ""), (4, None), (5, " CH4 x")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
